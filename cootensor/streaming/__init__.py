@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming operator (no readStream, watermark, window or
+state); time is an integer mode handled in batch.  Nothing is built here on
+purpose.  The narrow operators (sparsify, lag_expand, affine products against
+broadcast factors) are plain column expressions and joins, so they also run
+unchanged on a streaming DataFrame; see tests/test_streaming.py.
+"""
