@@ -32,3 +32,238 @@ ORACLE_SQL["ttm"] = with_(TRADE, NATION_REGION) + """
 SELECT f._1 AS cn, t.sn, t.m, sum(t.product * f.product) AS product
 FROM trade t JOIN nation_region f ON t.cn = f._2
 GROUP BY f._1, t.sn, t.m"""
+
+# ------------------------------------------------------------------ fixtures
+
+DAY = "CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER)"
+DEC_SUM = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
+
+EVENTS_UED = f"""
+ev_cells AS (
+  SELECT user_id, event_type, {DAY} AS d, {DEC_SUM} AS product
+  FROM events GROUP BY 1, 2, 3 HAVING {DEC_SUM} <> 0),
+events_ued AS (
+  SELECT CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS u,
+         CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS e, d, product
+  FROM ev_cells)"""
+
+EVENTS_ED = f"""
+ed_cells AS (
+  SELECT event_type, {DAY} AS d, {DEC_SUM} AS product
+  FROM events GROUP BY 1, 2 HAVING {DEC_SUM} <> 0),
+events_ed AS (
+  SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS e, d, product FROM ed_cells)"""
+
+PARTS_CELLS = """
+parts_cells AS (
+  SELECT p.p_brand, p.p_type, l.l_returnflag, l.l_linestatus, CAST(sum(l.l_quantity) AS DOUBLE) AS product
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+  GROUP BY 1, 2, 3, 4 HAVING sum(l.l_quantity) <> 0)"""
+
+PARTS = PARTS_CELLS + """,
+parts AS (
+  SELECT CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS b,
+         CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS t,
+         CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS f,
+         CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS INTEGER) AS s, product
+  FROM parts_cells)"""
+
+EMBED = """
+embed AS (
+  SELECT i, j, product FROM (
+    SELECT CAST(vec_id AS INTEGER) AS i, CAST(unnest(range(len(embedding))) AS INTEGER) AS j,
+           CAST(unnest(embedding) AS DOUBLE) AS product
+    FROM embeddings) WHERE product <> 0)"""
+
+MONTH_YEAR = """
+month_year AS (
+  SELECT DISTINCT CAST(floor(m / 12) AS INTEGER) AS _1, m AS _2, 1.0::DOUBLE AS product FROM trade)"""
+
+LAG_WEIGHTS = """
+lag_weights AS (
+  SELECT CAST(a AS INTEGER) AS _1, CAST(b AS INTEGER) AS _2, CAST(c AS DOUBLE) AS product
+  FROM (VALUES (0, 0, 0.0), (0, 1, 0.5), (0, 2, 0.25), (0, 3, 0.25)) v(a, b, c))"""
+
+EVENTS_LAG = EVENTS_ED + """,
+events_lag AS (
+  SELECT e, CAST(k AS INTEGER) AS lag, CAST(d + k AS INTEGER) AS d, product
+  FROM events_ed, range(4) r(k)),
+done AS (SELECT d FROM events_lag GROUP BY d HAVING count(DISTINCT lag) = 4),
+x AS (SELECT e, lag, d, product FROM events_lag WHERE d IN (SELECT d FROM done) AND lag <> 3),
+y AS (SELECT e, CAST(0 AS INTEGER) AS lag, d, sum(product) AS product
+      FROM events_lag WHERE d IN (SELECT d FROM done) AND lag = 3 GROUP BY e, d)"""
+
+
+def sib(name: str, src: str, mode: str) -> str:
+    """Shifted identity + bias factor over the indices of ``mode`` in ``src``."""
+    return f"""
+{name} AS (
+  SELECT _1, CAST(0 AS INTEGER) AS _2, CAST(_1 + 1 AS DOUBLE) AS product
+  FROM (SELECT DISTINCT {mode} AS _1 FROM {src})
+  UNION ALL
+  SELECT _1, CAST(_1 + 1 AS INTEGER) AS _2, 1.0::DOUBLE AS product
+  FROM (SELECT DISTINCT {mode} AS _1 FROM {src}))"""
+
+
+def lcg(i: str, j: str, seed: int) -> str:
+    return (f"CAST((CAST({i} AS BIGINT) * 1103515245 + CAST({j} AS BIGINT) * 12345 + {seed}) "
+            f"% 2147483647 AS DOUBLE) / 2147483647.0::DOUBLE")
+
+
+def affine_step(src: str, out: str, fac: str, mode: str, modes: list[str], precision: float | None,
+                where: str) -> str:
+    """One affine mode product as SQL (weights = rows with _2 > 0, bias = _2 = 0)."""
+    sel = ", ".join(f"w._1 AS {m}" if m == mode else f"x.{m}" for m in modes)
+    grp = ", ".join(str(i + 1) for i in range(len(modes)))
+    cols = ", ".join(f"p.{m}" for m in modes)
+    if where == "before":
+        cond = f"WHERE abs(p.product) > {precision}" if precision is not None else ""
+        fin = f"""SELECT {cols}, p.product + b.product AS product
+  FROM {out}_p p JOIN {fac} b ON p.{mode} = b._1 AND b._2 = 0 {cond}"""
+    else:
+        cond = f"WHERE abs(p.product + b.product) > {precision}" if precision is not None else ""
+        fin = f"""SELECT {cols}, p.product + b.product AS product
+  FROM {out}_p p JOIN {fac} b ON p.{mode} = b._1 AND b._2 = 0 {cond}"""
+    return f"""
+{out}_p AS (
+  SELECT {sel}, sum(x.product * w.product) AS product
+  FROM {src} x JOIN {fac} w ON x.{mode} = w._2 - 1 AND w._2 > 0
+  GROUP BY {grp}),
+{out} AS ({fin})"""
+
+
+Q = ORACLE_SQL
+
+Q["scan_tensor"] = with_(TRADE) + "SELECT * FROM trade WHERE m < 24"
+Q["sink_roundtrip"] = with_(TRADE) + "SELECT * FROM trade"
+Q["csv_tensor"] = with_(TRADE) + "SELECT cn AS _1, sn AS _2, m AS _3, product FROM trade"
+Q["literal_factor"] = with_(EVENTS_LAG) + """
+SELECT x.e, CAST(f.a AS INTEGER) AS lag, x.d, round(sum(x.product * f.c), 6) AS product
+FROM events_lag x
+JOIN (SELECT a, b, CAST(c AS DOUBLE) AS c FROM (VALUES (0, 0, 0.5), (0, 1, 0.25), (0, 2, 0.25)) v(a, b, c)) f
+  ON x.lag = f.b
+GROUP BY x.e, f.a, x.d"""
+Q["index_grid"] = with_(PARTS) + """
+SELECT CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t, CAST(f AS INTEGER) AS f, CAST(s AS INTEGER) AS s
+FROM (SELECT unnest(range((SELECT max(b) + 1 FROM parts))) AS b),
+     (SELECT unnest(range((SELECT max(t) + 1 FROM parts))) AS t),
+     (SELECT unnest(range((SELECT max(f) + 1 FROM parts))) AS f),
+     (SELECT unnest(range((SELECT max(s) + 1 FROM parts))) AS s)"""
+Q["factor_store"] = with_(EVENTS_UED, sib("fe", "events_ued", "e"), sib("fd", "events_ued", "d")) + """
+SELECT CAST(0 AS INTEGER) AS iter, CAST(1 AS INTEGER) AS mode, _1, _2, product FROM fe
+UNION ALL
+SELECT CAST(1 AS INTEGER) AS iter, CAST(2 AS INTEGER) AS mode, _1, _2, product FROM fd"""
+Q["factor_snapshot"] = with_(EVENTS_UED, sib("fd", "events_ued", "d")) + "SELECT * FROM fd"
+
+Q["mode_rename"] = with_(TRADE) + "SELECT cn AS _1, sn AS _2, m AS _3, product FROM trade"
+Q["bias_encode"] = with_(EMBED) + "SELECT i AS _1, CAST(j + 1 AS INTEGER) AS _2, product FROM embed"
+Q["bias_split"] = with_(EVENTS_UED) + """
+SELECT u AS _1, u AS _2, 1.0::DOUBLE AS product, CAST(u + 1 AS DOUBLE) AS bias
+FROM (SELECT DISTINCT u FROM events_ued)"""
+Q["time_slice"] = with_(TRADE) + "SELECT * FROM trade WHERE m >= 12 AND m < 24"
+Q["cell_lookup"] = with_(TRADE) + "SELECT * FROM trade WHERE cn = 1 AND sn = 2 AND m = 3"
+Q["sparsify"] = with_(EVENTS_UED) + "SELECT * FROM events_ued WHERE abs(product) > 100.0"
+Q["rebase"] = with_(EVENTS_UED) + """
+SELECT u, e, CAST(d - (SELECT min(d) FROM events_ued WHERE d > 5) AS INTEGER) AS d, product
+FROM events_ued WHERE d > 5"""
+Q["collapse_modes"] = with_(EVENTS_UED) + """
+SELECT CAST(0 AS INTEGER) AS u, e, d, round(sum(product), 6) AS product FROM events_ued GROUP BY e, d"""
+Q["transpose"] = with_(EMBED) + "SELECT j AS _1, i AS _2, product FROM embed"
+Q["unfold"] = with_(TRADE) + "SELECT cn, m, sn, product FROM trade"
+Q["fold_roundtrip"] = with_(TRADE) + "SELECT * FROM trade"
+Q["spmm_composite_key"] = with_(TRADE, MONTH_YEAR) + """
+SELECT f._1, t.cn, t.sn, sum(f.product * t.product) AS product
+FROM month_year f JOIN trade t ON f._2 = t.m GROUP BY 1, 2, 3"""
+
+Q["spmm_atb"] = with_(EMBED) + """
+SELECT e.j AS _1, l.l AS _2, round(sum(e.product * 1.0), 6) AS product
+FROM embed e JOIN (SELECT CAST(vec_id AS INTEGER) AS i, CAST(label AS INTEGER) AS l FROM embeddings) l
+  ON e.i = l.i
+GROUP BY 1, 2"""
+Q["spmm_abt"] = with_(EMBED) + f""",
+proj AS (
+  SELECT CAST(p AS INTEGER) AS _1, CAST(j AS INTEGER) AS _2, {lcg('p', 'j', 7)} AS product
+  FROM range(4) a(p), (SELECT unnest(range((SELECT max(j) + 1 FROM embed))) AS j))
+SELECT e.i, p._1, round(sum(e.product * p.product), 6) AS product
+FROM embed e JOIN proj p ON e.j = p._2 GROUP BY 1, 2"""
+Q["gram"] = with_(TRADE) + """
+SELECT a.cn AS _1, b.cn AS _2, sum(a.product * b.product) AS product
+FROM trade a JOIN trade b ON a.sn = b.sn AND a.m = b.m GROUP BY 1, 2"""
+Q["matrix_add"] = with_(TRADE) + """
+SELECT cn AS _1, sn AS _2, sum(product) AS product FROM trade WHERE m IN (0, 1, 2) GROUP BY 1, 2"""
+Q["mode_marginal"] = with_(TRADE) + "SELECT sn, sum(product) AS product FROM trade GROUP BY sn"
+Q["tensor_shape"] = with_(TRADE) + """
+SELECT CAST(max(cn) + 1 AS INTEGER) AS cn, CAST(max(sn) + 1 AS INTEGER) AS sn, CAST(max(m) + 1 AS INTEGER) AS m
+FROM trade"""
+Q["nnz_density"] = with_(EVENTS_UED) + """
+SELECT count(*) AS nnz,
+       CAST(max(u) + 1 AS DOUBLE) * CAST(max(e) + 1 AS DOUBLE) * CAST(max(d) + 1 AS DOUBLE) AS dense_cells,
+       CAST(count(*) AS DOUBLE) / (CAST(max(u) + 1 AS DOUBLE) * CAST(max(e) + 1 AS DOUBLE) * CAST(max(d) + 1 AS DOUBLE)) AS density
+FROM events_ued"""
+Q["topk_core"] = with_(TRADE) + "SELECT * FROM trade ORDER BY abs(product) DESC, cn, sn, m LIMIT 100"
+Q["vstack"] = with_(TRADE) + """
+SELECT CAST(0 AS INTEGER) AS MATRIX_ID, cn, sn, product FROM trade WHERE m = 0
+UNION ALL
+SELECT CAST(1 AS INTEGER) AS MATRIX_ID, cn, sn, product FROM trade WHERE m = 1"""
+Q["ttm_chain"] = with_(TRADE, NATION_REGION, MONTH_YEAR) + """
+SELECT a._1 AS cn, b._1 AS sn, y._1 AS m, sum(t.product) AS product
+FROM trade t JOIN nation_region a ON t.cn = a._2 JOIN nation_region b ON t.sn = b._2
+JOIN month_year y ON t.m = y._2
+GROUP BY 1, 2, 3"""
+Q["ttm_chain_skip"] = with_(TRADE, NATION_REGION, MONTH_YEAR) + """
+SELECT a._1 AS cn, t.sn, y._1 AS m, sum(t.product) AS product
+FROM trade t JOIN nation_region a ON t.cn = a._2 JOIN month_year y ON t.m = y._2
+GROUP BY 1, 2, 3"""
+Q["ttm_chain_topk"] = with_(TRADE, NATION_REGION, MONTH_YEAR) + """,
+s1 AS (SELECT f._1 AS cn, t.sn, t.m, sum(t.product * f.product) AS product
+       FROM trade t JOIN nation_region f ON t.cn = f._2 GROUP BY 1, 2, 3),
+k1 AS (SELECT * FROM s1 ORDER BY abs(product) DESC, cn, sn, m LIMIT 500),
+s2 AS (SELECT k1.cn, k1.sn, f._1 AS m, sum(k1.product * f.product) AS product
+       FROM k1 JOIN month_year f ON k1.m = f._2 GROUP BY 1, 2, 3)
+SELECT * FROM s2 ORDER BY abs(product) DESC, cn, sn, m LIMIT 500"""
+
+Q["lag_expand"] = with_(EVENTS_LAG) + "SELECT * FROM events_lag"
+Q["complete_times"] = with_(EVENTS_LAG) + "SELECT d FROM done"
+Q["lag_xy_split"] = with_(EVENTS_LAG) + """
+SELECT CAST(0 AS INTEGER) AS part, e, lag, d, product FROM x
+UNION ALL
+SELECT CAST(1 AS INTEGER) AS part, e, lag, d, product FROM y"""
+Q["rebase_time"] = with_(EVENTS_LAG) + """,
+mn AS (SELECT min(d) AS m0 FROM x WHERE d > 5)
+SELECT CAST(0 AS INTEGER) AS part, e, lag, CAST(d - (SELECT m0 FROM mn) AS INTEGER) AS d, product FROM x WHERE d > 5
+UNION ALL
+SELECT CAST(1 AS INTEGER) AS part, e, lag, CAST(d - (SELECT m0 FROM mn) AS INTEGER) AS d, product FROM y WHERE d > 5"""
+
+Q["affine_ttm"] = with_(EVENTS_LAG, LAG_WEIGHTS) + "," + affine_step(
+    "x", "a1", "lag_weights", "lag", ["e", "lag", "d"], 1e-6, "before").lstrip() + """
+SELECT e, lag, d, round(product, 6) AS product FROM a1"""
+Q["affine_chain"] = with_(PARTS, sib("ft", "parts", "t"), sib("ff", "parts", "f"), sib("fs", "parts", "s")) + "," + ",".join([
+    affine_step("parts", "c1", "ft", "t", ["b", "t", "f", "s"], 0.5, "before").lstrip(),
+    affine_step("c1", "c2", "ff", "f", ["b", "t", "f", "s"], 0.5, "before").lstrip(),
+    affine_step("c2", "c3", "fs", "s", ["b", "t", "f", "s"], 0.5, "before").lstrip()]) + """
+SELECT * FROM c3"""
+PREDICT = "," + ",".join([
+    sib("fe", "x", "e").lstrip(),
+    affine_step("x", "p1", "fe", "e", ["e", "lag", "d"], 1.0, "after").lstrip(),
+    affine_step("p1", "p2", "lag_weights", "lag", ["e", "lag", "d"], 1.0, "after").lstrip()])
+Q["predict_tensor"] = with_(EVENTS_LAG, LAG_WEIGHTS) + PREDICT + """
+SELECT e, lag, d, round(product, 6) AS product FROM p2"""
+Q["r2_score"] = with_(EVENTS_LAG, LAG_WEIGHTS) + PREDICT + """,
+j AS (SELECT y.product AS yv, p2.product AS pv FROM y JOIN p2 USING (e, lag, d) WHERE p2.product > 0)
+SELECT round(1 - sum(power(yv - pv, 2)) / (var_pop(yv) * count(*)), 6) AS r2, count(*) AS n FROM j"""
+Q["recon_mse"] = with_(TRADE, NATION_REGION, MONTH_YEAR) + """,
+g AS (SELECT a._1 AS r1, b._1 AS r2, y._1 AS yr, sum(t.product) AS product
+      FROM trade t JOIN nation_region a ON t.cn = a._2 JOIN nation_region b ON t.sn = b._2
+      JOIN month_year y ON t.m = y._2 GROUP BY 1, 2, 3),
+rec AS (SELECT a._2 AS cn, b._2 AS sn, y._2 AS m, sum(g.product) AS product
+        FROM g JOIN nation_region a ON g.r1 = a._1 JOIN nation_region b ON g.r2 = b._1
+        JOIN month_year y ON g.yr = y._1 GROUP BY 1, 2, 3)
+SELECT count(*) AS n, avg(power(t.product - rec.product, 2)) AS mse
+FROM trade t JOIN rec USING (cn, sn, m)"""
+
+Q["index_modes"] = with_(PARTS_CELLS) + """
+SELECT CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand,
+       CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_type,
+       l_returnflag, l_linestatus, product
+FROM parts_cells"""
+Q["build_tensor"] = with_(EVENTS_UED) + "SELECT * FROM events_ued"

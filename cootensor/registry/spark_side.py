@@ -26,3 +26,332 @@ def q_ttm(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_ttm(spark, sf)
+
+
+# ---------------------------------------------------------------- helpers
+
+def _slice_matrix(t: DataFrame, m: int) -> DataFrame:
+    return t.filter(F.col("m") == m).select("cn", "sn", "product")
+
+
+def _r6(df: DataFrame, cols=("product",)) -> DataFrame:
+    """Round value columns to 6 decimals (sums of non-dyadic doubles depend on
+    summation order; the oracle rounds the same way)."""
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+
+
+def _embed_matrix(spark, sf):
+    return op.rename_modes(fx.embed(spark, sf))
+
+
+def _events_lag(spark, sf):
+    return op.lag_expand(fx.events_ed(spark, sf), "d", 4)
+
+
+def _xy(spark, sf):
+    return op.xy_split(_events_lag(spark, sf), "d", "lag", 4)
+
+
+# ---------------------------------------------------------------- 2.A sources / sinks
+
+@query("scan_tensor")
+def q_scan_tensor(spark, sf):
+    """Write the trade tensor, scan it back with a pushed filter (A1)."""
+    from ..sources import read_tensor
+    from ..sources.runstore import RunStore
+    rs = RunStore(spark)
+    path = f"{rs.root}/trade"
+    fx.trade(spark, sf).write.mode("overwrite").parquet(path)
+    return op.time_slice(read_tensor(spark, path, ["cn", "sn", "m", "product"]), "m", hi=24)
+
+
+@query("sink_roundtrip")
+def q_sink_roundtrip(spark, sf):
+    """Partitioned Parquet sink and read back (A2)."""
+    from ..sources import read_tensor, write_tensor
+    from ..sources.runstore import RunStore
+    path = f"{RunStore(spark).root}/trade_by_cn"
+    write_tensor(fx.trade(spark, sf), path, partition_by=["cn"])
+    return read_tensor(spark, path).select("cn", "sn", "m", "product")
+
+
+@query("csv_tensor")
+def q_csv_tensor(spark, sf):
+    """Headerless CSV round trip with positional casts (A3)."""
+    from ..sources import read_csv_tensor, write_csv_tensor
+    from ..sources.runstore import RunStore
+    path = f"{RunStore(spark).root}/trade_csv"
+    write_csv_tensor(fx.trade(spark, sf), path)
+    return read_csv_tensor(spark, path, 3)
+
+
+@query("literal_factor")
+def q_literal_factor(spark, sf):
+    """Small literal factor (A4) applied to the events lag tensor's lag mode."""
+    from ..sources import literal_factor
+    f = literal_factor(spark, [(0, 0, 0.5), (0, 1, 0.25), (0, 2, 0.25)])
+    return _r6(op.ttm(_events_lag(spark, sf), f, "lag"))
+
+
+@query("index_grid")
+def q_index_grid(spark, sf):
+    """Dense index grid over the parts tensor's shape (A5)."""
+    from ..sources import index_grid_df
+    from ..tensor import tensor_shape
+    return index_grid_df(tensor_shape(fx.parts(spark, sf)), ["b", "t", "f", "s"])
+
+
+@query("factor_store")
+def q_factor_store(spark, sf):
+    """Factor table partitioned by (iter, mode) in a per-run folder."""
+    from ..sources.runstore import RunStore
+    rs = RunStore(spark)
+    t = fx.events_ued(spark, sf)
+    rs.save_factor(fx.shifted_identity_bias(t, "e"), 0, 1)
+    rs.save_factor(fx.shifted_identity_bias(t, "d"), 1, 2)
+    return rs.factor_table().select("iter", "mode", "_1", "_2", "product")
+
+
+@query("factor_snapshot")
+def q_factor_snapshot(spark, sf):
+    """Snapshot of the live factors into the saved table."""
+    from ..sources.runstore import RunStore
+    rs = RunStore(spark)
+    t = fx.events_ued(spark, sf)
+    live = [rs.save_factor(fx.shifted_identity_bias(t, m), 0, i) for i, m in enumerate(["e", "d"])]
+    rs.snapshot(live, 0)
+    return rs.load_factor(0, 1, "saved")
+
+
+# ---------------------------------------------------------------- 2.B reshaping / filters
+
+@query("mode_rename")
+def q_mode_rename(spark, sf):
+    return op.rename_modes(fx.trade(spark, sf))
+
+
+@query("bias_encode")
+def q_bias_encode(spark, sf):
+    return op.bias_encode(_embed_matrix(spark, sf), 1)
+
+
+@query("bias_split")
+def q_bias_split(spark, sf):
+    bias, w = op.bias_split(fx.shifted_identity_bias(fx.events_ued(spark, sf), "u"))
+    return w.join(bias.withColumnRenamed("_1", "_1"), "_1").select("_1", "_2", "product", "bias")
+
+
+@query("time_slice")
+def q_time_slice(spark, sf):
+    return op.time_slice(fx.trade(spark, sf), "m", lo=12, hi=24, lo_inclusive=True)
+
+
+@query("cell_lookup")
+def q_cell_lookup(spark, sf):
+    return op.cell_lookup(fx.trade(spark, sf), {"cn": 1, "sn": 2, "m": 3})
+
+
+@query("sparsify")
+def q_sparsify(spark, sf):
+    return op.sparsify(fx.events_ued(spark, sf), 100.0)
+
+
+@query("rebase")
+def q_rebase(spark, sf):
+    t = op.time_slice(fx.events_ued(spark, sf), "d", lo=5)
+    return op.rebase(t, "d")
+
+
+@query("collapse_modes")
+def q_collapse_modes(spark, sf):
+    return _r6(op.collapse_modes(fx.events_ued(spark, sf), ["u"]))
+
+
+@query("transpose")
+def q_transpose(spark, sf):
+    return op.transpose(_embed_matrix(spark, sf))
+
+
+@query("unfold")
+def q_unfold(spark, sf):
+    u = op.unfold(fx.trade(spark, sf), "sn")
+    return u.select(F.col("cn+m.cn").alias("cn"), F.col("cn+m.m").alias("m"), "sn", "product")
+
+
+@query("fold_roundtrip")
+def q_fold_roundtrip(spark, sf):
+    t = fx.trade(spark, sf)
+    return op.fold(op.unfold(t, "m"), t.columns)
+
+
+@query("spmm_composite_key")
+def q_spmm_composite_key(spark, sf):
+    """ABᵀ with a struct (composite) key on one side: year factor x unfolding."""
+    t = fx.trade(spark, sf)
+    r = op.spmm_abt(fx.month_year(t), op.unfold(t, "m"))
+    return r.select("_1", F.col("cn+sn.cn").alias("cn"), F.col("cn+sn.sn").alias("sn"), "product")
+
+
+# ---------------------------------------------------------------- 2.C / 2.D / 2.I algebra
+
+@query("spmm_atb")
+def q_spmm_atb(spark, sf):
+    """AᵀB: embeddings (vector x position) against the vector -> label one-hot."""
+    lab = fx.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("int").alias("i"), F.col("label").cast("int").alias("l"),
+        F.lit(1.0).alias("product"))
+    return _r6(op.spmm_atb(fx.embed(spark, sf), lab))
+
+
+@query("spmm_abt")
+def q_spmm_abt(spark, sf):
+    """ABᵀ: embeddings against an LCG projection (rank 4 x positions)."""
+    from ..plans.tucker import lcg_factors
+    e = fx.embed(spark, sf)
+    proj = lcg_factors(e.select("j", "product"), [4], seed=7)[0]
+    return _r6(op.spmm_abt(e, proj))
+
+
+@query("gram")
+def q_gram(spark, sf):
+    """Gram of the customer-nation unfolding of trade (25 x 25, exact)."""
+    return op.gram(op.unfold(fx.trade(spark, sf), "cn"))
+
+
+@query("matrix_add")
+def q_matrix_add(spark, sf):
+    t = fx.trade(spark, sf)
+    return op.matrix_add(_slice_matrix(t, 0), _slice_matrix(t, 1), _slice_matrix(t, 2))
+
+
+@query("mode_marginal")
+def q_mode_marginal(spark, sf):
+    return op.mode_marginal(fx.trade(spark, sf), "sn")
+
+
+@query("tensor_shape")
+def q_tensor_shape(spark, sf):
+    from ..tensor import tensor_shape
+    return tensor_shape(fx.trade(spark, sf))
+
+
+@query("nnz_density")
+def q_nnz_density(spark, sf):
+    from ..tensor import nnz_density
+    return nnz_density(fx.events_ued(spark, sf))
+
+
+@query("topk_core")
+def q_topk_core(spark, sf):
+    return op.top_k(fx.trade(spark, sf), 100)
+
+
+@query("vstack")
+def q_vstack(spark, sf):
+    t = fx.trade(spark, sf)
+    return op.vstack(_slice_matrix(t, 0), _slice_matrix(t, 1))
+
+
+@query("ttm_chain")
+def q_ttm_chain(spark, sf):
+    t = fx.trade(spark, sf)
+    nr = fx.nation_region(spark, sf)
+    return op.ttm_chain(t, [nr, nr, fx.month_year(t)])
+
+
+@query("ttm_chain_skip")
+def q_ttm_chain_skip(spark, sf):
+    t = fx.trade(spark, sf)
+    nr = fx.nation_region(spark, sf)
+    return op.ttm_chain(t, [nr, nr, fx.month_year(t)], skip=1)
+
+
+@query("ttm_chain_topk")
+def q_ttm_chain_topk(spark, sf):
+    """Chain with top-k truncation after every product."""
+    t = fx.trade(spark, sf)
+    nr = fx.nation_region(spark, sf)
+    return op.ttm_chain(t, [nr, None, fx.month_year(t)], top_k=500)
+
+
+# ---------------------------------------------------------------- 2.H time lags
+
+@query("lag_expand")
+def q_lag_expand(spark, sf):
+    return _events_lag(spark, sf)
+
+
+@query("complete_times")
+def q_complete_times(spark, sf):
+    return op.complete_times(_events_lag(spark, sf), "d", "lag", 4)
+
+
+@query("lag_xy_split")
+def q_lag_xy_split(spark, sf):
+    x, y = _xy(spark, sf)
+    return op.vstack(x, y, tag="part")
+
+
+@query("rebase_time")
+def q_rebase_time(spark, sf):
+    x, y = _xy(spark, sf)
+    xr, yr = op.cut_and_rebase(x, y, "d", after=5)
+    return op.vstack(xr, yr, tag="part")
+
+
+# ---------------------------------------------------------------- 2.I affine products
+
+@query("affine_ttm")
+def q_affine_ttm(spark, sf):
+    x, _ = _xy(spark, sf)
+    return _r6(op.affine_ttm(x, fx.lag_weights(spark), "lag", precision=1e-6))
+
+
+@query("affine_chain")
+def q_affine_chain(spark, sf):
+    t = fx.parts(spark, sf)
+    bs = [fx.shifted_identity_bias(t, m) for m in ["b", "t", "f", "s"]]
+    return op.affine_chain(t, bs, skip=0, precision=0.5)
+
+
+@query("predict_tensor")
+def q_predict_tensor(spark, sf):
+    x, _ = _xy(spark, sf)
+    bs = [fx.shifted_identity_bias(x, "e"), fx.lag_weights(spark)]
+    return _r6(op.predict(x, bs, precision=1.0))
+
+
+@query("r2_score")
+def q_r2_score(spark, sf):
+    x, y = _xy(spark, sf)
+    bs = [fx.shifted_identity_bias(x, "e"), fx.lag_weights(spark)]
+    s = op.r2(y, op.predict(x, bs, precision=1.0))
+    return s.select(F.round("r2", 6).alias("r2"), "n")
+
+
+@query("recon_mse")
+def q_recon_mse(spark, sf):
+    """Project trade onto region x region x year, reconstruct, score."""
+    from ..plans.tucker import reconstruct, tucker_core
+    t = fx.trade(spark, sf)
+    nr = fx.nation_region(spark, sf)
+    fs = [nr, nr, fx.month_year(t)]
+    return op.mse(t, reconstruct(tucker_core(t, fs), fs))
+
+
+# ---------------------------------------------------------------- 2.M building
+
+@query("index_modes")
+def q_index_modes(spark, sf):
+    from ..sources import build_tensor, index_modes
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
+    p = fx.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    cells = build_tensor(li.join(p, li.l_partkey == p.p_partkey),
+                         ["p_brand", "p_type", "l_returnflag", "l_linestatus"], "l_quantity")
+    out, _ = index_modes(cells, ["p_brand", "p_type"])
+    return out
+
+
+@query("build_tensor")
+def q_build_tensor(spark, sf):
+    return fx.events_ued(spark, sf)
