@@ -129,6 +129,8 @@ def subspace_eigvecs(u: DataFrame, k: int, n_iter: int = 12, oversample: int = 1
     """Leading k left singular vectors of an unfolding ``(key, idx, value)``
     (eigenvectors of U Uᵀ) without forming U Uᵀ."""
     key, idx, val = u.columns[:3]
+    if checkpoint:
+        u = u.checkpoint(eager=True)    # read twice per step: cut its lineage once
     p = k + oversample
     ids = u.select(F.col(idx).alias("j")).distinct()
     q = ids.select("j", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("c"))
@@ -192,13 +194,24 @@ def ridge_solve_local(a: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int | None = None,
-                   checkpoint: bool = True) -> DataFrame:
+                   checkpoint: bool = True, check_every: int = 1) -> DataFrame:
     """B = C A⁻¹ by Jacobi-preconditioned conjugate gradients, one right-hand
-    side per target row of C, all advanced together; every step is one spmm
-    (A joined to the search directions) plus per-target sums."""
+    side per target row of C, all advanced together.
+
+    The state ``(s, t, x, r, dg, p, rz, bb, rr)`` is one table over
+    source index s x target t; per-target scalars ride along as columns and
+    are recomputed by a group-by on t plus a broadcast join of one row per
+    target.  One step = one spmm (A joined to the directions) and two
+    per-target sums; the state is checkpointed every step (lineage cut), so a
+    step is one Spark job plus an optional one-row convergence check.
+    """
     from ..operators.joins import sized_broadcast
 
     a = a.select(F.col("_1").alias("i"), F.col("_2").alias("s"), F.col(VALUE).alias("a"))
+    c = c.select("_1", "_2", VALUE)
+    if checkpoint:
+        # A and C are read every step: cut their lineage once
+        a, c = a.checkpoint(eager=True), c.checkpoint(eager=True)
     diag = a.filter(F.col("i") == F.col("s")).select("s", F.col("a").alias("dg"))
     idx = a.select(F.col("i").alias("s")).union(a.select("s")).distinct()
     # dense right-hand sides over every (s, t): b[s, t] = C[t, s]; targets are
@@ -210,34 +223,34 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
     st = (b.join(sized_broadcast(diag), "s")
           .select("s", "t", F.lit(0.0).alias("x"), F.col("b").alias("r"), "dg",
                   (F.col("b") / F.col("dg")).alias("p")))
-    rz = st.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz"),
-                             F.sum(F.col("r") * F.col("r")).alias("bb"))
+    per_t = st.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz"),
+                                F.sum(F.col("r") * F.col("r")).alias("bb"))
+    st = st.join(F.broadcast(per_t), "t").withColumn("rr", F.col("bb"))
     if checkpoint:
-        st, rz = st.checkpoint(eager=True), rz.checkpoint(eager=True)
+        st = st.checkpoint(eager=True)
     n = idx.count()
-    for _ in range(max_iter or 2 * n + 10):
+    cols = ["s", "t", "x", "r", "dg", "p", "rz", "bb", "rr"]
+    for k in range(max_iter or 2 * n + 10):
         q = (a.join(st.select("s", "t", "p"), "s")
              .groupBy(F.col("i").alias("s"), "t").agg(F.sum(F.col("a") * F.col("p")).alias("q")))
         s2 = st.join(q, ["s", "t"], "left").fillna(0.0, ["q"])
         pq = s2.groupBy("t").agg(F.sum(F.col("p") * F.col("q")).alias("pq"))
-        al = rz.join(pq, "t").select("t", "rz", "bb", F.try_divide(F.col("rz"), F.col("pq")).alias("al"))
-        al = al.fillna(0.0, ["al"])
-        s3 = s2.join(F.broadcast(al.select("t", "al")), "t").select(
-            "s", "t", (F.col("x") + F.col("al") * F.col("p")).alias("x"),
-            (F.col("r") - F.col("al") * F.col("q")).alias("r"), "dg", "p")
-        rz2 = s3.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz2"),
+        al = F.coalesce(F.try_divide(F.col("rz"), F.col("pq")), F.lit(0.0))
+        s3 = s2.join(F.broadcast(pq), "t").select(
+            "s", "t", (F.col("x") + al * F.col("p")).alias("x"),
+            (F.col("r") - al * F.col("q")).alias("r"), "dg", "p", "rz", "bb")
+        nxt = s3.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz2"),
                                   F.sum(F.col("r") * F.col("r")).alias("rr"))
-        be = rz2.join(rz, "t").select("t", F.col("rz2").alias("rz"), "bb", "rr",
-                                      F.coalesce(F.try_divide(F.col("rz2"), F.col("rz")), F.lit(0.0)).alias("be"))
-        st = s3.join(F.broadcast(be.select("t", "be")), "t").select(
-            "s", "t", "x", "r", "dg", (F.col("r") / F.col("dg") + F.col("be") * F.col("p")).alias("p"))
-        rz = be.select("t", "rz", "bb", "rr")
+        be = F.coalesce(F.try_divide(F.col("rz2"), F.col("rz")), F.lit(0.0))
+        st = s3.join(F.broadcast(nxt), "t").select(
+            "s", "t", "x", "r", "dg", (F.col("r") / F.col("dg") + be * F.col("p")).alias("p"),
+            F.col("rz2").alias("rz"), "bb", "rr").select(*cols)
         if checkpoint:
-            st, rz = st.checkpoint(eager=True), rz.checkpoint(eager=True)
-        worst = rz.agg(F.max(F.try_divide(F.sqrt("rr"), F.sqrt("bb")))).first()[0]
-        rz = rz.select("t", "rz", "bb")
-        if worst is None or worst <= tol:
-            break
+            st = st.checkpoint(eager=True)
+        if (k + 1) % check_every == 0:
+            worst = st.agg(F.max(F.try_divide(F.sqrt("rr"), F.sqrt("bb")))).first()[0]
+            if worst is None or worst <= tol:
+                break
     return st.filter(F.col("x") != 0).select(F.col("t").cast("int").alias("_1"),
                                              F.col("s").cast("int").alias("_2"), F.col("x").alias(VALUE))
 

@@ -267,3 +267,150 @@ SELECT CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand,
        l_returnflag, l_linestatus, product
 FROM parts_cells"""
 Q["build_tensor"] = with_(EVENTS_UED) + "SELECT * FROM events_ued"
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n"
+
+
+def lcg_grid(name: str, src: str, mode: str, rank: int, seed: int) -> str:
+    return f"""
+{name} AS (
+  SELECT CAST(r AS INTEGER) AS _1, CAST(j AS INTEGER) AS _2, {lcg('r', 'j', seed)} AS product
+  FROM range({rank}) a(r), (SELECT unnest(range((SELECT max({mode}) + 1 FROM {src}))) AS j))"""
+
+
+TUCKER_F = ",".join([lcg_grid("f1", "trade", "cn", 2, 3).lstrip(), lcg_grid("f2", "trade", "sn", 2, 4).lstrip(),
+                     lcg_grid("f3", "trade", "m", 3, 5).lstrip()])
+CORE = """
+core AS (
+  SELECT a._1 AS cn, b._1 AS sn, c._1 AS m, sum(t.product * a.product * b.product * c.product) AS product
+  FROM trade t JOIN f1 a ON t.cn = a._2 JOIN f2 b ON t.sn = b._2 JOIN f3 c ON t.m = c._2
+  GROUP BY 1, 2, 3)"""
+
+Q["random_factors"] = with_(TRADE) + "," + ",".join([
+    lcg_grid("f1", "trade", "cn", 2, 11).lstrip(), lcg_grid("f2", "trade", "sn", 3, 12).lstrip(),
+    lcg_grid("f3", "trade", "m", 4, 13).lstrip()]) + """
+SELECT CAST(0 AS INTEGER) AS mode, * FROM f1 UNION ALL
+SELECT CAST(1 AS INTEGER) AS mode, * FROM f2 UNION ALL
+SELECT CAST(2 AS INTEGER) AS mode, * FROM f3"""
+Q["tucker_core"] = with_(TRADE) + "," + TUCKER_F + "," + CORE.lstrip() + """
+SELECT cn, sn, m, round(product, 4) AS product FROM core"""
+Q["tucker_reconstruct"] = with_(TRADE) + "," + TUCKER_F + "," + CORE.lstrip() + """
+SELECT a._2 AS cn, b._2 AS sn, c._2 AS m, round(sum(g.product * a.product * b.product * c.product), 4) AS product
+FROM core g JOIN f1 a ON g.cn = a._1 JOIN f2 b ON g.sn = b._1 JOIN f3 c ON g.m = c._1
+GROUP BY 1, 2, 3"""
+
+GRAM_CN = """
+g AS (SELECT a.cn AS _1, b.cn AS _2, sum(a.product * b.product) AS product
+      FROM trade a JOIN trade b ON a.sn = b.sn AND a.m = b.m GROUP BY 1, 2),
+pw(step, j, v) AS (
+  SELECT 0, _1, 1.0::DOUBLE FROM (SELECT DISTINCT _1 FROM g)
+  UNION ALL
+  SELECT step + 1, j, v / sqrt(sum(v * v) OVER ()) FROM (
+    SELECT p.step, g._1 AS j, sum(g.product * p.v) AS v
+    FROM pw p JOIN g ON g._2 = p.j WHERE p.step < 60 GROUP BY p.step, g._1))"""
+Q["gram_eigvec"] = with_rec(TRADE, GRAM_CN) + """
+SELECT CAST(0 AS INTEGER) AS _1, CAST(j AS INTEGER) AS _2, round(v, 6) AS product FROM pw WHERE step = 60"""
+Q["gram_eigvec_subspace"] = Q["gram_eigvec"]
+
+REG_XY = EVENTS_LAG + """,
+x0 AS (SELECT min(d) AS m0 FROM x WHERE d > 2),
+xr AS (SELECT e, lag, CAST(d - (SELECT m0 FROM x0) AS INTEGER) AS d, product / 1024.0::DOUBLE AS product
+       FROM x WHERE d > 2),
+yr AS (SELECT e, lag, CAST(d - (SELECT m0 FROM x0) AS INTEGER) AS d, product / 1024.0::DOUBLE AS product
+       FROM y WHERE d > 2)""" + "," + LAG_WEIGHTS.lstrip() + "," + sib("fe", "xr", "e").lstrip()
+
+
+def normal_sql(xb: str, mode: str, key: list[str], ysrc: str, ykeep: list[str]) -> str:
+    on = " AND ".join(f"a.{k} = b.{k}" for k in key)
+    n = " * ".join(f"CAST(max({k}) + 1 AS DOUBLE)" for k in ykeep)
+    return f"""
+gx AS (SELECT CAST(a.{mode} + 1 AS INTEGER) AS _1, CAST(b.{mode} + 1 AS INTEGER) AS _2,
+              sum(a.product * b.product) AS product FROM {xb} a JOIN {xb} b ON {on} GROUP BY 1, 2),
+sx AS (SELECT CAST({mode} + 1 AS INTEGER) AS _1, CAST(0 AS INTEGER) AS _2, sum(product) AS product
+       FROM {xb} GROUP BY {mode}),
+amat AS (
+  SELECT _1, _2, sum(product) AS product FROM (
+    SELECT * FROM gx
+    UNION ALL SELECT * FROM sx
+    UNION ALL SELECT _2 AS _1, _1 AS _2, product FROM sx
+    UNION ALL SELECT CAST(0 AS INTEGER), CAST(0 AS INTEGER), {n} FROM {ysrc}
+    UNION ALL SELECT CAST(r AS INTEGER), CAST(r AS INTEGER), 0.001::DOUBLE
+              FROM range(0, (SELECT max({mode}) + 2 FROM {xb})) q(r))
+  GROUP BY 1, 2)"""
+
+
+def cross_sql(xb: str, mode: str, key: list[str], ysrc: str) -> str:
+    on = " AND ".join(f"y.{k} = x.{k}" for k in key)
+    return f"""
+cmat AS (
+  SELECT CAST(y.{mode} AS INTEGER) AS _1, CAST(x.{mode} + 1 AS INTEGER) AS _2, sum(y.product * x.product) AS product
+  FROM {ysrc} y JOIN {xb} x ON {on} GROUP BY 1, 2
+  UNION ALL
+  SELECT CAST({mode} AS INTEGER) AS _1, CAST(0 AS INTEGER) AS _2, sum(product) AS product FROM {ysrc} GROUP BY {mode})"""
+
+
+GAUSS_JORDAN = """
+nn AS (SELECT max(_1) + 1 AS n FROM amat),
+ny AS (SELECT max(_1) + 1 AS k FROM cmat),
+rows_ AS (SELECT unnest(range((SELECT n FROM nn))) AS r),
+cols_ AS (SELECT unnest(range((SELECT n FROM nn) + (SELECT k FROM ny))) AS c),
+aug AS (
+  SELECT rows_.r, cols_.c, coalesce(a.product, ct.product, 0.0) AS v
+  FROM rows_ CROSS JOIN cols_
+  LEFT JOIN amat a ON a._1 = rows_.r AND a._2 = cols_.c
+  LEFT JOIN cmat ct ON ct._2 = rows_.r AND ct._1 + (SELECT n FROM nn) = cols_.c),
+gj(step, r, c, v) AS (
+  SELECT 0, r, c, v FROM aug
+  UNION ALL
+  SELECT g.step + 1, g.r, g.c,
+         CASE WHEN g.r = g.step THEN g.v / p.v ELSE g.v - f.v * pr.v / p.v END
+  FROM gj g
+  JOIN gj p ON p.step = g.step AND p.r = g.step AND p.c = g.step
+  JOIN gj pr ON pr.step = g.step AND pr.r = g.step AND pr.c = g.c
+  JOIN gj f ON f.step = g.step AND f.r = g.r AND f.c = g.step
+  WHERE g.step < (SELECT n FROM nn)),
+bsol AS (
+  SELECT CAST(c - (SELECT n FROM nn) AS INTEGER) AS _1, CAST(r AS INTEGER) AS _2, v AS product
+  FROM gj WHERE step = (SELECT n FROM nn) AND c >= (SELECT n FROM nn) AND v <> 0)"""
+
+XB_E = affine_step("xr", "xb", "lag_weights", "lag", ["e", "lag", "d"], 0.0, "before").lstrip()
+SYSTEM_E = ",".join([XB_E, normal_sql("xb", "e", ["lag", "d"], "yr", ["lag", "d"]).lstrip(),
+                     cross_sql("xb", "e", ["lag", "d"], "yr").lstrip()])
+
+Q["normal_equations"] = with_(REG_XY) + "," + SYSTEM_E + """
+SELECT _1, _2, round(product, 4) AS product FROM amat"""
+Q["cross_moments"] = with_(REG_XY) + "," + SYSTEM_E + """
+SELECT _1, _2, round(product, 4) AS product FROM cmat"""
+Q["ridge_solve"] = with_rec(REG_XY) + "," + SYSTEM_E + "," + GAUSS_JORDAN.lstrip() + """
+SELECT _1, _2, round(product, 6) AS product FROM bsol"""
+Q["ridge_solve_cg"] = with_rec(REG_XY) + "," + SYSTEM_E + "," + GAUSS_JORDAN.lstrip() + """
+SELECT _1, _2, round(product, 4) AS product FROM bsol"""
+
+XB_LAG = affine_step("xr", "xb", "fe", "e", ["e", "lag", "d"], 0.0, "before").lstrip()
+SYSTEM_LAG = ",".join([XB_LAG, normal_sql("xb", "lag", ["e", "d"], "yr", ["e", "d"]).lstrip(),
+                       cross_sql("xb", "lag", ["e", "d"], "yr").lstrip()])
+Q["regression_step"] = with_rec(REG_XY) + "," + SYSTEM_LAG + "," + GAUSS_JORDAN.lstrip() + """
+SELECT _1, _2, round(product, 6) AS product FROM bsol"""
+Q["mode_residual"] = with_(REG_XY) + "," + XB_LAG + """,
+pp AS (SELECT x.e, w._1 AS lag, x.d, sum(x.product * w.product) AS product
+       FROM xb x JOIN lag_weights w ON x.lag = w._2 - 1 AND w._2 > 0 GROUP BY 1, 2, 3),
+pb AS (SELECT pp.e, pp.lag, pp.d, pp.product + b.product AS product
+       FROM pp JOIN lag_weights b ON pp.lag = b._1 AND b._2 = 0)
+SELECT y.e, y.lag, y.d, round(y.product - pb.product, 6) AS residual FROM yr y JOIN pb USING (e, lag, d)"""
+
+
+def reg_grid(name: str, mode: str, seed: int) -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT CAST(t AS INTEGER) AS _1, CAST(s AS INTEGER) AS _2, {lcg('t', 's', seed)} AS product
+    FROM (SELECT unnest(range((SELECT max({mode}) + 1 FROM yr))) AS t),
+         (SELECT unnest(range((SELECT max({mode}) + 2 FROM xr))) AS s))
+  WHERE abs(product) > 1e-6)"""
+
+
+Q["random_reg_factors"] = with_(REG_XY) + "," + reg_grid("r0", "e", 13).lstrip() + "," + \
+    reg_grid("r1", "lag", 14).lstrip() + """
+SELECT CAST(0 AS INTEGER) AS mode, * FROM r0 UNION ALL SELECT CAST(1 AS INTEGER) AS mode, * FROM r1"""

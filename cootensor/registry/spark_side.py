@@ -355,3 +355,150 @@ def q_index_modes(spark, sf):
 @query("build_tensor")
 def q_build_tensor(spark, sf):
     return fx.events_ued(spark, sf)
+
+
+# ---------------------------------------------------------------- 2.I random / Tucker factors
+
+@query("random_factors")
+def q_random_factors(spark, sf):
+    """Random Tucker factors rank x dim per mode (LCG entries, SQL-reproducible)."""
+    from ..plans.tucker import lcg_factors
+    return op.vstack(*lcg_factors(fx.trade(spark, sf), [2, 3, 4], seed=11), tag="mode")
+
+
+@query("tucker_core")
+def q_tucker_core(spark, sf):
+    from ..plans.tucker import lcg_factors, tucker_core
+    t = fx.trade(spark, sf)
+    return tucker_core(t, lcg_factors(t, [2, 2, 3], seed=3)).withColumn("product", F.round("product", 4))
+
+
+@query("tucker_reconstruct")
+def q_tucker_reconstruct(spark, sf):
+    from ..plans.tucker import lcg_factors, reconstruct, tucker_core
+    t = fx.trade(spark, sf)
+    fs = lcg_factors(t, [2, 2, 3], seed=3)
+    return reconstruct(tucker_core(t, fs), fs).withColumn("product", F.round("product", 4))
+
+
+@query("gram_eigvec")
+def q_gram_eigvec(spark, sf):
+    """Leading eigenvector of the cn-unfolding Gram, Gram route (one task)."""
+    from ..plans.solve import leading_eigvecs
+    return _r6(leading_eigvecs(op.unfold(fx.trade(spark, sf), "cn"), 1, route="gram"))
+
+
+@query("gram_eigvec_subspace")
+def q_gram_eigvec_subspace(spark, sf):
+    """Same vector by distributed subspace iteration (never forms the Gram)."""
+    from ..plans.solve import leading_eigvecs
+    return _r6(leading_eigvecs(op.unfold(fx.trade(spark, sf), "cn"), 1, route="subspace"))
+
+
+@query("tucker_hooi")
+def q_tucker_hooi(spark, sf):
+    """HOOI (2 sweeps) on trade with rank (2, 2, 2); factors stacked by mode."""
+    from ..plans.tucker import hooi, lcg_factors
+    t = fx.trade(spark, sf)
+    fs = hooi(t, lcg_factors(t, [2, 2, 2], seed=5), n_iter=2)
+    return op.vstack(*fs, tag="mode")
+
+
+# ---------------------------------------------------------------- 2.J regression
+
+SCALE = 1.0 / 1024  # exact in binary; conditions the normal equations (SURVEY §5.3)
+
+
+def _reg_xy(spark, sf):
+    x, y = _xy(spark, sf)
+    x, y = op.cut_and_rebase(x, y, "d", after=2)
+    sc = {"product": F.col("product") * F.lit(SCALE)}
+    return x.withColumns(sc), y.withColumns(sc)
+
+
+def _reg_factors(spark, x):
+    return [fx.shifted_identity_bias(x, "e"), fx.lag_weights(spark)]
+
+
+def _xbar_e(spark, sf):
+    x, y = _reg_xy(spark, sf)
+    return op.affine_chain(x, _reg_factors(spark, x), skip=0, precision=0.0), x, y
+
+
+@query("normal_equations")
+def q_normal_equations(spark, sf):
+    from ..plans.regression import dense_count, normal_equations
+    xb, x, y = _xbar_e(spark, sf)
+    return normal_equations(xb, "e", dense_count(y, "e")).withColumn("product", F.round("product", 4))
+
+
+@query("cross_moments")
+def q_cross_moments(spark, sf):
+    from ..plans.regression import cross_moments
+    xb, x, y = _xbar_e(spark, sf)
+    return cross_moments(y, xb, "e").withColumn("product", F.round("product", 4))
+
+
+def _system_e(spark, sf):
+    from ..plans.regression import cross_moments, dense_count, normal_equations
+    xb, x, y = _xbar_e(spark, sf)
+    return normal_equations(xb, "e", dense_count(y, "e")), cross_moments(y, xb, "e")
+
+
+@query("ridge_solve")
+def q_ridge_solve(spark, sf):
+    """B = C A⁻¹ for the event-type mode, one-task route."""
+    from ..plans.solve import ridge_solve
+    a, c = _system_e(spark, sf)
+    return _r6(ridge_solve(a, c, route="local"))
+
+
+@query("ridge_solve_cg")
+def q_ridge_solve_cg(spark, sf):
+    """Same system by distributed Jacobi-preconditioned conjugate gradients."""
+    from ..plans.solve import ridge_solve
+    a, c = _system_e(spark, sf)
+    return ridge_solve(a, c, route="cg", tol=1e-12).withColumn("product", F.round("product", 4))
+
+
+@query("regression_step")
+def q_regression_step(spark, sf):
+    """One ALS update of the lag mode, prefix = X x_e (identity + bias)."""
+    from ..plans.regression import regression_step
+    x, y = _reg_xy(spark, sf)
+    bs = _reg_factors(spark, x)
+    prefix = op.affine_ttm(x, bs[0], "e", precision=0.0)
+    b, _ = regression_step(x, y, bs, 1, prefix=prefix, precision=0.0, route="local")
+    return _r6(b)
+
+
+@query("mode_residual")
+def q_mode_residual(spark, sf):
+    from ..plans.regression import mode_residual
+    x, y = _reg_xy(spark, sf)
+    bs = _reg_factors(spark, x)
+    xbar = op.affine_ttm(x, bs[0], "e", precision=0.0)
+    return _r6(mode_residual(y, xbar, bs[1], "lag"), ("residual",))
+
+
+@query("random_reg_factors")
+def q_random_reg_factors(spark, sf):
+    from ..plans.regression import random_reg_factors
+    x, y = _reg_xy(spark, sf)
+    return op.vstack(*random_reg_factors(x, y, 1e-6, seed=13, kind="lcg"), tag="mode")
+
+
+@query("svd_init_factors")
+def q_svd_init_factors(spark, sf):
+    from ..plans.regression import svd_init_factors
+    x, y = _reg_xy(spark, sf)
+    return op.vstack(*svd_init_factors(x, y, 1e-3), tag="mode")
+
+
+@query("tensor_regression_fit")
+def q_tensor_regression_fit(spark, sf):
+    """ALS fit, 2 sweeps, factors stacked by mode."""
+    from ..plans.regression import fit
+    x, y = _reg_xy(spark, sf)
+    bs, _ = fit(x, y, _reg_factors(spark, x), n_iter=2, precision=0.0)
+    return op.vstack(*bs, tag="mode")
