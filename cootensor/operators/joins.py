@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ def sized_broadcast(df: DataFrame, broadcast: bool | str = "auto",
     if broadcast is True:
         return F.broadcast(df)
     if broadcast == "auto":
+        # keep what the count computes, so the join does not derive the
+        # factor a second time
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
         n = df.limit(max_rows + 1).count()
         if n <= max_rows:
             return F.broadcast(df)

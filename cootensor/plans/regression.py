@@ -74,8 +74,11 @@ def cross_moments(y: DataFrame, xbar: DataFrame, mode: str, value: str = VALUE,
 def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
                     prefix: DataFrame | None = None, precision: float | None = 0.0,
                     ridge: float = 1e-3, route: str = "auto", value: str = VALUE,
-                    checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
+                    checkpoint: bool = True, checkpoint_inputs: bool = False) -> tuple[DataFrame, DataFrame]:
     """Update factor ``i`` (J7).  Returns ``(B_i, new prefix)``."""
+    if checkpoint_inputs:
+        x, y = x.checkpoint(eager=True), y.checkpoint(eager=True)
+        prefix = prefix.checkpoint(eager=True) if prefix is not None else None
     modes = modes_of(x, value)
     mode = modes[i]
     base = prefix if prefix is not None else x
@@ -102,6 +105,8 @@ def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = 10, preci
     when given.  ``tol`` stops once R² moves less than ``tol``."""
     bs = list(bs)
     scores = []
+    # X and Y are read by every mode update: cut their lineage once
+    x, y = x.checkpoint(eager=True), y.checkpoint(eager=True)
     for it in range(n_iter):
         prefix = None
         for i in range(len(bs)):

@@ -9,8 +9,8 @@ from ..functions.expr import hash_uniform, lcg_uniform
 from ..operators.algebra import ttm_chain
 from ..operators.reshape import transpose, unfold
 from ..session import VALUE
-from ..sources.io import index_grid_df
-from ..tensor import modes_of, tensor_shape
+from ..sources.io import index_grid
+from ..tensor import modes_of, shape_of
 from .solve import leading_eigvecs
 
 
@@ -18,12 +18,9 @@ def _factor_grids(t: DataFrame, ranks: list[int], value: str = VALUE) -> list[Da
     """``rank x dim`` index grids (``_1`` = rank index, ``_2`` = mode index),
     dims from the tensor's own shape, generated lazily on the executors."""
     modes = modes_of(t, value)
-    shape = tensor_shape(t, value)
-    out = []
-    for m, r in zip(modes, ranks):
-        sizes = shape.select(F.lit(int(r)).alias("_1"), F.col(m).alias("_2"))
-        out.append(index_grid_df(sizes, ["_1", "_2"]))
-    return out
+    shape = shape_of(t, value)               # one-row collect (D-6), never a matrix
+    spark = t.sparkSession
+    return [index_grid(spark, [int(r), d], ["_1", "_2"]) for r, d in zip(ranks, shape)]
 
 
 def random_factors(t: DataFrame, ranks: list[int], seed: int = 0, value: str = VALUE) -> list[DataFrame]:
@@ -74,6 +71,8 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float |
     modes = modes_of(t, value)
     ranks = factor_ranks(factors)
     fs = list(factors)
+    # T is read by every mode of every sweep: cut its lineage once
+    t = t.checkpoint(eager=True)
     last = None
     for it in range(n_iter):
         for i, m in enumerate(modes):

@@ -34,13 +34,16 @@ def dense_index(values: DataFrame, col: str, out: str | None = None) -> DataFram
 
 
 def index_modes(df: DataFrame, modes: list[str], value: str = VALUE,
-                broadcast: bool | str = "auto") -> tuple[DataFrame, dict[str, DataFrame]]:
+                broadcast: bool | str = "auto",
+                checkpoint: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Replace label modes by 0-based ints (M1).
 
     Returns the indexed frame and the dictionaries ``{mode: (mode, mode_idx)}``
     that map back.  Each dictionary is broadcast only when its size is
     checked small; otherwise the join shuffles (AQE splits skewed keys).
     """
+    if checkpoint and len(modes) > 0:
+        df = df.checkpoint(eager=True)      # read once per dictionary and once for the join
     dicts = {}
     out = df
     for m in modes:

@@ -47,7 +47,7 @@ def events_ued(spark: SparkSession, sf_dir: str) -> DataFrame:
     then the (much smaller) cell table is mapped to indices."""
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "value")
     cells = build_tensor(ev, ["user_id", "event_type", _day("ts").alias("d")], "value",
-                         value_type="decimal(18,2)")
+                         value_type="decimal(18,2)").checkpoint(eager=True)
     users = dense_index(cells, "user_id", "u")
     types = dense_index(cells, "event_type", "e")
     return (cells.join(users, "user_id").join(F.broadcast(types), "event_type")
@@ -57,7 +57,8 @@ def events_ued(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_ed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(e, d, product)``: event type x day, exact decimal sum over users."""
     ev = table(spark, sf_dir, "events").select("event_type", "ts", "value")
-    cells = build_tensor(ev, ["event_type", _day("ts").alias("d")], "value", value_type="decimal(18,2)")
+    cells = build_tensor(ev, ["event_type", _day("ts").alias("d")], "value",
+                         value_type="decimal(18,2)").checkpoint(eager=True)
     types = dense_index(cells, "event_type", "e")
     return cells.join(F.broadcast(types), "event_type").select("e", "d", VALUE)
 
@@ -68,6 +69,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     cells = build_tensor(li.join(p, li.l_partkey == p.p_partkey),
                          ["p_brand", "p_type", "l_returnflag", "l_linestatus"], "l_quantity")
+    cells = cells.checkpoint(eager=True)
     out = cells
     for src, dst in [("p_brand", "b"), ("p_type", "t"), ("l_returnflag", "f"), ("l_linestatus", "s")]:
         out = out.join(F.broadcast(dense_index(cells, src, dst)), src)
