@@ -110,9 +110,13 @@ def _project(u: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def _expand(u: DataFrame, z: DataFrame) -> DataFrame:
-    """W = U Z: ``(j, c, w)``.  Shuffle join on the fiber key; every U entry
-    meets at most p rows of Z."""
+    """W = U Z: ``(j, c, w)``.  Every U entry meets at most p rows of Z.  Z
+    has one row per (fiber, column); when it is small (few fibers, the usual
+    case after projecting the other modes onto low ranks) it is broadcast, so
+    a long fiber never becomes one skewed join partition."""
+    from ..operators.joins import sized_broadcast
     key, idx, val = u.columns[:3]
+    z = sized_broadcast(z.checkpoint(eager=True))
     j = u.select(F.col(key).alias("key"), F.col(idx).alias("j"), F.col(val).alias("v")).join(z, "key")
     return j.groupBy("j", "c").agg(F.sum(F.col("v") * F.col("z")).alias("w"))
 
