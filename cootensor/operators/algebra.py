@@ -38,6 +38,55 @@ def ttm(t: DataFrame, factor: DataFrame, mode: str, value: str = VALUE,
     return out.select(*modes, value)
 
 
+# Largest product of factor fan-outs (rows per input index) that a fused chain
+# may expand a cell into before its single aggregation.
+FUSE_MAX_FANOUT = 4
+
+
+def fanout(f: DataFrame) -> int:
+    """Most rows any input index ``_2`` of a factor maps to (a one-row aggregate)."""
+    r = f.groupBy("_2").count().agg(F.max("count")).first()[0]
+    return int(r or 0)
+
+
+def ttm_fused(t: DataFrame, pairs: list[tuple[str, DataFrame]], value: str = VALUE,
+              broadcast: bool | str = "auto") -> DataFrame:
+    """Several mode products in one pass: every factor joins (broadcast after
+    its size check) inside one pipeline, weights multiply, and one aggregation
+    (one shuffle) sums over all contracted indices together.  Equal to the
+    sequential chain by associativity; pays off when each cell expands into
+    few rows (low fan-out), since the sequential chain shuffles once per mode.
+    """
+    modes = modes_of(t, value)
+    j = t
+    w = F.col(value)
+    outs = {}
+    for k, (m, f) in enumerate(pairs):
+        fk = f.select(F.col("_1").alias(f"__o{k}"), F.col("_2").alias(f"__i{k}"),
+                      F.col(f.columns[2]).cast("double").alias(f"__w{k}"))
+        fk = sized_broadcast(fk, broadcast)
+        j = j.join(fk, j[m] == fk[f"__i{k}"])
+        w = w * F.col(f"__w{k}")
+        outs[m] = f"__o{k}"
+    keys = [F.col(outs[m]).alias(m) if m in outs else F.col(m) for m in modes]
+    return j.groupBy(*keys).agg(F.sum(w).alias(value)).select(*modes, value)
+
+
+def _fuse_groups(pairs, max_fanout: int):
+    """Greedy runs of consecutive products whose fan-out product stays small."""
+    groups, cur, prod = [], [], 1
+    for m, f in pairs:
+        fo = max(fanout(f), 1)
+        if cur and prod * fo > max_fanout:
+            groups.append(cur)
+            cur, prod = [], 1
+        cur.append((m, f))
+        prod *= fo
+    if cur:
+        groups.append(cur)
+    return groups
+
+
 def _chain_order(t: DataFrame, pairs: list[tuple[str, DataFrame]], value: str) -> list[tuple[str, DataFrame]]:
     """Order mode products by shrink ratio (old dim / new dim), largest first.
 
@@ -56,13 +105,15 @@ def _chain_order(t: DataFrame, pairs: list[tuple[str, DataFrame]], value: str) -
 def ttm_chain(t: DataFrame, factors: list[DataFrame | None], skip: int | None = None,
               value: str = VALUE, top_k: int | None = None, threshold: float | None = None,
               checkpoint: bool = False, reorder: bool = False,
-              broadcast: bool | str = "auto") -> DataFrame:
+              broadcast: bool | str = "auto", fuse: bool = True) -> DataFrame:
     """``T x_1 F_1 ... x_N F_N`` in column order.
 
     Factors pair with modes by position (surplus modes untouched, ``None``
     skips a mode, so does ``skip``).  After each product the optional
     ``threshold`` (strict ``abs > p``) and ``top_k`` truncation apply (S8),
     and ``checkpoint`` cuts the lineage in the shared checkpoint folder.
+    Without those, ``fuse`` merges runs of low fan-out products into one join
+    pipeline and one shuffle (``ttm_fused``).
     """
     from .truncate import sparsify, top_k as _top_k
 
@@ -72,6 +123,12 @@ def ttm_chain(t: DataFrame, factors: list[DataFrame | None], skip: int | None =
     if reorder and threshold is None and top_k is None and len(pairs) > 1:
         pairs = _chain_order(t, pairs, value)
     out = t
+    plain = threshold is None and top_k is None and not checkpoint
+    if fuse and plain and len(pairs) > 1:
+        for group in _fuse_groups(pairs, FUSE_MAX_FANOUT):
+            out = (ttm(out, group[0][1], group[0][0], value, broadcast) if len(group) == 1
+                   else ttm_fused(out, group, value, broadcast))
+        return out
     for m, f in pairs:
         out = ttm(out, f, m, value, broadcast)
         if threshold is not None:

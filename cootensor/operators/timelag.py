@@ -42,8 +42,11 @@ def xy_split(tl: DataFrame, time: str, lag: str = "lag", n_lags: int = 4, target
     lag mode) set to 0.  ``target_lag`` defaults to ``L - 1`` as in the
     reference (the oldest observation); 0 gives forecasting.
     """
+    from .joins import sized_broadcast
     target_lag = n_lags - 1 if target_lag is None else target_lag
-    done = complete_times(tl, time, lag, n_lags)
+    # one row per complete time: broadcast after its size check, so the lag
+    # tensor is filtered in place instead of shuffled for a semi join
+    done = sized_broadcast(complete_times(tl, time, lag, n_lags))
     kept = tl.join(done, time, "left_semi")
     x = kept.filter(F.col(lag) != target_lag)
     y = kept.filter(F.col(lag) == target_lag)

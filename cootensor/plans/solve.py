@@ -34,7 +34,8 @@ def sign_fix(f: DataFrame) -> DataFrame:
     """Make the largest-magnitude entry of every factor row (``_1``) positive.
 
     ``max_by`` is a partial aggregate: a row of d entries never sits whole in
-    one task.
+    one task.  The sign table has one row per component (bounded by the rank),
+    so it is broadcast.
     """
     s = f.groupBy("_1").agg(F.max_by(VALUE, F.abs(F.col(VALUE))).alias("__piv"))
     s = s.select("_1", F.when(F.col("__piv") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)).alias("__s"))
@@ -222,6 +223,11 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
     # 0..max(_1) of C, generated per index row (no join)
     t_max = c.select(F.max("_1")).scalar()
     grid = idx.select("s", F.explode(F.sequence(F.lit(0), t_max)).alias("t"))
+    # per-target tables have one row per target: decide once whether they
+    # are small enough to broadcast
+    n_t = (c.agg(F.max("_1")).first()[0] or 0) + 1
+    from ..session import BROADCAST_MAX_ROWS
+    bc = F.broadcast if n_t <= BROADCAST_MAX_ROWS else (lambda d: d)
     b = grid.join(c.select(F.col("_2").alias("s"), F.col("_1").alias("t"), F.col(VALUE).alias("b")),
                   ["s", "t"], "left").fillna(0.0, ["b"])
     st = (b.join(sized_broadcast(diag), "s")
@@ -229,7 +235,7 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
                   (F.col("b") / F.col("dg")).alias("p")))
     per_t = st.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz"),
                                 F.sum(F.col("r") * F.col("r")).alias("bb"))
-    st = st.join(F.broadcast(per_t), "t").withColumn("rr", F.col("bb"))
+    st = st.join(bc(per_t), "t").withColumn("rr", F.col("bb"))
     if checkpoint:
         st = st.checkpoint(eager=True)
     n = idx.count()
@@ -240,13 +246,13 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
         s2 = st.join(q, ["s", "t"], "left").fillna(0.0, ["q"])
         pq = s2.groupBy("t").agg(F.sum(F.col("p") * F.col("q")).alias("pq"))
         al = F.coalesce(F.try_divide(F.col("rz"), F.col("pq")), F.lit(0.0))
-        s3 = s2.join(F.broadcast(pq), "t").select(
+        s3 = s2.join(bc(pq), "t").select(
             "s", "t", (F.col("x") + al * F.col("p")).alias("x"),
             (F.col("r") - al * F.col("q")).alias("r"), "dg", "p", "rz", "bb")
         nxt = s3.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz2"),
                                   F.sum(F.col("r") * F.col("r")).alias("rr"))
         be = F.coalesce(F.try_divide(F.col("rz2"), F.col("rz")), F.lit(0.0))
-        st = s3.join(F.broadcast(nxt), "t").select(
+        st = s3.join(bc(nxt), "t").select(
             "s", "t", "x", "r", "dg", (F.col("r") / F.col("dg") + be * F.col("p")).alias("p"),
             F.col("rz2").alias("rz"), "bb", "rr").select(*cols)
         if checkpoint:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import sized_broadcast
 from ..session import VALUE
 from .build import build_tensor, dense_index
 
@@ -50,7 +51,7 @@ def events_ued(spark: SparkSession, sf_dir: str) -> DataFrame:
                          value_type="decimal(18,2)").checkpoint(eager=True)
     users = dense_index(cells, "user_id", "u")
     types = dense_index(cells, "event_type", "e")
-    return (cells.join(users, "user_id").join(F.broadcast(types), "event_type")
+    return (cells.join(sized_broadcast(users), "user_id").join(sized_broadcast(types), "event_type")
             .select("u", "e", "d", VALUE))
 
 
@@ -60,7 +61,7 @@ def events_ed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = build_tensor(ev, ["event_type", _day("ts").alias("d")], "value",
                          value_type="decimal(18,2)").checkpoint(eager=True)
     types = dense_index(cells, "event_type", "e")
-    return cells.join(F.broadcast(types), "event_type").select("e", "d", VALUE)
+    return cells.join(sized_broadcast(types), "event_type").select("e", "d", VALUE)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells.checkpoint(eager=True)
     out = cells
     for src, dst in [("p_brand", "b"), ("p_type", "t"), ("l_returnflag", "f"), ("l_linestatus", "s")]:
-        out = out.join(F.broadcast(dense_index(cells, src, dst)), src)
+        out = out.join(sized_broadcast(dense_index(cells, src, dst)), src)
     return out.select("b", "t", "f", "s", VALUE)
 
 

@@ -153,3 +153,19 @@ def test_empty_inputs(spark):
     assert op.ttm(e, f, "_1").count() == 0
     assert op.gram(op.unfold(e, "_1")).count() == 0
     assert op.ttm_chain(e, [f, f, f]).count() == 0
+
+
+def test_fused_chain_equals_sequential(spark, rng):
+    from cootensor.operators.algebra import ttm_fused
+    a = sparse_tensor(rng, (4, 5, 6))
+    t = from_dense(spark, a)
+    # low fan-out factors (one output per input) fuse; a rank-3 factor does not
+    f1 = np.zeros((2, 4)); f1[[0, 0, 1, 1], [0, 1, 2, 3]] = [1, 2, 3, 4]
+    f3 = np.zeros((3, 6)); f3[[0, 1, 2, 0, 1, 2], range(6)] = 1
+    g = rng.integers(-2, 3, size=(3, 5)).astype(float)
+    fs = [matrix_df(spark, f1), matrix_df(spark, g), matrix_df(spark, f3)]
+    want = np.einsum("ijk,ai,bj,ck->abc", a, f1, g, f3)
+    np.testing.assert_allclose(to_dense(op.ttm_chain(t, fs), (2, 3, 3)), want)
+    np.testing.assert_allclose(to_dense(op.ttm_chain(t, fs, fuse=False), (2, 3, 3)), want)
+    fused = ttm_fused(t, [("_1", fs[0]), ("_3", fs[2])])
+    np.testing.assert_allclose(to_dense(fused, (2, 5, 3)), np.einsum("ijk,ai,ck->ajc", a, f1, f3))
