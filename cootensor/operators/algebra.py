@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import MAX_LOCAL_DIM, VALUE
 from ..tensor import modes_of
 from .dense import fiber_cross, fiber_gram
-from .joins import sized_broadcast
+from .joins import prepare_factor, sized_broadcast
 
 
 def ttm(t: DataFrame, factor: DataFrame, mode: str, value: str = VALUE,
@@ -43,12 +43,6 @@ def ttm(t: DataFrame, factor: DataFrame, mode: str, value: str = VALUE,
 FUSE_MAX_FANOUT = 4
 
 
-def fanout(f: DataFrame) -> int:
-    """Most rows any input index ``_2`` of a factor maps to (a one-row aggregate)."""
-    r = f.groupBy("_2").count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
 def ttm_fused(t: DataFrame, pairs: list[tuple[str, DataFrame]], value: str = VALUE,
               broadcast: bool | str = "auto") -> DataFrame:
     """Several mode products in one pass: every factor joins (broadcast after
@@ -61,10 +55,12 @@ def ttm_fused(t: DataFrame, pairs: list[tuple[str, DataFrame]], value: str = VAL
     j = t
     w = F.col(value)
     outs = {}
-    for k, (m, f) in enumerate(pairs):
+    for k, pair in enumerate(pairs):
+        m, f = pair[0], pair[1]
+        b = pair[2] if len(pair) > 2 else broadcast
         fk = f.select(F.col("_1").alias(f"__o{k}"), F.col("_2").alias(f"__i{k}"),
                       F.col(f.columns[2]).cast("double").alias(f"__w{k}"))
-        fk = sized_broadcast(fk, broadcast)
+        fk = sized_broadcast(fk, b)
         j = j.join(fk, j[m] == fk[f"__i{k}"])
         w = w * F.col(f"__w{k}")
         outs[m] = f"__o{k}"
@@ -72,15 +68,15 @@ def ttm_fused(t: DataFrame, pairs: list[tuple[str, DataFrame]], value: str = VAL
     return j.groupBy(*keys).agg(F.sum(w).alias(value)).select(*modes, value)
 
 
-def _fuse_groups(pairs, max_fanout: int):
+def _fuse_groups(prepared, max_fanout: int):
     """Greedy runs of consecutive products whose fan-out product stays small."""
     groups, cur, prod = [], [], 1
-    for m, f in pairs:
-        fo = max(fanout(f), 1)
+    for m, f, b, fo in prepared:
+        fo = max(fo, 1)
         if cur and prod * fo > max_fanout:
             groups.append(cur)
             cur, prod = [], 1
-        cur.append((m, f))
+        cur.append((m, f, b))
         prod *= fo
     if cur:
         groups.append(cur)
@@ -125,9 +121,11 @@ def ttm_chain(t: DataFrame, factors: list[DataFrame | None], skip: int | None =
     out = t
     plain = threshold is None and top_k is None and not checkpoint
     if fuse and plain and len(pairs) > 1:
-        for group in _fuse_groups(pairs, FUSE_MAX_FANOUT):
-            out = (ttm(out, group[0][1], group[0][0], value, broadcast) if len(group) == 1
-                   else ttm_fused(out, group, value, broadcast))
+        # one job per factor: cache it, count it, measure its fan-out
+        prepared = [(m,) + prepare_factor(f, broadcast) for m, f in pairs]
+        for group in _fuse_groups(prepared, FUSE_MAX_FANOUT):
+            out = (ttm(out, group[0][1], group[0][0], value, group[0][2]) if len(group) == 1
+                   else ttm_fused(out, group, value))
         return out
     for m, f in pairs:
         out = ttm(out, f, m, value, broadcast)

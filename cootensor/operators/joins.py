@@ -20,6 +20,8 @@ def sized_broadcast(df: DataFrame, broadcast: bool | str = "auto",
     """
     if broadcast is True:
         return F.broadcast(df)
+    if broadcast is False:
+        return df
     if broadcast == "auto":
         # keep what the count computes, so the join does not derive the
         # factor a second time
@@ -28,3 +30,24 @@ def sized_broadcast(df: DataFrame, broadcast: bool | str = "auto",
         if n <= max_rows:
             return F.broadcast(df)
     return df
+
+
+def factor_stats(f: DataFrame) -> tuple[int, int]:
+    """``(rows, fan-out)`` of a factor in one aggregate: its row count and the
+    most rows any input index ``_2`` maps to."""
+    r = (f.groupBy("_2").agg(F.count(F.lit(1)).alias("__n"))
+         .agg(F.sum("__n").alias("rows"), F.max("__n").alias("fan")).first())
+    return int(r["rows"] or 0), int(r["fan"] or 0)
+
+
+def prepare_factor(f: DataFrame, broadcast: bool | str = "auto",
+                   max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool, int]:
+    """Cache a factor, measure it once, and decide its join strategy.
+
+    Returns ``(factor, broadcast?, fan-out)``; the decision is a plain bool so
+    later joins spend no further jobs on it.
+    """
+    f = f.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, fan = factor_stats(f)
+    b = (rows <= max_rows) if broadcast == "auto" else bool(broadcast)
+    return f, b, fan

@@ -163,12 +163,14 @@ def leading_eigvecs(u: DataFrame, k: int, route: str = "auto", max_local_dim: in
     d <= max_local_dim); ``"subspace"`` never forms it; ``"auto"`` picks the
     Gram route when the index range is small enough.
     """
+    checked = False
     if route == "auto":
         if dim is None:
             dim = (u.agg(F.max(u.columns[1])).first()[0] or 0) + 1
+            checked = True
         route = "gram" if dim <= max_local_dim else "subspace"
     if route == "gram":
-        return eigvecs_of_gram(gram(u, max_dim=max_local_dim), k)
+        return eigvecs_of_gram(gram(u, max_dim=max_local_dim, check=not checked), k)
     return subspace_eigvecs(u, k, **kw)
 
 
