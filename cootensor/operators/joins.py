@@ -29,6 +29,7 @@ def sized_broadcast(df: DataFrame, broadcast: bool | str = "auto",
         n = df.limit(max_rows + 1).count()
         if n <= max_rows:
             return F.broadcast(df)
+        df.unpersist()          # too big to broadcast: do not pin it in executor memory
     return df
 
 
@@ -50,4 +51,6 @@ def prepare_factor(f: DataFrame, broadcast: bool | str = "auto",
     f = f.persist(StorageLevel.MEMORY_AND_DISK)
     rows, fan = factor_stats(f)
     b = (rows <= max_rows) if broadcast == "auto" else bool(broadcast)
+    if not b:
+        f.unpersist()
     return f, b, fan
