@@ -11,14 +11,22 @@ the per-task partial matrices are shuffled and summed by Spark.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import MAX_LOCAL_DIM, VALUE
 
+# This module's functions run inside Python workers.  Ship them by value so a
+# worker needs no copy of this package on its path (e.g. a driver started
+# outside the repository, or executors without --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PAIR_BUDGET = 4_000_000      # pair products per vectorised chunk
 _DENSE_BUDGET = 4_000_000     # doubles per dense chunk block
 

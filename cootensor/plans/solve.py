@@ -13,8 +13,11 @@ Two routes each:
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,11 @@ from ..operators.algebra import gram
 from ..operators.dense import fiber_gram
 from ..session import MAX_LOCAL_DIM, VALUE
 
+# This module's functions run inside Python workers.  Ship them by value so a
+# worker needs no copy of this package on its path (e.g. a driver started
+# outside the repository, or executors without --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FACTOR_SCHEMA = "_1 int, _2 int, product double"
 
 
