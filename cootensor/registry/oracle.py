@@ -414,3 +414,34 @@ def reg_grid(name: str, mode: str, seed: int) -> str:
 Q["random_reg_factors"] = with_(REG_XY) + "," + reg_grid("r0", "e", 13).lstrip() + "," + \
     reg_grid("r1", "lag", 14).lstrip() + """
 SELECT CAST(0 AS INTEGER) AS mode, * FROM r0 UNION ALL SELECT CAST(1 AS INTEGER) AS mode, * FROM r1"""
+
+# Rank-1 HOOI = alternating power method: step s renews the vector of mode
+# s % 3 from the other two, normalises it and makes its largest entry positive.
+HOPM_STEPS = 9
+Q["hosvd_rank1"] = with_rec(TRADE) + "," + ",".join([
+    lcg_grid("f1", "trade", "cn", 1, 9).lstrip(), lcg_grid("f2", "trade", "sn", 1, 10).lstrip(),
+    lcg_grid("f3", "trade", "m", 1, 11).lstrip()]) + f""",
+init AS (SELECT 0 AS mode, _2 AS idx, product AS v FROM f1
+         UNION ALL SELECT 1, _2, product FROM f2
+         UNION ALL SELECT 2, _2, product FROM f3),
+hopm(step, mode, idx, v) AS (
+  SELECT 0, mode, idx, v FROM init
+  UNION ALL
+  SELECT h.step + 1, h.mode, h.idx, CASE WHEN h.mode = h.step % 3 THEN n.v ELSE h.v END
+  FROM hopm h
+  LEFT JOIN (
+    SELECT step, k, idx, y / sqrt(sum(y * y) OVER (PARTITION BY step))
+                         * sign(first_value(y) OVER (PARTITION BY step ORDER BY abs(y) DESC, idx)) AS v
+    FROM (
+      SELECT a.step, a.step % 3 AS k,
+             CASE a.step % 3 WHEN 0 THEN t.cn WHEN 1 THEN t.sn ELSE t.m END AS idx,
+             sum(t.product * CASE a.step % 3 WHEN 0 THEN b.v * c.v WHEN 1 THEN a.v * c.v ELSE a.v * b.v END) AS y
+      FROM trade t
+      JOIN hopm a ON a.mode = 0 AND a.idx = t.cn
+      JOIN hopm b ON b.mode = 1 AND b.idx = t.sn AND b.step = a.step
+      JOIN hopm c ON c.mode = 2 AND c.idx = t.m AND c.step = a.step
+      GROUP BY 1, 2, 3)) n
+    ON n.step = h.step AND n.k = h.mode AND n.idx = h.idx
+  WHERE h.step < {HOPM_STEPS} AND (h.mode <> h.step % 3 OR n.v IS NOT NULL))
+SELECT CAST(mode AS INTEGER) AS mode, CAST(0 AS INTEGER) AS _1, CAST(idx AS INTEGER) AS _2, round(v, 6) AS product
+FROM hopm WHERE step = {HOPM_STEPS} AND v <> 0"""

@@ -508,3 +508,13 @@ def q_tensor_regression_fit(spark, sf):
     x, y = _reg_xy(spark, sf)
     bs, _ = fit(x, y, _reg_factors(spark, x), n_iter=2, precision=0.0)
     return op.vstack(*bs, tag="mode")
+
+
+@query("hosvd_rank1")
+def q_hosvd_rank1(spark, sf):
+    """HOOI with rank (1, 1, 1), 3 sweeps, from LCG starting vectors: the
+    alternating higher-order power method, checkable in plain SQL."""
+    from ..plans.tucker import hooi, lcg_factors
+    t = _trade_cut(spark, sf)
+    fs = hooi(t, lcg_factors(t, [1, 1, 1], seed=9), n_iter=3)
+    return _r6(op.vstack(*fs, tag="mode"))
