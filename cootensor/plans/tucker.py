@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_uniform, lcg_uniform
-from ..operators.algebra import ttm_chain
+from ..operators.algebra import ttm, ttm_chain
 from ..operators.reshape import transpose, unfold
 from ..session import VALUE
 from ..sources.io import index_grid
@@ -57,7 +57,7 @@ def factor_ranks(factors: list[DataFrame]) -> list[int]:
 
 def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float | None = None,
          top_k: int | None = None, route: str = "auto", store=None, value: str = VALUE,
-         **eig_kw) -> list[DataFrame]:
+         reuse: bool = True, **eig_kw) -> list[DataFrame]:
     """Higher-order orthogonal iteration.
 
     For every sweep and mode i: Y = T projected on every other factor (the
@@ -67,18 +67,32 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float |
     less than ``tol`` (relative); the reference always runs ``n_iter``.
     Factors are stored per (iter, mode) in ``store`` (a ``RunStore``) or
     checkpointed.
+
+    ``reuse``: the last factor does not change before the last update of a
+    sweep, so ``C = T x_last F_last`` is formed once per sweep (checkpointed)
+    and the other updates start from C instead of T.  A sweep then reads the
+    full tensor twice instead of once per mode.  Mode products commute, so
+    the result is the same; with ``top_k`` the truncation points would move,
+    so the plain per-mode chain is kept there.
     """
     modes = modes_of(t, value)
     ranks = factor_ranks(factors)
     fs = list(factors)
+    n = min(len(fs), len(modes))
     # T is read by every mode of every sweep: cut its lineage once
     t = t.checkpoint(eager=True)
     last = None
     for it in range(n_iter):
-        for i, m in enumerate(modes):
-            if i >= len(fs):
-                break
-            y = ttm_chain(t, fs, skip=i, value=value, top_k=top_k, checkpoint=True)
+        cache = None
+        for i in range(n):
+            m = modes[i]
+            if reuse and top_k is None and n >= 2 and i < n - 1:
+                if cache is None:
+                    cache = ttm(t, fs[n - 1], modes[n - 1], value).checkpoint(eager=True)
+                rest = [None if j in (i, n - 1) else fs[j] for j in range(n)]
+                y = ttm_chain(cache, rest, value=value, checkpoint=True)
+            else:
+                y = ttm_chain(t, fs, skip=i, value=value, top_k=top_k, checkpoint=True)
             new = leading_eigvecs(unfold(y, m, value), ranks[i], route=route, **eig_kw)
             new = new.filter(F.abs(F.col(VALUE)) > 0)
             fs[i] = store.save_factor(new, it, i) if store is not None else new.checkpoint(eager=True)

@@ -129,3 +129,16 @@ def test_random_factors_are_reproducible(spark):
     f2 = sorted(random_factors(t.repartition(3), [2, 2], seed=4)[0].collect())
     assert f1 == f2 and len(f1) == 6
     assert all(0 <= r.product < 1 for r in f1)
+
+
+def test_hooi_reuse_matches_plain_chain(spark):
+    rng = np.random.default_rng(14)
+    a = rng.integers(0, 4, size=(6, 5, 4, 3)).astype(float)
+    t = from_dense(spark, a)
+    f0 = random_factors(t, [2, 2, 2, 2], seed=6)
+    fa = hooi(t, f0, n_iter=2, reuse=True)
+    fb = hooi(t, f0, n_iter=2, reuse=False)
+    for x, y, d in zip(fa, fb, (6, 5, 4, 3)):
+        pa, _ = projector(x, 2, d)
+        pb, _ = projector(y, 2, d)
+        np.testing.assert_allclose(pa, pb, atol=1e-9)
