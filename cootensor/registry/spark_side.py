@@ -55,7 +55,8 @@ def _events_lag(spark, sf):
 
 
 def _xy(spark, sf):
-    return op.xy_split(_events_lag(spark, sf), "d", "lag", 4)
+    x, y = op.xy_split(_events_lag(spark, sf), "d", "lag", 4)
+    return x.checkpoint(eager=True), y.checkpoint(eager=True)
 
 
 # ---------------------------------------------------------------- 2.A sources / sinks
@@ -419,7 +420,7 @@ def _reg_xy(spark, sf):
     x, y = _xy(spark, sf)
     x, y = op.cut_and_rebase(x, y, "d", after=2)
     sc = {"product": F.col("product") * F.lit(SCALE)}
-    return x.withColumns(sc), y.withColumns(sc)
+    return x.withColumns(sc).checkpoint(eager=True), y.withColumns(sc).checkpoint(eager=True)
 
 
 def _reg_factors(spark, x):

@@ -1,6 +1,9 @@
 """Tensors and factors built from the driver's tables (FIXTURES.md §2, §3).
 
 Everything here reads the given Parquet tables, so its work grows with them.
+Tensors built through dictionaries are materialized (checkpoint) once: every
+factor later derived from them then starts from that copy instead of
+repeating the dictionary joins in its own plan.
 """
 
 from __future__ import annotations
@@ -51,8 +54,9 @@ def events_ued(spark: SparkSession, sf_dir: str) -> DataFrame:
                          value_type="decimal(18,2)").checkpoint(eager=True)
     users = dense_index(cells, "user_id", "u")
     types = dense_index(cells, "event_type", "e")
-    return (cells.join(sized_broadcast(users), "user_id").join(sized_broadcast(types), "event_type")
-            .select("u", "e", "d", VALUE))
+    out = (cells.join(sized_broadcast(users), "user_id").join(sized_broadcast(types), "event_type")
+           .select("u", "e", "d", VALUE))
+    return out.checkpoint(eager=True)       # materialized once; later plans start from it
 
 
 def events_ed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,8 @@ def events_ed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = build_tensor(ev, ["event_type", _day("ts").alias("d")], "value",
                          value_type="decimal(18,2)").checkpoint(eager=True)
     types = dense_index(cells, "event_type", "e")
-    return cells.join(sized_broadcast(types), "event_type").select("e", "d", VALUE)
+    out = cells.join(sized_broadcast(types), "event_type").select("e", "d", VALUE)
+    return out.checkpoint(eager=True)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +79,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cells
     for src, dst in [("p_brand", "b"), ("p_type", "t"), ("l_returnflag", "f"), ("l_linestatus", "s")]:
         out = out.join(sized_broadcast(dense_index(cells, src, dst)), src)
-    return out.select("b", "t", "f", "s", VALUE)
+    return out.select("b", "t", "f", "s", VALUE).checkpoint(eager=True)
 
 
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
