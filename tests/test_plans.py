@@ -41,6 +41,9 @@ def test_lag_expand_is_one_scan(spark):
     assert "Union" not in p and "Generate" in p
 
 
-def test_complete_times_is_semi_join(spark):
-    p = plan(E.queries()["lag_xy_split"](spark, SF))
-    assert "LeftSemi" in p
+def test_complete_times_is_broadcast_semi_join(spark):
+    from cootensor import operators as op
+    from cootensor.sources import fixtures as fx
+    x, _ = op.xy_split(op.lag_expand(fx.events_ed(spark, SF), "d", 4), "d", "lag", 4)
+    p = plan(x)
+    assert "LeftSemi" in p and "BroadcastHashJoin" in p and "SortMergeJoin" not in p
