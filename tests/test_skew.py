@@ -44,6 +44,7 @@ def test_shuffled_mode_product_with_hot_key(spark, skew_conf):
     f = np.arange(1, 3 * 40 + 1, dtype=float).reshape(3, 40)
     out = op.ttm(t, matrix_df(spark, f), "a", broadcast=False)     # shuffle join, AQE splits the hot key
     np.testing.assert_allclose(to_dense(out, (3, 300), ["a", "b"]), f @ dense)
+    out.collect()                                                   # run it so AQE reaches its final plan
     assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
 
 
