@@ -37,6 +37,8 @@ def top_k(t: DataFrame, k: int, value: str = VALUE, prefilter: bool = True) -> D
     # cheap and no extra pass is spent on counting.
     parts = t.sparkSession.conf.get("spark.sql.shuffle.partitions")
     if prefilter and k * max(int(parts), 1) > _DIRECT_ROWS:
+        # three passes follow (count, quantile, survivors): read a copy
+        t = t.checkpoint(eager=True)
         n = t.count()
         if n <= k:
             return t
