@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -75,14 +74,3 @@ def run_dir(spark: SparkSession, run_id: str | None = None) -> str:
     root = root.rstrip("/")
     rid = run_id or uuid.uuid4().hex[:12]
     return f"{root}/cootensor-runs/{rid}"
-
-
-def new_path(spark: SparkSession, base: str, name: str) -> str:
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

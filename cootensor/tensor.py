@@ -23,11 +23,6 @@ def modes_of(df: DataFrame, value: str = VALUE) -> list[str]:
     return [c for c in df.columns if c != value]
 
 
-def as_tensor(df: DataFrame, modes: list[str], value: str = VALUE) -> DataFrame:
-    """Project to ``modes + [value]`` with the value as double."""
-    return df.select(*[F.col(m) for m in modes], F.col(value).cast("double").alias(value))
-
-
 def tensor_shape(df: DataFrame, value: str = VALUE) -> DataFrame:
     """One row: ``max(mode) + 1`` per mode, under the mode's own name (D-5).
 
