@@ -193,3 +193,24 @@ def test_fit_two_sweeps_matches_numpy_als(spark):
     want = _np_als(x, y, b0, 2)
     for g, w in zip(got, want):
         np.testing.assert_allclose(to_dense(g, w.shape, ["_1", "_2"]), w, rtol=1e-7, atol=1e-9)
+
+
+def test_svd_init_factors_match_numpy(spark):
+    rng = np.random.default_rng(41)
+    x = rng.uniform(1, 3, size=(4, 3, 5))
+    y = rng.uniform(1, 3, size=(2, 3, 5))
+    tx = from_dense(spark, x, ["a", "b", "h"])
+    ty = from_dense(spark, y, ["a", "b", "h"])
+    got = reg.svd_init_factors(tx, ty, precision=1e-3)
+    for i, f in enumerate(got):
+        m = np.moveaxis(x, i, 0).reshape(x.shape[i], -1)
+        w, v = np.linalg.eigh(m @ m.T)
+        u = np.abs(v[:, np.argsort(-w)])                   # columns = components, largest first
+        tmax = y.shape[i] - 1
+        want = {(t, j + 1): u[t, j] for t in range(min(tmax + 1, u.shape[0]))
+                for j in range(u.shape[1]) if u[t, j] > 1e-3}
+        want.update({(t, 0): 0.0 for t in range(tmax + 1)})
+        have = {(r._1, r._2): r.product for r in f.collect()}
+        assert set(have) == set(want)
+        for key, val in want.items():
+            assert abs(have[key] - val) < 1e-9
