@@ -125,11 +125,18 @@ def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = 10, preci
 
 
 def _reg_grid(x: DataFrame, y: DataFrame, mode: str) -> DataFrame:
-    """Index grid target 0..max_t x source column 0..max_s + 1 (bias 0)."""
-    ts = y.agg(F.max(mode).alias("__t"))
-    tg = ts.select(F.explode(F.sequence(F.lit(0), F.col("__t"))).alias("_1"))
-    smax = x.select(F.max(mode)).scalar()
-    return tg.select("_1", F.explode(F.sequence(F.lit(0), smax + 1)).alias("_2"))
+    """Index grid target 0..max_t x source column 0..max_s + 1 (bias 0).
+
+    The grid is dense by definition (S15); it is generated as one distributed
+    ``range`` (div/mod decoded), sized from two scalar lookups, so no single
+    task produces it.
+    """
+    from ..sources.io import index_grid
+    tmax = y.agg(F.max(mode)).first()[0]
+    smax = x.agg(F.max(mode)).first()[0]
+    if tmax is None or smax is None:
+        return x.sparkSession.createDataFrame([], "_1 int, _2 int")
+    return index_grid(x.sparkSession, [int(tmax) + 1, int(smax) + 2], ["_1", "_2"])
 
 
 def random_reg_factors(x: DataFrame, y: DataFrame, precision: float = 1e-6, seed: int = 0,
