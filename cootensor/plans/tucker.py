@@ -57,7 +57,7 @@ def factor_ranks(factors: list[DataFrame]) -> list[int]:
 
 def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float | None = None,
          top_k: int | None = None, route: str = "auto", store=None, value: str = VALUE,
-         reuse: bool = True, **eig_kw) -> list[DataFrame]:
+         reuse: bool = True, norms: list | None = None, **eig_kw) -> list[DataFrame]:
     """Higher-order orthogonal iteration.
 
     For every sweep and mode i: Y = T projected on every other factor (the
@@ -74,6 +74,9 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float |
     full tensor twice instead of once per mode.  Mode products commute, so
     the result is the same; with ``top_k`` the truncation points would move,
     so the plain per-mode chain is kept there.
+
+    ``norms``: when a list is given, the core norm after every sweep is
+    appended to it (one extra chain and one-row aggregate per sweep).
     """
     modes = modes_of(t, value)
     ranks = factor_ranks(factors)
@@ -96,10 +99,12 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float |
             new = leading_eigvecs(unfold(y, m, value), ranks[i], route=route, **eig_kw)
             new = new.filter(F.abs(F.col(VALUE)) > 0)
             fs[i] = store.save_factor(new, it, i) if store is not None else new.checkpoint(eager=True)
-        if tol is not None:
+        if tol is not None or norms is not None:
             g = tucker_core(t, fs, value=value)
             norm = g.agg(F.sqrt(F.sum(F.col(value) * F.col(value)))).first()[0] or 0.0
-            if last is not None and abs(norm - last) <= tol * max(abs(norm), 1e-300):
+            if norms is not None:
+                norms.append(norm)
+            if tol is not None and last is not None and abs(norm - last) <= tol * max(abs(norm), 1e-300):
                 break
             last = norm
     return fs

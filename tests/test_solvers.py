@@ -214,3 +214,14 @@ def test_svd_init_factors_match_numpy(spark):
         assert set(have) == set(want)
         for key, val in want.items():
             assert abs(have[key] - val) < 1e-9
+
+
+def test_hooi_core_norm_never_falls(spark):
+    rng = np.random.default_rng(17)
+    a = rng.integers(0, 5, size=(6, 5, 4)).astype(float)
+    t = from_dense(spark, a)
+    norms = []
+    hooi(t, random_factors(t, [2, 2, 2], seed=8), n_iter=4, norms=norms)
+    assert len(norms) == 4
+    assert all(b >= a_ - 1e-9 * abs(a_) for a_, b in zip(norms, norms[1:])), norms
+    assert norms[-1] <= np.linalg.norm(a) + 1e-9                      # projection never exceeds ||T||
