@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import CHAIN_PRECISION, MODE_PRECISION, PREDICT_PRECISION
 from ..functions.expr import above
 from ..session import VALUE
 from ..tensor import modes_of
@@ -19,7 +20,7 @@ from .joins import sized_broadcast
 from .reshape import bias_split
 
 
-def affine_ttm(t: DataFrame, b: DataFrame, mode: str, precision: float | None = 1e-6,
+def affine_ttm(t: DataFrame, b: DataFrame, mode: str, precision: float | None = MODE_PRECISION,
                threshold: str = "before", value: str = VALUE,
                broadcast: bool | str = "auto") -> DataFrame:
     """``T x_mode W + bias``.  ``threshold`` is ``"before"`` (fit path) or
@@ -40,7 +41,7 @@ def affine_ttm(t: DataFrame, b: DataFrame, mode: str, precision: float | None =
     return out
 
 
-def affine_chain(t: DataFrame, bs: list[DataFrame], skip: int, precision: float | None = 0.5,
+def affine_chain(t: DataFrame, bs: list[DataFrame], skip: int, precision: float | None = CHAIN_PRECISION,
                  prefix: DataFrame | None = None, value: str = VALUE, checkpoint: bool = False,
                  broadcast: bool | str = "auto") -> DataFrame:
     """Affine products on every mode after ``skip`` (I7), threshold before bias.
@@ -59,7 +60,7 @@ def affine_chain(t: DataFrame, bs: list[DataFrame], skip: int, precision: float
     return out
 
 
-def predict(x: DataFrame, bs: list[DataFrame], precision: float | None = 1.0,
+def predict(x: DataFrame, bs: list[DataFrame], precision: float | None = PREDICT_PRECISION,
             value: str = VALUE, checkpoint: bool = False, broadcast: bool | str = "auto") -> DataFrame:
     """Apply every factor to its mode (the free mode, last, is never touched),
     threshold after the bias (I8)."""

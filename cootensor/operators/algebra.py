@@ -108,6 +108,8 @@ def ttm_chain(t: DataFrame, factors: list[DataFrame | None], skip: int | None =
     skips a mode, so does ``skip``).  After each product the optional
     ``threshold`` (strict ``abs > p``) and ``top_k`` truncation apply (S8),
     and ``checkpoint`` cuts the lineage in the shared checkpoint folder.
+    The reference's persisted chain is ``top_k=defaults.CORE_TOP_ROWS,
+    checkpoint=True``.
     Without those, ``fuse`` merges runs of low fan-out products into one join
     pipeline and one shuffle (``ttm_fused``).
     """

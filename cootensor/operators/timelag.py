@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import N_LAGS
 from ..session import VALUE
 from ..tensor import modes_of
 from .reshape import collapse_modes, rebase, time_slice
 
 
-def lag_expand(t: DataFrame, time: str | None = None, n_lags: int = 4, lag: str = "lag",
+def lag_expand(t: DataFrame, time: str | None = None, n_lags: int = N_LAGS, lag: str = "lag",
                value: str = VALUE) -> DataFrame:
     """Copy every cell to times ``t + k`` tagged ``lag = k``, ``k = 0..L-1``.
 
@@ -26,13 +27,13 @@ def lag_expand(t: DataFrame, time: str | None = None, n_lags: int = 4, lag: str
     return e.select(*others, lag, time, value)
 
 
-def complete_times(tl: DataFrame, time: str, lag: str = "lag", n_lags: int = 4) -> DataFrame:
+def complete_times(tl: DataFrame, time: str, lag: str = "lag", n_lags: int = N_LAGS) -> DataFrame:
     """Times that hold every lag ``0..L-1`` (H2): one aggregate, partial per task."""
     return (tl.groupBy(time).agg(F.count_distinct(lag).alias("__n"))
             .filter(F.col("__n") == n_lags).select(time))
 
 
-def xy_split(tl: DataFrame, time: str, lag: str = "lag", n_lags: int = 4, target_lag: int | None = None,
+def xy_split(tl: DataFrame, time: str, lag: str = "lag", n_lags: int = N_LAGS, target_lag: int | None = None,
              collapse: list[str] | None = None, value: str = VALUE,
              aggregate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Split a lag tensor into regression input X and target Y.

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import ALS_SWEEPS, FIT_MIN_PRED, FIT_PRECISION, INIT_PRECISION, RIDGE
 from ..functions.expr import hash_uniform, lcg_uniform
 from ..operators.affine import affine_chain, affine_ttm, predict
 from ..operators.algebra import cross_moment, gram, matrix_add, mode_marginal
@@ -44,7 +45,7 @@ def dense_count(y: DataFrame, mode: str, value: str = VALUE) -> DataFrame:
     return y.agg(reduce(lambda a, b: a * b, [(F.max(m) + 1).cast("double") for m in others]).alias("n"))
 
 
-def normal_equations(xbar: DataFrame, mode: str, n: DataFrame, ridge: float = 1e-3,
+def normal_equations(xbar: DataFrame, mode: str, n: DataFrame, ridge: float = RIDGE,
                      value: str = VALUE, max_dim: int = MAX_LOCAL_DIM) -> DataFrame:
     """Augmented normal matrix A (J4): Gram shifted by one, the marginal as
     row/column 0, the dense count at (0, 0), ``ridge`` on the diagonal
@@ -72,8 +73,8 @@ def cross_moments(y: DataFrame, xbar: DataFrame, mode: str, value: str = VALUE,
 
 
 def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
-                    prefix: DataFrame | None = None, precision: float | None = 0.0,
-                    ridge: float = 1e-3, route: str = "auto", value: str = VALUE,
+                    prefix: DataFrame | None = None, precision: float | None = FIT_PRECISION,
+                    ridge: float = RIDGE, route: str = "auto", value: str = VALUE,
                     checkpoint: bool = True, checkpoint_inputs: bool = False) -> tuple[DataFrame, DataFrame]:
     """Update factor ``i`` (J7).  Returns ``(B_i, new prefix)``."""
     if checkpoint_inputs:
@@ -96,8 +97,8 @@ def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
     return b, new_prefix
 
 
-def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = 10, precision: float | None = 0.0,
-        ridge: float = 1e-3, route: str = "auto", store=None, tol: float | None = None,
+def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = ALS_SWEEPS,
+        precision: float | None = FIT_PRECISION, ridge: float = RIDGE, route: str = "auto", store=None, tol: float | None = None,
         value: str = VALUE) -> tuple[list[DataFrame], list[float]]:
     """ALS fit (J8): ``n_iter`` sweeps over the non-free modes; after every
     sweep the model predicts X and is scored with R² (prediction >= 1 kept,
@@ -113,7 +114,7 @@ def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = 10, preci
             b, prefix = regression_step(x, y, bs, i, prefix, precision, ridge, route, value)
             bs[i] = store.save_factor(b, it, i) if store is not None else b
         pred = predict(x, bs, precision, value)
-        s = r2(y, pred, min_pred=1.0, value=value)
+        s = r2(y, pred, min_pred=FIT_MIN_PRED, value=value)
         if store is not None:
             store.save_score(s, it)
         r = s.first()["r2"]
@@ -139,7 +140,7 @@ def _reg_grid(x: DataFrame, y: DataFrame, mode: str) -> DataFrame:
     return index_grid(x.sparkSession, [int(tmax) + 1, int(smax) + 2], ["_1", "_2"])
 
 
-def random_reg_factors(x: DataFrame, y: DataFrame, precision: float = 1e-6, seed: int = 0,
+def random_reg_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECISION, seed: int = 0,
                        kind: str = "hash", value: str = VALUE) -> list[DataFrame]:
     """Random initial regression factors (I12, S15): full grid, uniform
     [0, 1), kept where ``abs > precision``.  ``kind="lcg"`` uses the
@@ -153,7 +154,7 @@ def random_reg_factors(x: DataFrame, y: DataFrame, precision: float = 1e-6, seed
     return out
 
 
-def svd_init_factors(x: DataFrame, y: DataFrame, precision: float = 1e-6, value: str = VALUE,
+def svd_init_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECISION, value: str = VALUE,
                      max_dim: int = MAX_LOCAL_DIM) -> list[DataFrame]:
     """SVD initial regression factors (J2, S14): |u| of the Gram of X's
     unfolding (all components), rows up to the target's max index, entries

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import HOOI_SWEEPS
 from ..functions.expr import hash_uniform, lcg_uniform
 from ..operators.algebra import ttm, ttm_chain
 from ..operators.reshape import transpose, unfold
@@ -55,7 +56,7 @@ def factor_ranks(factors: list[DataFrame]) -> list[int]:
     return [int((f.agg(F.max("_1")).first()[0] or 0) + 1) for f in factors]
 
 
-def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = 10, tol: float | None = None,
+def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = HOOI_SWEEPS, tol: float | None = None,
          top_k: int | None = None, route: str = "auto", store=None, value: str = VALUE,
          reuse: bool = True, norms: list | None = None, **eig_kw) -> list[DataFrame]:
     """Higher-order orthogonal iteration.
