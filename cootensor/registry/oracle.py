@@ -445,3 +445,6 @@ hopm(step, mode, idx, v) AS (
   WHERE h.step < {HOPM_STEPS} AND (h.mode <> h.step % 3 OR n.v IS NOT NULL))
 SELECT CAST(mode AS INTEGER) AS mode, CAST(0 AS INTEGER) AS _1, CAST(idx AS INTEGER) AS _2, round(v, 6) AS product
 FROM hopm WHERE step = {HOPM_STEPS} AND v <> 0"""
+
+Q["index_roundtrip"] = with_(PARTS_CELLS) + """
+SELECT p_brand, sum(product) AS product FROM parts_cells GROUP BY p_brand"""

@@ -519,3 +519,15 @@ def q_hosvd_rank1(spark, sf):
     t = _trade_cut(spark, sf)
     fs = hooi(t, lcg_factors(t, [1, 1, 1], seed=9), n_iter=3)
     return _r6(op.vstack(*fs, tag="mode"))
+
+
+@query("index_roundtrip")
+def q_index_roundtrip(spark, sf):
+    """Index label modes, multiply in index space, decode back to labels (M1)."""
+    from ..sources import build_tensor, decode_modes, index_modes
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
+    p = fx.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    cells = build_tensor(li.join(p, li.l_partkey == p.p_partkey),
+                         ["p_brand", "p_type", "l_returnflag", "l_linestatus"], "l_quantity")
+    idx, dicts = index_modes(cells, ["p_brand", "p_type"])
+    return decode_modes(op.mode_marginal(idx, "p_brand"), {"p_brand": dicts["p_brand"]})

@@ -53,6 +53,16 @@ def index_modes(df: DataFrame, modes: list[str], value: str = VALUE,
     return out.select(*df.columns), dicts
 
 
+def decode_modes(t: DataFrame, dicts: dict[str, DataFrame], broadcast: bool | str = "auto") -> DataFrame:
+    """Map indexed modes back to their labels with the dictionaries returned
+    by ``index_modes`` (M1, the way back).  Column order is kept."""
+    out = t
+    for m, d in dicts.items():
+        lab = d.select(F.col(f"{m}__idx").alias(m), F.col(m).alias(f"{m}__label"))
+        out = out.join(sized_broadcast(lab, broadcast), m).withColumn(m, F.col(f"{m}__label")).drop(f"{m}__label")
+    return out.select(*t.columns)
+
+
 def build_tensor(df: DataFrame, modes: list, value, agg: str = "sum",
                  drop_zero: bool = True, value_type: str | None = None) -> DataFrame:
     """Aggregate a fact table into a sparse tensor (M2).

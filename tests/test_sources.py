@@ -56,3 +56,12 @@ def test_runstore_factor_table_and_snapshot(spark):
     assert rs.load_factor(3, 1, "saved").count() == 1
     other = RunStore(spark)
     assert other.root != rs.root                     # per-run folders (D2)
+
+
+def test_decode_modes_roundtrip(spark):
+    from cootensor.sources import decode_modes
+    df = spark.createDataFrame([("b", "x", 1.0), ("a", "y", 2.0), ("c", "x", 4.0)], "s string, t string, product double")
+    idx, dicts = index_modes(df, ["s", "t"])
+    back = decode_modes(idx, dicts)
+    assert back.columns == df.columns
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
