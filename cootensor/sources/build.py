@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +12,28 @@ from ..session import VALUE
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
 
+# Largest dictionary ranked by one ordered window in a single task.
+SMALL_DICT = 100_000
+
+
 def dense_index(values: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Dictionary ``(col, out)``: 0-based rank of each distinct value of ``col``.
 
-    No global window (that would put every value in one partition): the
-    distinct values are range-partitioned and sorted by ``orderBy``; each row's
-    position inside its partition and the partition number come from
-    ``monotonically_increasing_id``; a per-partition count (one row per
-    partition) gives the offsets.  The sorted dictionary is checkpointed so the
-    ids are stable between the count and the lookup, also after a task retry.
+    The distinct values are counted first (cached, so the count is the only
+    extra pass).  Up to ``SMALL_DICT`` values, one ordered ``row_number``
+    ranks them in a single task, a bound that was just checked.  Beyond that
+    no global window is used: the values are range-partitioned and sorted by
+    ``orderBy``, each row's position in its partition and the partition number
+    come from ``monotonically_increasing_id``, and a per-partition count (one
+    row per partition) gives the offsets.  That sorted dictionary is
+    checkpointed, so ids stay stable between the count and the lookup, also
+    after a task retry.
     """
     out = out or col
-    d = values.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
+    d = values.select(col).filter(F.col(col).isNotNull()).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    if d.limit(SMALL_DICT + 1).count() <= SMALL_DICT:
+        return d.select(F.col(col), (F.row_number().over(Window.orderBy(col)) - 1).cast("int").alias(out))
+    d = d.orderBy(col)
     d = d.withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     d = d.withColumn("__pid", F.shiftright("__mid", _POS_BITS)).withColumn(
         "__pos", F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))

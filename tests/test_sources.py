@@ -65,3 +65,14 @@ def test_decode_modes_roundtrip(spark):
     back = decode_modes(idx, dicts)
     assert back.columns == df.columns
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_dense_index_large_path_matches_small_path(spark, monkeypatch):
+    from cootensor.sources import build
+    rng = np.random.default_rng(5)
+    vals = [f"v{v:05d}" for v in rng.integers(0, 4000, size=6000)]
+    df = spark.createDataFrame([(v,) for v in vals], "k string").repartition(9)
+    small = {r.k: r.idx for r in build.dense_index(df, "k", "idx").collect()}
+    monkeypatch.setattr(build, "SMALL_DICT", 10)                  # force the partitioned path
+    large = {r.k: r.idx for r in build.dense_index(df, "k", "idx").collect()}
+    assert small == large == {v: i for i, v in enumerate(sorted(set(vals)))}
