@@ -63,3 +63,12 @@ class RunStore:
 
     def scores(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/scores")
+
+    # -- cleanup ----------------------------------------------------------
+    def drop(self) -> bool:
+        """Delete this run's folder (factors, scores, cuts) through the Hadoop
+        FileSystem of its path, so it works on HDFS / object stores alike."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.delete(path, True))

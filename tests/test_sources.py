@@ -76,3 +76,13 @@ def test_dense_index_large_path_matches_small_path(spark, monkeypatch):
     monkeypatch.setattr(build, "SMALL_DICT", 10)                  # force the partitioned path
     large = {r.k: r.idx for r in build.dense_index(df, "k", "idx").collect()}
     assert small == large == {v: i for i, v in enumerate(sorted(set(vals)))}
+
+
+def test_runstore_drop(spark):
+    rs = RunStore(spark)
+    rs.save_factor(spark.createDataFrame([(0, 0, 1.0)], "_1 int, _2 int, product double"), 0, 0)
+    assert rs.factor_table().count() == 1
+    assert rs.drop()
+    import pytest
+    with pytest.raises(Exception):
+        rs.factor_table().count()
