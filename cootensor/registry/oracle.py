@@ -134,7 +134,7 @@ def affine_step(src: str, out: str, fac: str, mode: str, modes: list[str], preci
 
 Q = ORACLE_SQL
 
-Q["scan_tensor"] = with_(TRADE) + "SELECT * FROM trade WHERE m < 24"
+Q["scan_tensor"] = with_(TRADE) + "SELECT * FROM trade"
 Q["sink_roundtrip"] = with_(TRADE) + "SELECT * FROM trade"
 Q["csv_tensor"] = with_(TRADE) + "SELECT cn AS _1, sn AS _2, m AS _3, product FROM trade"
 Q["literal_factor"] = with_(EVENTS_LAG) + """

@@ -24,10 +24,15 @@ def test_e_class_chains_have_no_python(spark):
             assert py not in p, (name, py)
 
 
-def test_scan_pushes_filter_and_prunes(spark):
-    df = E.queries()["scan_tensor"](spark, SF)
+def test_scan_pushes_filter_and_prunes(spark, tmp_path):
+    from cootensor import operators as op
+    from cootensor.sources import fixtures as fx, read_tensor
+    path = str(tmp_path / "trade")
+    fx.trade(spark, SF).write.parquet(path)
+    df = op.time_slice(read_tensor(spark, path, ["sn", "m", "product"]), "m", hi=24)
     s = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(m), LessThan(m,24)]" in s
+    assert "ReadSchema: struct<sn:int,m:int,product:double>" in s        # cn never read
 
 
 def test_top_k_is_take_ordered_not_global_window(spark):
