@@ -142,6 +142,20 @@ def ttm_chain(t: DataFrame, factors: list[DataFrame | None], skip: int | None =
     return out
 
 
+def _pick_broadcast(a: DataFrame, b: DataFrame, broadcast: bool | str):
+    """Broadcast B when its size check passes, else try A; with neither small
+    the join shuffles both sides (AQE splits skewed keys)."""
+    if broadcast != "auto":
+        return a, sized_broadcast(b, broadcast)
+    from .joins import BROADCAST_MAX_ROWS
+    from pyspark import StorageLevel
+    b = b.persist(StorageLevel.MEMORY_AND_DISK)
+    if b.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
+        return a, F.broadcast(b)
+    b.unpersist()
+    return sized_broadcast(a, "auto"), b
+
+
 def spmm_atb(a: DataFrame, b: DataFrame, broadcast: bool | str = "auto") -> DataFrame:
     """``AᵀB``: contract the first column of both.
 
@@ -152,7 +166,7 @@ def spmm_atb(a: DataFrame, b: DataFrame, broadcast: bool | str = "auto") -> Data
                   F.col(a.columns[2]).cast("double").alias("__v"))
     b2 = b.select(F.col(b.columns[0]).alias("__k"), F.col(b.columns[1]).alias("_2"),
                   F.col(b.columns[2]).cast("double").alias("__w"))
-    b2 = sized_broadcast(b2, broadcast)
+    a2, b2 = _pick_broadcast(a2, b2, broadcast)
     return (a2.join(b2, "__k").groupBy("_1", "_2")
             .agg(F.sum(F.col("__v") * F.col("__w")).alias(VALUE)))
 
@@ -170,7 +184,7 @@ def spmm_abt(a: DataFrame, b: DataFrame, broadcast: bool | str = "auto") -> Data
                   F.col(a.columns[2]).cast("double").alias("__v"))
     b2 = b.select(F.col(b.columns[1]).alias("__k"), F.col(b.columns[0]).alias(nb),
                   F.col(b.columns[2]).cast("double").alias("__w"))
-    b2 = sized_broadcast(b2, broadcast)
+    a2, b2 = _pick_broadcast(a2, b2, broadcast)
     return (a2.join(b2, "__k").groupBy(na, nb)
             .agg(F.sum(F.col("__v") * F.col("__w")).alias(VALUE)))
 

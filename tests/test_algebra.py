@@ -169,3 +169,16 @@ def test_fused_chain_equals_sequential(spark, rng):
     np.testing.assert_allclose(to_dense(op.ttm_chain(t, fs, fuse=False), (2, 3, 3)), want)
     fused = ttm_fused(t, [("_1", fs[0]), ("_3", fs[2])])
     np.testing.assert_allclose(to_dense(fused, (2, 5, 3)), np.einsum("ijk,ai,ck->ajc", a, f1, f3))
+
+
+def test_spmm_broadcasts_the_small_side(spark, rng, monkeypatch):
+    from cootensor.operators import joins
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 5)
+    a = sparse_tensor(rng, (4, 2), 1.0)
+    b = sparse_tensor(rng, (4, 40), 1.0)
+    small = matrix_df(spark, a[:, :1][:3])         # at most 3 rows: under the patched limit of 5
+    big = matrix_df(spark, b)                      # up to 160 rows: over it
+    out = op.spmm_atb(small, big)
+    np.testing.assert_allclose(to_dense(out, (1, 40), ["_1", "_2"]), a[:3, :1].T @ b[:3])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan
