@@ -17,7 +17,7 @@ PROBES = 3
 
 
 def _places(keys: np.ndarray) -> list[np.ndarray]:
-    return [(mix(keys + U64(i + 1) * U64(0x9E3779B97F4A7C15)) % U64(FILTER_BITS)).astype(np.int64) for i in range(PROBES)]
+    return [(mix(keys + U64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % U64(FILTER_BITS)).astype(np.int64) for i in range(PROBES)]
 
 
 def key_filter(keys: DataFrame, col: str):
