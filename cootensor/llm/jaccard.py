@@ -44,11 +44,11 @@ THRESHOLD = 75                     # per cent
 MINHASHES = 6
 AGREE = 2                          # min-hashes a node shares with a leader to be paired with it
 ORDER_SHINGLES = 1 << 18           # most frequent shingles put last in the order
-WINDOW_SHINGLES = 1 << 22          # shingles a task counts at once for that
+WINDOW_SHINGLES = 1 << 21          # shingles a task counts at once for that
 SEEN = 3                           # a count window reports what it has in so many documents
-BUCKET_BYTES = 16 << 20            # text per index bucket
+BUCKET_BYTES = 8 << 20             # text per index bucket
 MAX_BUCKETS = 1 << 16
-PAIR_BLOCK = 1 << 21               # pairs expanded at once inside a list
+PAIR_BLOCK = 1 << 18               # pairs expanded at once inside a list
 
 _PERM = mix(np.arange(1, MINHASHES + 1, dtype=U64)) | U64(1)
 
