@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import annotate
+from .frames import annotate, cut, most_counted
 from .text import U64, buffers, chunks, mix
 
 LEXICON_WORDS = 50_000     # words compiled into the lexicon
@@ -510,8 +510,8 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WOR
                     pa.array(n[keep].astype(np.int64))], names=["word", "n"])
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long")
-    top = counts.where(F.length("word") <= LONG_PIECE).groupBy("word").agg(F.sum("n").alias("n")) \
-        .orderBy(F.desc("n"), "word").limit(words)
+    counts = cut(counts.where(F.length("word") <= LONG_PIECE).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = most_counted(counts, "n", words)
     return [bytes(r.word) for r in top.select("word").collect()]
 
 

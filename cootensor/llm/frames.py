@@ -49,6 +49,23 @@ def annotate(df: DataFrame, keep: list[str], inputs: dict[str, Column],
     return src.mapInArrow(run, out)
 
 
+def most_counted(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows with the highest counts, as many whole count classes (quarter powers of two) as fit in ``limit``.
+
+    Only the histogram of the classes is looked at first, so no task or driver
+    sorts more than it returns.
+    """
+    step = F.floor(F.log2(F.col(n)) * 4)
+    classes = counts.groupBy(step.alias("k")).count().orderBy(F.desc("k")).collect()
+    least, held = None, 0
+    for r in classes:
+        held += r["count"]
+        if held > limit:
+            break
+        least = r.k
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def pair_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: ``(node, component)`` for every node with an edge.
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import in_filter, key_filter
-from .frames import cut, pair_components
+from .frames import cut, most_counted, pair_components
 from .text import SPACED, U64, Words, buffers, chunks, mix, shingle_sets
 
 K = 5
@@ -116,30 +116,30 @@ def shingle_order(often: DataFrame, limit: int = ORDER_SHINGLES) -> tuple[np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_py(), "<i8")),
                                                   pa.array(np.frombuffer(c.as_py(), "<u4").astype(np.int64))], names=["s", "c"])
 
-    top = often.select("often", "times").mapInArrow(rows, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")) \
-        .orderBy(F.desc("c"), "s").limit(limit).toArrow()
+    counts = cut(often.select("often", "times").mapInArrow(rows, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")), "often")
+    top = most_counted(counts, "c", limit).toArrow()
     s = top["s"].to_numpy().view(U64) if len(top) else np.zeros(0, U64)
     c = top["c"].to_numpy() if len(top) else np.zeros(0, np.int64)
     order = np.argsort(s)
     return s[order], c[order]
 
 
-def _ordered(s: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """A set by (times seen, hash): unlisted shingles first."""
+def _ordered(s: np.ndarray, known: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set by (times seen, hash), unlisted shingles first, and how many are unlisted."""
     if not len(known):
-        return s
+        return s, len(s)
     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
     c = np.where(known[at] == s, times[at], 0)
-    return s[np.lexsort((s, c))]
+    return s[np.lexsort((s, c))], int((c == 0).sum())
 
 
 def prefixes(docs: DataFrame, order, text: str, k: int, threshold: int) -> DataFrame:
-    """``(fp, n, prefix)`` of every document's set; a task reports a set once."""
+    """``(fp, n, rare, prefix)`` of every document's set, ``rare`` its unlisted shingles; a task reports a set once."""
     def run(batches):
         known, times = order.value
         done: set[int] = set()
         for b in batches:
-            fps, ns, ps = [], [], []
+            fps, ns, rs, ps = [], [], [], []
             for s in _sets(b.column("text"), k):
                 n = len(s)
                 if not n:
@@ -152,11 +152,13 @@ def prefixes(docs: DataFrame, order, text: str, k: int, threshold: int) -> DataF
                 p = n - -(-threshold * n // 100) + 1
                 fps.append(fp)
                 ns.append(n)
-                ps.append(_ordered(s, known, times)[:p].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(ps, pa.binary())],
-                                             names=["fp", "n", "prefix"])
+                s, rare = _ordered(s, known, times)
+                rs.append(rare)
+                ps.append(s[:p].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(rs, pa.int64()),
+                                              pa.array(ps, pa.binary())], names=["fp", "n", "rare", "prefix"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "fp long, n long, prefix binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "fp long, n long, rare long, prefix binary")
 
 
 def _to_buckets(batches, buckets: int):
@@ -281,9 +283,14 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, k: in
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: each node with the smallest node id of its min-hashes, where enough of them agree."""
-    keys = nodes.select("fp", F.posexplode("mins").alias("i", "m"))
-    lead = keys.groupBy("i", "m").agg(F.min("fp").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    """``(a, b)``: each node with the leader of its min-hashes, where enough of them agree.
+
+    The leader is the node with the smallest share of rare shingles, the most
+    central one: in a group of edited copies, what they were copied from.
+    """
+    keys = nodes.select("fp", (F.col("rare") / F.col("n")).alias("own"), F.posexplode("mins").alias("i", "m"))
+    lead = keys.groupBy("i", "m").agg(F.min(F.struct("own", "fp")).alias("lead"), F.count("*").alias("c")) \
+        .where("c > 1").select("i", "m", F.col("lead.fp").alias("lead"))
     return keys.join(lead, ["i", "m"]).where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")) \
         .agg(F.count("*").alias("c")).where(F.col("c") >= AGREE).select("a", "b")
 
@@ -299,9 +306,11 @@ def link(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "
     names = list(dict.fromkeys([*keep, doc_id]))
     told = cut(describe(docs, names, text, k), "sets")
     rows = told.where("n >= 0").select("row", F.col(f"row.`{doc_id}`").alias("id"), "th", "n", "fp")
-    nodes = cut(told.where("n > 0").groupBy("fp").agg(F.min("th").alias("th"), F.max("n").alias("n"),
-                                                      F.min(f"row.`{doc_id}`").alias("id"),
-                                                      F.max("mins").alias("mins")), "nodes")
+    order = spark.sparkContext.broadcast(shingle_order(told.where("n = -1")))
+    index = cut(prefixes(docs, order, text, k, threshold), "prefixes")
+    nodes = told.where("n > 0").groupBy("fp").agg(F.min("th").alias("th"), F.max("n").alias("n"),
+                                                  F.min(f"row.`{doc_id}`").alias("id"), F.max("mins").alias("mins"))
+    nodes = cut(nodes.join(index.groupBy("fp").agg(F.min("rare").alias("rare")), "fp"), "nodes")
     linked = F.col("same") * 100 >= F.col("total") * threshold
 
     # highly similar sets: one computed answer per leader
@@ -315,10 +324,9 @@ def link(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "
         .select("fp", F.coalesce("m.b", "fp").alias("lead"), F.coalesce("m.far", F.lit(0.0)).alias("far"))
 
     # index lists
-    order = spark.sparkContext.broadcast(shingle_order(told.where("n = -1")))
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = int(min(MAX_BUCKETS, max(8, -(-size // BUCKET_BYTES))))
-    index = prefixes(docs, order, text, k, threshold).join(comps.withColumnRenamed("node", "fp"), "fp", "left") \
+    index = index.join(comps.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", F.coalesce("component", "fp").alias("comp"), "n", "prefix")
     packed = index.mapInArrow(lambda it: _to_buckets(it, buckets),
                               "bucket long, fp binary, comp binary, n binary, count binary, key binary, pos binary")
