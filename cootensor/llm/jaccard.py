@@ -220,18 +220,26 @@ def _lists(table: pa.Table, threshold: int) -> pa.Table:
             m = np.clip(partners[part] - first, 0, PAIR_BLOCK)
             a = np.repeat(part, m)
             b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(block_end[part] + first, m)
-            need = _needed(n[a], n[b], threshold)
-            left = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
-            ok = (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (left >= need)
-            # the smaller set need only be found by its shorter index prefix
-            small = np.where(n[a] <= n[b], pos[a], pos[b])
-            size = np.minimum(n[a], n[b])
-            ok &= small < size - _needed(size, size, threshold) + 1
-            pair = np.stack([np.minimum(fp[a[ok]], fp[b[ok]]), np.maximum(fp[a[ok]], fp[b[ok]])], 1)
-            out.append(np.unique(pair, axis=0))
+            ok = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            size = _needed(n[a], n[b], threshold)
+            # a shared shingle can be the pair's first only so far into both prefixes
+            early = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= size
+            swap = fp[a] > fp[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            out.append(_summed(np.stack([fp[a], fp[b], n[a], n[b], np.ones(len(a), np.int64), early], 1)))
         lo = hi
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    pairs = _summed(np.concatenate(out)) if out else np.zeros((0, 6), np.int64)
+    return pa.table(dict(zip(("a", "b", "na", "nb", "shared", "early"), pairs.T)))
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, na, nb, shared, early) with the last two summed per pair."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    at = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[:len(rows)])
+    if len(at):
+        rows = np.concatenate([rows[at, :4], np.add.reduceat(rows[:, 4:], at)], 1)
+    return rows
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -330,7 +338,13 @@ def link(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "
         .select("fp", F.coalesce("component", "fp").alias("comp"), "n", "prefix")
     packed = index.mapInArrow(lambda it: _to_buckets(it, buckets),
                               "bucket long, fp binary, comp binary, n binary, count binary, key binary, pos binary")
-    found = packed.groupBy("bucket").applyInArrow(lambda t: _lists(t, threshold), "a long, b long").distinct()
+    met = packed.groupBy("bucket").applyInArrow(lambda t: _lists(t, threshold),
+                                                "a long, b long, na long, nb long, shared long, early long") \
+        .groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.sum("early").alias("early"))
+    # what the prefixes do not share must fit into the longer of the suffixes behind them
+    need = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / F.lit(100 + threshold))
+    suffix = F.ceil(F.lit(threshold) * F.greatest("na", "nb") / F.lit(100)) - 1
+    found = met.where((F.col("early") > 0) & (F.col("shared") >= need - suffix)).select("a", "b")
     found = cut(found.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"),
                 "candidates")
 
