@@ -10,8 +10,9 @@ never paired.  The answers wanted are each document's links as a component.
 2. Every node enters its prefix (the first quarter of its set, rare shingles
    first) into index lists.  A list is kept in blocks by component: pairs inside a
    block are skipped, as their answer is known.  Between blocks the sizes and
-   the positions of the shared shingle decide what is skipped: the two suffixes
-   left over must still hold the overlap that the threshold asks for.
+   the positions of a shared shingle decide what is skipped: sets of sizes n and m
+   that overlap in ``o`` share ``L`` shingles among the first n - o + L and m - o + L,
+   so later positions are passed over, and pairs that share fewer are dropped.
 3. A candidate pair of members is first answered from its leaders' pair: Jaccard
    distance is a metric, so a pair whose leaders are too far apart cannot link,
    and a pair whose leaders link needs no check.  The rest is verified exactly.
@@ -46,6 +47,7 @@ AGREE = 2                          # min-hashes a node shares with a leader to b
 ORDER_SHINGLES = 1 << 18           # most frequent shingles put last in the order
 WINDOW_SHINGLES = 1 << 21          # shingles a task counts at once for that
 SEEN = 3                           # a count window reports what it has in so many documents
+EXTEND = 64                        # prefixes are longer by a share of 1 / EXTEND, and must share as many shingles more
 BUCKET_BYTES = 8 << 20             # text per index bucket
 MAX_BUCKETS = 1 << 16
 PAIR_BLOCK = 1 << 18               # pairs expanded at once inside a list
@@ -149,7 +151,7 @@ def prefixes(docs: DataFrame, order, text: str, k: int, threshold: int) -> DataF
                     continue
                 if len(done) < 1 << 20:                  # only saves repeats; they are dropped later anyway
                     done.add(fp)
-                p = n - -(-threshold * n // 100) + 1
+                p = n - -(-threshold * n // 100) + 1 + n // EXTEND
                 fps.append(fp)
                 ns.append(n)
                 s, rare = _ordered(s, known, times)
@@ -223,22 +225,25 @@ def _lists(table: pa.Table, threshold: int) -> pa.Table:
             ok = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
             a, b = a[ok], b[ok]
             size = _needed(n[a], n[b], threshold)
-            # a shared shingle can be the pair's first only so far into both prefixes
-            early = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= size
+            more = 1 + np.minimum(n[a], n[b]) // EXTEND
+            ok = (pos[a] < n[a] - size + more) & (pos[b] < n[b] - size + more)
+            a, b = a[ok], b[ok]
             swap = fp[a] > fp[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            out.append(_summed(np.stack([fp[a], fp[b], n[a], n[b], np.ones(len(a), np.int64), early], 1)))
+            out.append(_summed(np.stack([fp[a], fp[b], np.ones(len(a), np.int64), more[ok]], 1)))
         lo = hi
-    pairs = _summed(np.concatenate(out)) if out else np.zeros((0, 6), np.int64)
-    return pa.table(dict(zip(("a", "b", "na", "nb", "shared", "early"), pairs.T)))
+    pairs = _summed(np.concatenate(out)) if out else np.zeros((0, 4), np.int64)
+    return pa.table(dict(zip(("a", "b", "shared", "needed"), pairs.T)))
 
 
 def _summed(rows: np.ndarray) -> np.ndarray:
-    """Rows (a, b, na, nb, shared, early) with the last two summed per pair."""
+    """Rows (a, b, shared, needed) with ``shared`` summed per pair."""
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     at = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[:len(rows)])
     if len(at):
-        rows = np.concatenate([rows[at, :4], np.add.reduceat(rows[:, 4:], at)], 1)
+        shared = np.add.reduceat(rows[:, 2], at)
+        rows = rows[at]
+        rows[:, 2] = shared
     return rows
 
 
@@ -338,13 +343,9 @@ def link(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "
         .select("fp", F.coalesce("component", "fp").alias("comp"), "n", "prefix")
     packed = index.mapInArrow(lambda it: _to_buckets(it, buckets),
                               "bucket long, fp binary, comp binary, n binary, count binary, key binary, pos binary")
-    met = packed.groupBy("bucket").applyInArrow(lambda t: _lists(t, threshold),
-                                                "a long, b long, na long, nb long, shared long, early long") \
-        .groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.sum("early").alias("early"))
-    # what the prefixes do not share must fit into the longer of the suffixes behind them
-    need = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / F.lit(100 + threshold))
-    suffix = F.ceil(F.lit(threshold) * F.greatest("na", "nb") / F.lit(100)) - 1
-    found = met.where((F.col("early") > 0) & (F.col("shared") >= need - suffix)).select("a", "b")
+    met = packed.groupBy("bucket").applyInArrow(lambda t: _lists(t, threshold), "a long, b long, shared long, needed long")
+    found = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")) \
+        .where("shared >= needed").select("a", "b")
     found = cut(found.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"),
                 "candidates")
 
