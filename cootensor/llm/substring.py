@@ -124,40 +124,42 @@ def _place(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _packed(h: np.ndarray, value: np.ndarray, buckets: int, shift: int):
-    """Rows (bucket, keys, values) of hashes with 8-byte values."""
+def _packed(h: np.ndarray, value: np.ndarray, doc: np.ndarray, buckets: int, shift: int):
+    """Rows (bucket, keys, values, documents) of hashes with 8-byte values."""
     place = _place(h, buckets)
     order = np.argsort(place, kind="stable")
-    place, h, value = place[order], h[order], value[order]
+    place, h, value, doc = place[order], h[order], value[order], doc[order]
     at = np.flatnonzero(np.diff(place, prepend=-1))
     ends = np.append(at[1:], len(h))
     low = (h & U64(0xFFFFFFFF)).astype("<u4")
     return pa.RecordBatch.from_arrays([
         pa.array(place[at] + shift), pa.array([low[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()),
-        pa.array([value[x:y].astype("<u8").tobytes() for x, y in zip(at, ends)], pa.binary())], names=["bucket", "keys", "vals"])
+        pa.array([value[x:y].astype("<u8").tobytes() for x, y in zip(at, ends)], pa.binary()),
+        pa.array([doc[x:y].astype("<u4").tobytes() for x, y in zip(at, ends)], pa.binary())], names=["bucket", "keys", "vals", "docs"])
 
 
 def _send(batches, buckets: int):
     """Classes with their document counts (buckets from 0) and their band keys (buckets from ``buckets`` on)."""
     sigs, bands, held = [], [], 0
+    seen = TaskContext.get().partitionId() << 40
 
     def flush():
         s, n = np.unique(np.concatenate(sigs), return_counts=True)
-        yield _packed(s, (s & U64(0xFFFFFFFF00000000)) | n.astype(U64), buckets, 0)
-        s = np.concatenate([b[0] for b in bands])
-        keys = np.concatenate([b[1] for b in bands])
+        yield _packed(s, (s & U64(0xFFFFFFFF00000000)) | n.astype(U64), np.zeros(len(s), np.int64), buckets, 0)
+        s, keys, doc = (np.concatenate(x) for x in zip(*bands))
         _, one = np.unique(s, return_index=True)
-        yield _packed(keys[one].ravel(), np.repeat(s[one], BANDS), buckets, buckets)
+        yield _packed(keys[one].ravel(), np.repeat(s[one], BANDS), np.repeat(doc[one], BANDS), buckets, buckets)
 
     for b in batches:
-        for _, _, _, p in _chunks(b.column("text")):
+        for i, j, _, p in _chunks(b.column("text")):
             # each class once per text
             order = np.lexsort((p.sig, p.row))
             once = order[np.append(True, (np.diff(p.row[order]) != 0) | (p.sig[order][1:] != p.sig[order][:-1]))[:len(order)]]
             _, one = np.unique(p.sig, return_index=True)
             sigs.append(p.sig[once])
-            bands.append((p.sig[one], p.band_keys(one)))
+            bands.append((p.sig[one], p.band_keys(one), mix((p.row[one] + seen).astype(U64)) >> U64(32)))
             held += len(once)
+            seen += j - i
             if held >= HELD:
                 yield from flush()
                 sigs, bands, held = [], [], 0
@@ -177,6 +179,12 @@ def _meet(t: pa.Table, buckets: int) -> pa.Table:
         n = np.add.reduceat(n, at)
         a = sig[at][n > 1].view(np.int64)
         return pa.table({"a": a, "b": a})
+    doc = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t["docs"]])
+    # paragraphs of one text overlap and often meet: a band takes one from each text
+    order = np.lexsort((val, doc, key))
+    key, val, doc = key[order], val[order], doc[order]
+    one = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+    key, val = key[one], val[one]
     order = np.lexsort((val, key))
     key, val = key[order], val[order]
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -194,7 +202,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = int(min(MAX_BUCKETS, max(8, -(-size // BUCKET_BYTES))))
     src = docs.select(F.col(text).alias("text"))
-    met = cut(src.mapInArrow(lambda it: _send(it, buckets), "bucket long, keys binary, vals binary")
+    met = cut(src.mapInArrow(lambda it: _send(it, buckets), "bucket long, keys binary, vals binary, docs binary")
               .groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets), "a long, b long").distinct(), "met")
     repeated = met.where("a = b").select(F.col("a").alias("sig"))
     pairs = met.where("a <> b")
