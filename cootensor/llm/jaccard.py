@@ -42,12 +42,12 @@ from .text import SPACED, U64, Words, buffers, chunks, mix, shingle_sets
 
 K = 5
 THRESHOLD = 75                     # per cent
-MINHASHES = 6
+MINHASHES = 8
 AGREE = 2                          # min-hashes a node shares with a leader to be paired with it
 ORDER_SHINGLES = 1 << 18           # most frequent shingles put last in the order
 WINDOW_SHINGLES = 1 << 21          # shingles a task counts at once for that
 SEEN = 3                           # a count window reports what it has in so many documents
-EXTEND = 64                        # prefixes are longer by a share of 1 / EXTEND, and must share as many shingles more
+EXTEND = 128                       # prefixes are longer by a share of 1 / EXTEND, and must share as many shingles more
 BUCKET_BYTES = 8 << 20             # text per index bucket
 MAX_BUCKETS = 1 << 16
 PAIR_BLOCK = 1 << 18               # pairs expanded at once inside a list
