@@ -2,8 +2,8 @@
 
 The hidden states are roles, the observations lines.  A line shows its speaker
 marker (``User:``, ``### Assistant``, ``[bot]`` and the like), its length, its
-ending and how it begins; a row's first line follows the previous row by the
-turn transitions, further lines follow by the line transitions.  All tables are
+ending and how it begins; a row's first line, and any line with a marker, follows by
+the turn transitions, other lines by the line transitions.  All tables are
 counts over every labelled row of the training conversations (plus a prior that
 ties a marker to the role it names).  Viterbi gives the best role per line;
 neighbouring lines of one role are one turn, markers are dropped, and a turn is
@@ -93,8 +93,12 @@ class Model:
         for r, text in enumerate(rows):
             lines = _lines(text)
             for k, line in enumerate(lines):
-                move = self.line if k else np.broadcast_to(self.start, self.turn.shape) if first and r == 0 else self.turn
-                out.append((move, self.scores(features(line, len(lines)))))
+                seen = features(line, len(lines))
+                if k == 0 and r == 0 and first:
+                    move = np.broadcast_to(self.start, self.turn.shape)
+                else:
+                    move = self.line if k and seen[0] == "-" else self.turn       # a speaker marker opens a turn
+                out.append((move, self.scores(seen)))
         return out
 
     def decode(self, steps, entry: int | None = None, end: int | None = None) -> list[int]:
@@ -196,15 +200,16 @@ def _model(counts) -> Model:
             value = int(r.a) if r.kind in ("length", "lines") else r.a
             tables[k].setdefault(value, np.zeros(n))[at[r.b]] += r.n
     total = sum(tables[0].values()) if tables[0] else np.zeros(n)
-    for name in MARKERS:                       # the prior: a marker is the role it names, one line in PRIOR has one
+    total = total + 1
+    for name in MARKERS:                       # the prior: one line in PRIOR has its role's marker, a hundredth of that another's
         row = tables[0].setdefault(name, np.zeros(n))
-        row += SMOOTH / 10
-        if name in at:
-            row[at[name]] += total[at[name]] / PRIOR + 1
+        row += total / PRIOR * np.array([1.0 if r == name else 0.01 for r in roles])
+    tables[0].setdefault("-", np.zeros(n))[:] += 1
     emit, unseen = [], []
-    for t in tables:
+    for k, t in enumerate(tables):
+        add = SMOOTH if k else 0.0
         whole = sum(t.values()) + SMOOTH * (len(t) + 1) if t else np.ones(n)
-        emit.append({v: np.log((c + SMOOTH) / whole) for v, c in t.items()})
+        emit.append({v: np.log((c + add) / whole) for v, c in t.items()})
         unseen.append(np.log(SMOOTH / whole))
     norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
     return Model(roles, norm(start), norm(turn), norm(line), emit, unseen)
@@ -329,6 +334,6 @@ def format_turns(turns: DataFrame, model: Model, keep: list[str], conv: str = "c
         return pa.table({"row": t["row"], "role_pred": pa.array(cols[0]), "n_turns": pa.array(cols[1], pa.int64()),
                          "rendered": pa.array(cols[2])})
 
-    row_type = T.StructType([rows.schema["row"], *T._parse_datatype_string("role_pred string, n_turns long, rendered string").fields])
+    row_type = T.StructType([pieces.schema["row"], *T._parse_datatype_string("role_pred string, n_turns long, rendered string").fields])
     last = pieces.join(ends, ["conv", "piece"]).groupBy("conv", "piece").applyInArrow(finish, row_type)
     return done.unionByName(last)

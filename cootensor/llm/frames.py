@@ -17,6 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_ROWS = 2000      # rows of one Arrow batch: texts are long, and a batch is held in the JVM and in Python
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of the session at ``BATCH_ROWS`` rows or fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -24,6 +35,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     (Catalyst sees their size) and survive lost executors.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{checkpoint_root(spark).rstrip('/')}/cootensor-llm/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -37,6 +49,7 @@ def annotate(df: DataFrame, keep: list[str], inputs: dict[str, Column],
     column.  The kept columns travel inside a struct, so no name of theirs can
     clash with an input or a result.
     """
+    bound_batches(df.sparkSession)
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *[v.alias(k) for k, v in inputs.items()])
     out = T.StructType([src.schema["row"], *T._parse_datatype_string(results).fields])
     names = out.names
