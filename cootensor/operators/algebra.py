@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import MAX_LOCAL_DIM, VALUE
 from ..tensor import modes_of
 from .dense import fiber_cross, fiber_gram
-from .joins import prepare_factor, sized_broadcast
+from .joins import fits_broadcast, prepare_factor, sized_broadcast
 
 
 def ttm(t: DataFrame, factor: DataFrame, mode: str, value: str = VALUE,
@@ -147,12 +147,8 @@ def _pick_broadcast(a: DataFrame, b: DataFrame, broadcast: bool | str):
     the join shuffles both sides (AQE splits skewed keys)."""
     if broadcast != "auto":
         return a, sized_broadcast(b, broadcast)
-    from .joins import BROADCAST_MAX_ROWS
-    from pyspark import StorageLevel
-    b = b.persist(StorageLevel.MEMORY_AND_DISK)
-    if b.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
+    if fits_broadcast(b):
         return a, F.broadcast(b)
-    b.unpersist()
     return sized_broadcast(a, "auto"), b
 
 

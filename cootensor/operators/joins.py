@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import BROADCAST_MAX_ROWS
+from ..session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
+
+
+def _row_bytes(df: DataFrame):
+    """Bytes of a row as a broadcast relation holds it: 8 per fixed-width field, the written length of any other, 16 overhead."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            total = total + F.lit(8)
+        else:
+            total = total + F.coalesce(F.octet_length(c if f.dataType.simpleString() in ("string", "binary")
+                                                      else F.to_json(F.struct(c))), F.lit(0)) + F.lit(8)
+    return total
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether ``df`` is small in rows and bytes.  Nothing is cached; at most ``max_rows + 1`` rows are looked at."""
+    r = df.select(_row_bytes(df).alias("b")).limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
 def sized_broadcast(df: DataFrame, broadcast: bool | str = "auto",
                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row count is known to be small.
+    """Mark ``df`` for broadcast only when its size is known to be small.
 
     ``broadcast=True`` trusts the caller (a factor whose size is fixed by its
-    rank and dimension); ``"auto"`` counts it first (factors are small and
-    usually checkpointed, so the count is cheap); ``False`` leaves the choice
-    to Catalyst / AQE, which measures shuffle sizes at run time.
+    rank and dimension); ``"auto"`` measures it first and leaves no cached
+    frame behind (checkpoint a factor that is dear to derive); ``False``
+    leaves the choice to Catalyst / AQE, which measures shuffle sizes at run
+    time.
     """
-    if broadcast is True:
+    if broadcast is True or broadcast == "auto" and fits_broadcast(df, max_rows):
         return F.broadcast(df)
-    if broadcast is False:
-        return df
-    if broadcast == "auto":
-        # keep what the count computes, so the join does not derive the
-        # factor a second time
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        n = df.limit(max_rows + 1).count()
-        if n <= max_rows:
-            return F.broadcast(df)
-        df.unpersist()          # too big to broadcast: do not pin it in executor memory
     return df
 
 
@@ -43,14 +53,11 @@ def factor_stats(f: DataFrame) -> tuple[int, int]:
 
 def prepare_factor(f: DataFrame, broadcast: bool | str = "auto",
                    max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool, int]:
-    """Cache a factor, measure it once, and decide its join strategy.
+    """Measure a factor once and decide its join strategy.
 
     Returns ``(factor, broadcast?, fan-out)``; the decision is a plain bool so
     later joins spend no further jobs on it.
     """
-    f = f.persist(StorageLevel.MEMORY_AND_DISK)
     rows, fan = factor_stats(f)
-    b = (rows <= max_rows) if broadcast == "auto" else bool(broadcast)
-    if not b:
-        f.unpersist()
+    b = (rows <= max_rows and fits_broadcast(f, max_rows)) if broadcast == "auto" else bool(broadcast)
     return f, b, fan

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import hash_uniform
 from ..operators.algebra import gram
 from ..operators.dense import fiber_gram
+from ..sources.runstore import RunStore
 from ..session import MAX_LOCAL_DIM, VALUE
 
 # This module's functions run inside Python workers.  Ship them by value so a
@@ -137,29 +138,51 @@ def _orthonormalize(w: DataFrame) -> DataFrame:
     return j.groupBy("j", F.col("_1").alias("c")).agg(F.sum(F.col("w") * F.col(VALUE)).alias("q"))
 
 
-def subspace_eigvecs(u: DataFrame, k: int, n_iter: int = 12, oversample: int = 10,
-                     seed: int = 0, checkpoint: bool = True) -> DataFrame:
+def subspace_eigvecs(u: DataFrame, k: int, n_iter: int = 300, oversample: int = 10,
+                     seed: int = 0, checkpoint: bool = True, tol: float = 1e-11, check_every: int = 6) -> DataFrame:
     """Leading k left singular vectors of an unfolding ``(key, idx, value)``
-    (eigenvectors of U Uᵀ) without forming U Uᵀ."""
+    (eigenvectors of U Uᵀ) without forming U Uᵀ.
+
+    Every ``check_every`` steps the Ritz vectors are compared with the last
+    ones; the iteration ends when the space they span has turned by less than
+    ``tol`` (share of the squared overlaps missing, per step) and raises when ``n_iter``
+    steps do not get there.
+    """
     key, idx, val = u.columns[:3]
     if checkpoint:
         u = u.checkpoint(eager=True)    # read twice per step: cut its lineage once
-    p = k + oversample
     ids = u.select(F.col(idx).alias("j")).distinct()
+    p = max(1, min(k + oversample, ids.count()))     # no more directions than indices
+    store = RunStore(u.sparkSession)                 # files keep true sizes; checkpoint estimates would square in every step
     q = ids.select("j", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("c"))
     q = q.select("j", "c", (hash_uniform(seed, "j", "c") - F.lit(0.5)).alias("q"))
     q = _orthonormalize(q.withColumnRenamed("q", "w"))
-    for _ in range(n_iter):
+    last = None
+    for it in range(n_iter):
         w = _expand(u, _project(u, q))
         q = _orthonormalize(w)
-        if checkpoint:
-            q = q.checkpoint(eager=True)
+        q = store.cut(q)
+        if (it + 1) % check_every == 0:
+            f = store.cut(_ritz(u, q, k))
+            if last is not None:
+                g = last.select(F.col("_1").alias("o"), "_2", F.col(VALUE).alias("w"))
+                dots = f.join(g, "_2").groupBy("_1", "o").agg(F.sum(F.col(VALUE) * F.col("w")).alias("d"))
+                both = dots.agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
+                own = f.agg(F.sum(F.col(VALUE) * F.col(VALUE))).first()[0] or 0.0
+                if own - both <= tol * own * check_every:
+                    return sign_fix(f)
+            last = f
+    raise RuntimeError(f"subspace iteration has not converged in {n_iter} steps; raise oversample or n_iter")
+
+
+def _ritz(u: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """The k leading Ritz vectors of U Uᵀ in the space of ``q``."""
     z = _project(u, q)
     b = fiber_gram(z.select("key", "c", "z"), max_dim=4096)      # p x p = Zᵀ Z
     v = _apply_small(b, _rr_task(k))                               # (comp, c, value)
     j = q.join(F.broadcast(v), q["c"] == v["_2"])
     f = j.groupBy(F.col("_1"), F.col("j").alias("_2")).agg(F.sum(F.col("q") * F.col(VALUE)).alias(VALUE))
-    return sign_fix(f.select(F.col("_1").cast("int"), F.col("_2").cast("int"), VALUE))
+    return f.select(F.col("_1").cast("int"), F.col("_2").cast("int"), VALUE)
 
 
 def leading_eigvecs(u: DataFrame, k: int, route: str = "auto", max_local_dim: int = MAX_LOCAL_DIM,
@@ -209,7 +232,7 @@ def ridge_solve_local(a: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int | None = None,
-                   checkpoint: bool = True, check_every: int = 1) -> DataFrame:
+                   checkpoint: bool = True, check_every: int = 1, accept: float = 1e-8) -> DataFrame:
     """B = C A⁻¹ by Jacobi-preconditioned conjugate gradients, one right-hand
     side per target row of C, all advanced together.
 
@@ -218,7 +241,8 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
     are recomputed by a group-by on t plus a broadcast join of one row per
     target.  One step = one spmm (A joined to the directions) and two
     per-target sums; the state is checkpointed every step (lineage cut), so a
-    step is one Spark job plus an optional one-row convergence check.
+    step is one Spark job plus an optional one-row convergence check.  A
+    relative residual above ``accept`` after the last step is an error.
     """
     from ..operators.joins import sized_broadcast
 
@@ -250,7 +274,9 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
         st = st.checkpoint(eager=True)
     n = idx.count()
     cols = ["s", "t", "x", "r", "dg", "p", "rz", "bb", "rr"]
-    for k in range(max_iter or 2 * n + 10):
+    steps = max_iter or 2 * n + 10
+    worst = None
+    for k in range(steps):
         q = (a.join(st.select("s", "t", "p"), "s")
              .groupBy(F.col("i").alias("s"), "t").agg(F.sum(F.col("a") * F.col("p")).alias("q")))
         s2 = st.join(q, ["s", "t"], "left").fillna(0.0, ["q"])
@@ -267,10 +293,13 @@ def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int
             F.col("rz2").alias("rz"), "bb", "rr").select(*cols)
         if checkpoint:
             st = st.checkpoint(eager=True)
-        if (k + 1) % check_every == 0:
+        if (k + 1) % check_every == 0 or k + 1 == steps:
             worst = st.agg(F.max(F.try_divide(F.sqrt("rr"), F.sqrt("bb")))).first()[0]
             if worst is None or worst <= tol:
                 break
+    else:
+        if worst is not None and worst > accept:
+            raise RuntimeError(f"conjugate gradients: relative residual {worst:.3g} after {steps} steps (accepted: {accept:g})")
     return st.filter(F.col("x") != 0).select(F.col("t").cast("int").alias("_1"),
                                              F.col("s").cast("int").alias("_2"), F.col("x").alias(VALUE))
 

@@ -163,9 +163,8 @@ FROM (SELECT DISTINCT u FROM events_ued)"""
 Q["time_slice"] = with_(TRADE) + "SELECT * FROM trade WHERE m >= 12 AND m < 24"
 Q["cell_lookup"] = with_(TRADE) + "SELECT * FROM trade WHERE cn = 1 AND sn = 2 AND m = 3"
 Q["sparsify"] = with_(EVENTS_UED) + "SELECT * FROM events_ued WHERE abs(product) > 100.0"
-Q["rebase"] = with_(EVENTS_UED) + """
-SELECT u, e, CAST(d - (SELECT min(d) FROM events_ued WHERE d > 5) AS INTEGER) AS d, product
-FROM events_ued WHERE d > 5"""
+Q["rebase"] = with_(TRADE) + """
+SELECT cn, sn, CAST(m - (SELECT min(m) FROM trade) AS INTEGER) AS m, product FROM trade"""
 Q["collapse_modes"] = with_(EVENTS_UED) + """
 SELECT CAST(0 AS INTEGER) AS u, e, d, round(sum(product), 6) AS product FROM events_ued GROUP BY e, d"""
 Q["transpose"] = with_(EMBED) + "SELECT j AS _1, i AS _2, product FROM embed"
@@ -190,7 +189,8 @@ Q["gram"] = with_(TRADE) + """
 SELECT a.cn AS _1, b.cn AS _2, sum(a.product * b.product) AS product
 FROM trade a JOIN trade b ON a.sn = b.sn AND a.m = b.m GROUP BY 1, 2"""
 Q["matrix_add"] = with_(TRADE) + """
-SELECT cn AS _1, sn AS _2, sum(product) AS product FROM trade WHERE m IN (0, 1, 2) GROUP BY 1, 2"""
+SELECT _1, _2, sum(product) AS product
+FROM (SELECT cn AS _1, sn AS _2, product FROM trade UNION ALL SELECT sn, cn, product FROM trade) GROUP BY 1, 2"""
 Q["mode_marginal"] = with_(TRADE) + "SELECT sn, sum(product) AS product FROM trade GROUP BY sn"
 Q["tensor_shape"] = with_(TRADE) + """
 SELECT CAST(max(cn) + 1 AS INTEGER) AS cn, CAST(max(sn) + 1 AS INTEGER) AS sn, CAST(max(m) + 1 AS INTEGER) AS m
@@ -202,9 +202,9 @@ SELECT count(*) AS nnz,
 FROM events_ued"""
 Q["topk_core"] = with_(TRADE) + "SELECT * FROM trade ORDER BY abs(product) DESC, cn, sn, m LIMIT 100"
 Q["vstack"] = with_(TRADE) + """
-SELECT CAST(0 AS INTEGER) AS MATRIX_ID, cn, sn, product FROM trade WHERE m = 0
+SELECT CAST(0 AS INTEGER) AS MATRIX_ID, cn AS _1, sn AS _2, sum(product) AS product FROM trade GROUP BY ALL
 UNION ALL
-SELECT CAST(1 AS INTEGER) AS MATRIX_ID, cn, sn, product FROM trade WHERE m = 1"""
+SELECT CAST(1 AS INTEGER) AS MATRIX_ID, sn AS _1, cn AS _2, sum(product) AS product FROM trade GROUP BY ALL"""
 Q["ttm_chain"] = with_(TRADE, NATION_REGION, MONTH_YEAR) + """
 SELECT a._1 AS cn, b._1 AS sn, y._1 AS m, sum(t.product) AS product
 FROM trade t JOIN nation_region a ON t.cn = a._2 JOIN nation_region b ON t.sn = b._2
@@ -251,6 +251,9 @@ SELECT e, lag, d, round(product, 6) AS product FROM p2"""
 Q["r2_score"] = with_(EVENTS_LAG, LAG_WEIGHTS) + PREDICT + """,
 j AS (SELECT y.product AS yv, p2.product AS pv FROM y JOIN p2 USING (e, lag, d) WHERE p2.product > 0)
 SELECT round(1 - sum(power(yv - pv, 2)) / (var_pop(yv) * count(*)), 6) AS r2, count(*) AS n FROM j"""
+Q["r2_inloop"] = with_(EVENTS_LAG, LAG_WEIGHTS) + PREDICT + """,
+j AS (SELECT y.product AS yv, p2.product AS pv FROM y JOIN p2 USING (e, lag, d) WHERE p2.product >= 1)
+SELECT round(1 - sum(power(yv - pv, 2)) / (var_pop(yv) * count(*)), 6) AS r2, count(*) AS n FROM j"""
 Q["recon_mse"] = with_(TRADE, NATION_REGION, MONTH_YEAR) + """,
 g AS (SELECT a._1 AS r1, b._1 AS r2, y._1 AS yr, sum(t.product) AS product
       FROM trade t JOIN nation_region a ON t.cn = a._2 JOIN nation_region b ON t.sn = b._2
@@ -266,6 +269,12 @@ SELECT CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand,
        CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_type,
        l_returnflag, l_linestatus, product
 FROM parts_cells"""
+Q["index_modes_nulls"] = """
+WITH c AS (
+  SELECT CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS f, l_linestatus AS s, CAST(sum(l_quantity) AS DOUBLE) AS product
+  FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)
+SELECT CAST(dense_rank() OVER (ORDER BY f NULLS LAST) - 1 AS INTEGER) AS flag,
+       CAST(dense_rank() OVER (ORDER BY s) - 1 AS INTEGER) AS l_linestatus, product FROM c"""
 Q["build_tensor"] = with_(EVENTS_UED) + "SELECT * FROM events_ued"
 
 

@@ -30,8 +30,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- helpers
 
-def _slice_matrix(t: DataFrame, m: int) -> DataFrame:
-    return t.filter(F.col("m") == m).select("cn", "sn", "product")
+def _trade_matrix(spark, sf) -> DataFrame:
+    """Customer nation x supplier nation over all months, as ``(_1, _2, product)``."""
+    return fx.trade(spark, sf).groupBy(F.col("cn").alias("_1"), F.col("sn").alias("_2")).agg(F.sum("product").alias("product"))
 
 
 def _r6(df: DataFrame, cols=("product",)) -> DataFrame:
@@ -165,8 +166,9 @@ def q_sparsify(spark, sf):
 
 @query("rebase")
 def q_rebase(spark, sf):
-    t = op.time_slice(fx.events_ued(spark, sf), "d", lo=5)
-    return op.rebase(t, "d")
+    """Absolute month numbers (years x 12 + month) back to 0, all cells."""
+    t = fx.trade(spark, sf).withColumn("m", F.col("m") + 1995 * 12)
+    return op.rebase(t, "m")
 
 
 @query("collapse_modes")
@@ -227,8 +229,9 @@ def q_gram(spark, sf):
 
 @query("matrix_add")
 def q_matrix_add(spark, sf):
-    t = fx.trade(spark, sf)
-    return op.matrix_add(_slice_matrix(t, 0), _slice_matrix(t, 1), _slice_matrix(t, 2))
+    """The all-months trade matrix plus its transpose."""
+    m = _trade_matrix(spark, sf)
+    return op.matrix_add(m, op.transpose(m))
 
 
 @query("mode_marginal")
@@ -255,8 +258,9 @@ def q_topk_core(spark, sf):
 
 @query("vstack")
 def q_vstack(spark, sf):
-    t = fx.trade(spark, sf)
-    return op.vstack(_slice_matrix(t, 0), _slice_matrix(t, 1))
+    """The all-months trade matrix on top of its transpose."""
+    m = _trade_matrix(spark, sf)
+    return op.vstack(m, op.transpose(m))
 
 
 @query("ttm_chain")
@@ -336,14 +340,23 @@ def q_r2_score(spark, sf):
     return s.select(F.round("r2", 6).alias("r2"), "n")
 
 
+@query("r2_inloop")
+def q_r2_inloop(spark, sf):
+    """The in-loop score: predictions of at least 1, then above 0."""
+    x, y = _xy(spark, sf)
+    bs = [fx.shifted_identity_bias(x, "e"), fx.lag_weights(spark)]
+    s = op.r2(y, op.predict(x, bs, precision=1.0), min_pred=1.0)
+    return s.select(F.round("r2", 6).alias("r2"), "n")
+
+
 @query("recon_mse")
 def q_recon_mse(spark, sf):
-    """Project trade onto region x region x year, reconstruct, score."""
-    from ..plans.tucker import reconstruct, tucker_core
+    """Project trade onto region x region x year, reconstruct at its cells, score."""
+    from ..plans.tucker import reconstruct_at, tucker_core
     t = _trade_cut(spark, sf)
     nr = fx.nation_region(spark, sf)
     fs = [nr, nr, fx.month_year(t)]
-    return op.mse(t, reconstruct(tucker_core(t, fs), fs))
+    return op.mse(t, reconstruct_at(t, tucker_core(t, fs), fs))
 
 
 # ---------------------------------------------------------------- 2.M building
@@ -359,6 +372,16 @@ def q_index_modes(spark, sf):
     return out
 
 
+@query("index_modes_nulls")
+def q_index_modes_nulls(spark, sf):
+    """A label mode with nulls (returned lines have no flag): null has its own index, no row is lost (M1)."""
+    from ..sources import build_tensor, index_modes
+    li = fx.table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"),
+                                                "l_linestatus", "l_quantity")
+    out, _ = index_modes(build_tensor(li, ["flag", "l_linestatus"], "l_quantity"), ["flag", "l_linestatus"])
+    return out
+
+
 @query("build_tensor")
 def q_build_tensor(spark, sf):
     return fx.events_ued(spark, sf)

@@ -13,6 +13,8 @@ VALUE = "product"
 # Largest factor (rows) we broadcast after counting it.  A factor row is three
 # narrow columns, so 2M rows is about 50 MB in the broadcast relation.
 BROADCAST_MAX_ROWS = 2_000_000
+# ... and its largest size in bytes, for labels and struct keys.
+BROADCAST_MAX_BYTES = 96 << 20
 
 # Largest mode dimension for which a dense d x d buffer is kept inside one task
 # (Gram, cross moments, the eigen / ridge short cuts).  2048^2 doubles = 32 MB.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +11,19 @@ from ..session import VALUE
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
 
-# Largest dictionary ranked by one ordered window in a single task.
-SMALL_DICT = 100_000
-
-
 def dense_index(values: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Dictionary ``(col, out)``: 0-based rank of each distinct value of ``col``.
 
-    The distinct values are counted first (cached, so the count is the only
-    extra pass).  Up to ``SMALL_DICT`` values, one ordered ``row_number``
-    ranks them in a single task, a bound that was just checked.  Beyond that
-    no global window is used: the values are range-partitioned and sorted by
-    ``orderBy``, each row's position in its partition and the partition number
-    come from ``monotonically_increasing_id``, and a per-partition count (one
-    row per partition) gives the offsets.  That sorted dictionary is
-    checkpointed, so ids stay stable between the count and the lookup, also
-    after a task retry.
+    A null label is a label like any other and ranks last.  The distinct
+    values are range-partitioned and sorted, each row's position in its
+    partition and the partition number come from
+    ``monotonically_increasing_id``, and a per-partition count (one row per
+    partition) gives the offsets, so no task ranks the whole dictionary.  The
+    sorted dictionary is checkpointed: ids stay stable between the count and
+    the lookup, also after a task retry.
     """
     out = out or col
-    d = values.select(col).filter(F.col(col).isNotNull()).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    if d.limit(SMALL_DICT + 1).count() <= SMALL_DICT:
-        return d.select(F.col(col), (F.row_number().over(Window.orderBy(col)) - 1).cast("int").alias(out))
-    d = d.orderBy(col)
+    d = values.select(col).distinct().orderBy(F.col(col).asc_nulls_last())
     d = d.withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     d = d.withColumn("__pid", F.shiftright("__mid", _POS_BITS)).withColumn(
         "__pos", F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
@@ -44,6 +34,12 @@ def dense_index(values: DataFrame, col: str, out: str | None = None) -> DataFram
         F.col(col), (F.col("__off") + F.col("__pos")).cast("int").alias(out))
 
 
+def lookup_index(df: DataFrame, d: DataFrame, col: str, out: str, broadcast: bool | str = "auto") -> DataFrame:
+    """``df`` with the index ``out`` of its label ``col`` in place of it; null labels match null."""
+    d = sized_broadcast(d.select(F.col(col).alias("__label"), F.col(out).alias("__idx")), broadcast)
+    return df.join(d, F.col(col).eqNullSafe(F.col("__label"))).drop("__label", col).withColumnRenamed("__idx", out)
+
+
 def index_modes(df: DataFrame, modes: list[str], value: str = VALUE,
                 broadcast: bool | str = "auto",
                 checkpoint: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -60,17 +56,18 @@ def index_modes(df: DataFrame, modes: list[str], value: str = VALUE,
     for m in modes:
         d = dense_index(df, m, f"{m}__idx")
         dicts[m] = d
-        out = out.join(sized_broadcast(d, broadcast), m).withColumn(m, F.col(f"{m}__idx")).drop(f"{m}__idx")
+        out = lookup_index(out, d, m, f"{m}__idx", broadcast).withColumnRenamed(f"{m}__idx", m)
     return out.select(*df.columns), dicts
 
 
 def decode_modes(t: DataFrame, dicts: dict[str, DataFrame], broadcast: bool | str = "auto") -> DataFrame:
     """Map indexed modes back to their labels with the dictionaries returned
-    by ``index_modes`` (M1, the way back).  Column order is kept."""
+    by ``index_modes`` (M1, the way back).  Column order is kept; an index
+    without a label becomes null."""
     out = t
     for m, d in dicts.items():
         lab = d.select(F.col(f"{m}__idx").alias(m), F.col(m).alias(f"{m}__label"))
-        out = out.join(sized_broadcast(lab, broadcast), m).withColumn(m, F.col(f"{m}__label")).drop(f"{m}__label")
+        out = out.join(sized_broadcast(lab, broadcast), m, "left").withColumn(m, F.col(f"{m}__label")).drop(f"{m}__label")
     return out.select(*t.columns)
 
 

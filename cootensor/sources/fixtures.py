@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import sized_broadcast
 from ..session import VALUE
-from .build import build_tensor, dense_index
+from .build import build_tensor, dense_index, lookup_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +53,7 @@ def events_ued(spark: SparkSession, sf_dir: str) -> DataFrame:
                          value_type="decimal(18,2)").checkpoint(eager=True)
     users = dense_index(cells, "user_id", "u")
     types = dense_index(cells, "event_type", "e")
-    out = (cells.join(sized_broadcast(users), "user_id").join(sized_broadcast(types), "event_type")
-           .select("u", "e", "d", VALUE))
+    out = lookup_index(lookup_index(cells, users, "user_id", "u"), types, "event_type", "e").select("u", "e", "d", VALUE)
     return out.checkpoint(eager=True)       # materialized once; later plans start from it
 
 
@@ -65,7 +63,7 @@ def events_ed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = build_tensor(ev, ["event_type", _day("ts").alias("d")], "value",
                          value_type="decimal(18,2)").checkpoint(eager=True)
     types = dense_index(cells, "event_type", "e")
-    out = cells.join(sized_broadcast(types), "event_type").select("e", "d", VALUE)
+    out = lookup_index(cells, types, "event_type", "e").select("e", "d", VALUE)
     return out.checkpoint(eager=True)
 
 
@@ -78,7 +76,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells.checkpoint(eager=True)
     out = cells
     for src, dst in [("p_brand", "b"), ("p_type", "t"), ("l_returnflag", "f"), ("l_linestatus", "s")]:
-        out = out.join(sized_broadcast(dense_index(cells, src, dst)), src)
+        out = lookup_index(out, dense_index(cells, src, dst), src, dst)
     return out.select("b", "t", "f", "s", VALUE).checkpoint(eager=True)
 
 

@@ -55,6 +55,9 @@ def literal_factor(spark: SparkSession, rows: list[tuple], names=("_1", "_2", VA
     return spark.createDataFrame(rows, schema)
 
 
+_BLOCK = 1 << 16
+
+
 def index_grid(spark: SparkSession, sizes: list[int], names: list[str]) -> DataFrame:
     """Dense index grid ``0..s_1-1 x ... x 0..s_n-1`` (A5).
 
@@ -66,7 +69,7 @@ def index_grid(spark: SparkSession, sizes: list[int], names: list[str]) -> DataF
     cols = []
     stride = 1
     for s, n in reversed(list(zip(sizes, names))):
-        cols.append(((F.col("id") / F.lit(stride)).cast("bigint") % F.lit(s)).cast("int").alias(n))
+        cols.append(F.expr(f"cast((id div {stride}L) % {s}L as int)").alias(n))
         stride *= s
     return r.select(*reversed(cols))
 
@@ -83,18 +86,16 @@ def index_grid_df(sizes: DataFrame, names: list[str]) -> DataFrame:
     blocks = sizes.select(total.alias("__total"), *[F.col(n).alias(f"__s_{n}") for n in names]).select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                   F.greatest(F.lit(0).cast("bigint"),
-                                             F.ceil(F.col("__total") / F.lit(_BLOCK)).cast("bigint") - 1))).alias("__b"))
+                                             F.expr(f"(__total + {_BLOCK - 1}L) div {_BLOCK}L") - 1))).alias("__b"))
     blocks = blocks.repartition(F.col("__b"))
     cells = blocks.select("*", F.explode(F.sequence(
         F.col("__b") * _BLOCK,
         F.least(F.col("__b") * _BLOCK + _BLOCK, F.col("__total")) - 1)).alias("__id")).filter(
         (F.col("__id") >= 0) & (F.col("__id") < F.col("__total")))
     cols = []
-    stride = F.lit(1).cast("bigint")
+    stride = "1L"
     for n in reversed(names):
-        cols.append(((F.col("__id") / stride).cast("bigint") % F.col(f"__s_{n}")).cast("int").alias(n))
-        stride = stride * F.col(f"__s_{n}")
+        cols.append(F.expr(f"cast((__id div ({stride})) % `__s_{n}` as int)").alias(n))
+        stride += f" * `__s_{n}`"
     return cells.select(*reversed(cols))
 
-
-_BLOCK = 1 << 16

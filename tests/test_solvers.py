@@ -32,7 +32,7 @@ def test_leading_eigvecs_routes(spark, route):
     rng = np.random.default_rng(11)
     m, u = gapped_tensor(rng, (8, 6, 5), [10, 6, 3, 1, 0.5, 0.2])
     t = from_dense(spark, m.reshape(8, 6, 5))
-    f = leading_eigvecs(op.unfold(t, "_1"), 2, route=route, **({"n_iter": 8} if route == "subspace" else {}))
+    f = leading_eigvecs(op.unfold(t, "_1"), 2, route=route)
     p, rows = projector(f, 2, 8)
     want = u[:, :2] @ u[:, :2].T
     np.testing.assert_allclose(p, want, atol=1e-8)
@@ -41,6 +41,16 @@ def test_leading_eigvecs_routes(spark, route):
         assert r[np.argmax(np.abs(r))] > 0
 
 
+def test_unconverged_solvers_raise(spark):
+    rng = np.random.default_rng(2)
+    m, _ = gapped_tensor(rng, (24, 5, 6), 0.99 ** np.arange(24))
+    with pytest.raises(RuntimeError, match="not converged"):
+        leading_eigvecs(op.unfold(from_dense(spark, m.reshape(24, 5, 6)), "_1"), 3, route="subspace", n_iter=6, oversample=1)
+    h = 1.0 / (np.arange(8)[:, None] + np.arange(8)[None] + 1)
+    with pytest.raises(RuntimeError, match="conjugate gradients"):
+        ridge_solve(matrix_df(spark, h), matrix_df(spark, np.ones((1, 8))), route="cg", max_iter=4).count()
+
+
 def spd_system(rng, n, ny):
     a = rng.standard_normal((n, n))
     a = a @ a.T + n * np.eye(n)

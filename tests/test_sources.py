@@ -67,15 +67,36 @@ def test_decode_modes_roundtrip(spark):
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
 
 
-def test_dense_index_large_path_matches_small_path(spark, monkeypatch):
+def test_dense_index_ranks_many_partitions(spark):
     from cootensor.sources import build
     rng = np.random.default_rng(5)
     vals = [f"v{v:05d}" for v in rng.integers(0, 4000, size=6000)]
     df = spark.createDataFrame([(v,) for v in vals], "k string").repartition(9)
-    small = {r.k: r.idx for r in build.dense_index(df, "k", "idx").collect()}
-    monkeypatch.setattr(build, "SMALL_DICT", 10)                  # force the partitioned path
-    large = {r.k: r.idx for r in build.dense_index(df, "k", "idx").collect()}
-    assert small == large == {v: i for i, v in enumerate(sorted(set(vals)))}
+    got = {r.k: r.idx for r in build.dense_index(df, "k", "idx").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(set(vals)))}
+
+
+def test_null_labels_keep_their_rows(spark):
+    from cootensor.sources.build import decode_modes, index_modes
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", 3.0)], "k string, product double")
+    out, dicts = index_modes(df, ["k"])
+    assert {(r.k, r.product) for r in out.collect()} == {(0, 1.0), (1, 3.0), (2, 2.0)}
+    assert {(r.k, r.product) for r in decode_modes(out, dicts).collect()} == {("a", 1.0), (None, 2.0), ("b", 3.0)}
+    lost = spark.createDataFrame([(7, 1.0)], "k int, product double")
+    assert [tuple(r) for r in decode_modes(lost, dicts).collect()] == [(None, 1.0)]
+
+
+def test_size_checks_leave_nothing_cached(spark):
+    from cootensor import operators as op
+    from cootensor.operators.joins import fits_broadcast
+    t = spark.range(100).selectExpr("cast(id % 10 as int) a", "cast(id div 10 as int) b", "1.0D product")
+    f = spark.range(10).selectExpr("cast(id % 2 as int) _1", "cast(id as int) _2", "1.0D product")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    op.ttm_chain(t, [f, f]).count()
+    op.spmm_atb(t, t).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    wide = spark.range(1000).selectExpr("id", "repeat('x', 1000) s")
+    assert fits_broadcast(wide) and not fits_broadcast(wide, max_bytes=100_000) and not fits_broadcast(wide, max_rows=10)
 
 
 def test_runstore_drop(spark):
