@@ -139,7 +139,7 @@ def _orthonormalize(w: DataFrame) -> DataFrame:
 
 
 def subspace_eigvecs(u: DataFrame, k: int, n_iter: int = 300, oversample: int = 10,
-                     seed: int = 0, checkpoint: bool = True, tol: float = 1e-11, check_every: int = 6) -> DataFrame:
+                     seed: int = 0, checkpoint: bool = True, tol: float = 1e-11, check_every: int = 4) -> DataFrame:
     """Leading k left singular vectors of an unfolding ``(key, idx, value)``
     (eigenvectors of U Uᵀ) without forming U Uᵀ.
 
