@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import MAX_LOCAL_DIM, VALUE
+from ..session import TILE_DIM, VALUE
 from ..tensor import modes_of
 from .dense import fiber_cross, fiber_gram
 from .joins import fits_broadcast, prepare_factor, sized_broadcast
@@ -198,30 +198,14 @@ def mode_marginal(t: DataFrame, mode: str, value: str = VALUE) -> DataFrame:
     return t.groupBy(mode).agg(F.sum(value).alias(value))
 
 
-def _check_dim(u: DataFrame, max_dim: int) -> None:
-    """Refuse before any fiber is collected: a fiber holds at most one entry
-    per index, so ``max index < max_dim`` bounds every group and every
-    per-task buffer."""
-    top = u.agg(F.max(u.columns[1])).first()[0]
-    if top is not None and top >= max_dim:
-        raise ValueError(f"index {top} >= max_local_dim={max_dim}: the dense d x d route does not "
-                         "apply; use leading_eigvecs(route='subspace') or raise max_dim")
-
-
-def gram(u: DataFrame, max_dim: int = MAX_LOCAL_DIM, upper_only: bool = False,
-         check: bool = True) -> DataFrame:
+def gram(u: DataFrame, upper_only: bool = False, tile: int = TILE_DIM) -> DataFrame:
     """Gram ``U Uᵀ`` of an unfolding ``(key, idx, value)`` over its index.
 
     Result ``(_1, _2, product)``, symmetric; ``upper_only`` keeps ``_1 <= _2``.
     """
-    if check:
-        _check_dim(u, max_dim)
-    return fiber_gram(u, max_dim=max_dim, upper_only=upper_only)
+    return fiber_gram(u, tile=tile, upper_only=upper_only)
 
 
-def cross_moment(a: DataFrame, b: DataFrame, max_dim: int = MAX_LOCAL_DIM, check: bool = True) -> DataFrame:
+def cross_moment(a: DataFrame, b: DataFrame, tile: int = TILE_DIM) -> DataFrame:
     """``A Bᵀ`` for two unfoldings keyed by the same other-mode key."""
-    if check:
-        _check_dim(a, max_dim)
-        _check_dim(b, max_dim)
-    return fiber_cross(a, b, max_dim=max_dim)
+    return fiber_cross(a, b, tile=tile)

@@ -2,11 +2,13 @@
 
 Σ_f a_f b_fᵀ over fibers f (the Gram of an unfolding when a = b, the cross
 moment Y X̄ᵀ otherwise).  A self-join on the fiber key would emit every pair of
-entries of a fiber as a row; instead Spark groups each fiber once (a fiber
-holds at most one entry per index, so its list is bounded by the mode
-dimension), and each task folds its fibers into a dense d_a x d_b buffer with
-numpy (BLAS for dense chunks, vectorised pair products for sparse ones).  Only
-the per-task partial matrices are shuffled and summed by Spark.
+entries of a fiber as a row; instead Spark groups each fiber once (repeated
+coordinates are summed first, so a fiber holds one entry per index) and cuts it
+into blocks of ``tile`` indices.  A task meets its pairs of blocks ordered by
+tile, folds them into one dense tile x tile buffer with numpy (BLAS for dense
+chunks, vectorised pair products for sparse ones) and emits each finished tile
+as packed rows: at most one row per index and tile leaves a task.  There is no
+limit on the mode dimension, and one path for every dimension.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import MAX_LOCAL_DIM, VALUE
+from ..session import TILE_DIM, VALUE
 
 # This module's functions run inside Python workers.  Ship them by value so a
 # worker needs no copy of this package on its path (e.g. a driver started
@@ -48,15 +50,10 @@ def _ragged(lens: np.ndarray) -> np.ndarray:
 
 
 class _Acc:
-    def __init__(self, max_dim: int):
+    def __init__(self):
         self.g = np.zeros((0, 0))
-        self.max_dim = max_dim
 
     def grow(self, da: int, db: int):
-        if da > self.max_dim or db > self.max_dim:
-            raise ValueError(
-                f"mode dimension {max(da, db)} exceeds max_local_dim={self.max_dim}; "
-                "use the subspace route (leading_eigvecs(route='subspace'))")
         ra, rb = self.g.shape
         if da > ra or db > rb:
             g = np.zeros((max(da, ra), max(db, rb)))
@@ -107,46 +104,86 @@ def _accumulate(acc: _Acc, la, ia, va, lb, ib, vb):
         r0 = r1
 
 
-def _emit(g: np.ndarray, upper: bool):
-    if g.size == 0:
-        return
-    if upper:
-        i, j = np.nonzero(np.triu(g))
-    else:
-        i, j = np.nonzero(g)
+def _emit(g: np.ndarray, ba: int, bb: int, tile: int, upper: bool):
+    """One finished tile as packed rows ``(_1, js, vs)``."""
+    if upper and ba == bb:
+        g = np.triu(g)
+    i, j = np.nonzero(g)
     if len(i) == 0:
         return
+    rows, counts = np.unique(i, return_counts=True)
+    off = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g[i, j])],
-        names=["_1", "_2", VALUE])
+        [pa.array((rows + ba * tile).astype(np.int32)),
+         pa.ListArray.from_arrays(off, pa.array((j + bb * tile).astype(np.int32))),
+         pa.ListArray.from_arrays(off, pa.array(g[i, j]))],
+        names=["_1", "js", "vs"])
 
 
-def _kernel(symmetric: bool, max_dim: int):
+def _kernel(symmetric: bool, tile: int):
+    """Block pairs come ordered by tile, so a task holds one tile at a time."""
     def run(batches):
-        acc = _Acc(max_dim)
+        cur, acc = None, _Acc()
         for rb in batches:
-            la, ia, va = _lists(rb, "ia", "va")
-            if symmetric:
-                _accumulate(acc, la, ia, va, la, ia, va)
-            else:
-                lb, ib, vb = _lists(rb, "ib", "vb")
-                _accumulate(acc, la, ia, va, lb, ib, vb)
-        yield from _emit(acc.g, upper=symmetric)
+            ba = rb.column(rb.schema.get_field_index("ba")).to_numpy()
+            bb = rb.column(rb.schema.get_field_index("bb")).to_numpy()
+            cuts = np.flatnonzero((ba[1:] != ba[:-1]) | (bb[1:] != bb[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(ba)]):
+                if hi == lo:
+                    continue
+                here = (int(ba[lo]), int(bb[lo]))
+                if cur is not None and here != cur:
+                    yield from _emit(acc.g, *cur, tile, symmetric)
+                    acc = _Acc()
+                cur = here
+                part = rb.slice(lo, hi - lo)
+                _accumulate(acc, *_lists(part, "ia", "va"), *_lists(part, "ib", "vb"))
+        if cur is not None:
+            yield from _emit(acc.g, *cur, tile, symmetric)
     return run
 
 
-_OUT = "_1 int, _2 int, product double"
+def _blocks(entries: DataFrame, tile: int) -> DataFrame:
+    """``(__k, bs)``: every fiber's blocks of ``(s, blk, e)`` from entries ``(__k, s, i, v)``.
 
+    One shuffle by the fiber key serves the sum over repeated coordinates and
+    both groupings.
+    """
+    one = entries.repartition("__k").groupBy("__k", "s", "i").agg(F.sum("v").alias("v"))
+    blk = (one.groupBy("__k", "s", F.expr(f"i div {int(tile)}").cast("int").alias("blk"))
+           .agg(F.collect_list(F.struct((F.col("i") % int(tile)).cast("int").alias("i"), "v")).alias("e")))
+    return blk.groupBy("__k").agg(F.collect_list(F.struct("s", "blk", "e")).alias("bs"))
 
-def fiber_gram(u: DataFrame, max_dim: int = MAX_LOCAL_DIM, upper_only: bool = False) -> DataFrame:
-    """Gram ``G[i, j] = Σ_key U[key, i] U[key, j]`` of an unfolding ``(key, idx, v)``."""
+
+def _entries(u: DataFrame, side: int) -> DataFrame:
     key, idx, val = u.columns[:3]
-    fibers = (u.groupBy(key)
-              .agg(F.collect_list(F.struct(F.col(idx).cast("int").alias("i"),
-                                           F.col(val).cast("double").alias("v"))).alias("e"))
-              .select(F.col("e.i").alias("ia"), F.col("e.v").alias("va")))
-    part = fibers.mapInArrow(_kernel(True, max_dim), _OUT)
-    g = part.groupBy("_1", "_2").agg(F.sum(VALUE).alias(VALUE))
+    e = u.select(F.col(key).alias("__k"), F.lit(side).alias("s"), F.col(idx).cast("int").alias("i"),
+                 F.col(val).cast("double").alias("v"))
+    return e.filter(F.col("i").isNotNull() & F.col("v").isNotNull())     # a null cell is absent
+
+
+def _fold(fibers: DataFrame, symmetric: bool, tile: int) -> DataFrame:
+    """Sum the outer products of block pairs into COO ``(_1, _2, product)``."""
+    if symmetric:
+        pairs = fibers.select("bs", F.explode("bs").alias("a")).select(
+            "a", F.explode(F.filter("bs", lambda b: b["blk"] >= F.col("a.blk"))).alias("b"))
+    else:
+        pairs = fibers.select(F.filter("bs", lambda b: b["s"] == 1).alias("r"),
+                              F.explode(F.filter("bs", lambda b: b["s"] == 0)).alias("a")).select(
+            "a", F.explode("r").alias("b"))
+    pairs = pairs.select(F.col("a.blk").alias("ba"), F.col("b.blk").alias("bb"),
+                         F.col("a.e.i").alias("ia"), F.col("a.e.v").alias("va"),
+                         F.col("b.e.i").alias("ib"), F.col("b.e.v").alias("vb"))
+    packed = pairs.sortWithinPartitions("ba", "bb").mapInArrow(
+        _kernel(symmetric, int(tile)), "_1 int, js array<int>, vs array<double>")
+    # packed rows cross the shuffle; the sum by cell needs no further exchange
+    cells = packed.repartition("_1").select("_1", F.inline(F.arrays_zip("js", "vs")).alias("_2", VALUE))
+    return cells.groupBy("_1", "_2").agg(F.sum(VALUE).alias(VALUE))
+
+
+def fiber_gram(u: DataFrame, tile: int = TILE_DIM, upper_only: bool = False) -> DataFrame:
+    """Gram ``G[i, j] = Σ_key U[key, i] U[key, j]`` of an unfolding ``(key, idx, v)``."""
+    g = _fold(_blocks(_entries(u, 0), tile), True, tile)
     if upper_only:
         return g
     # mirror the strict upper triangle without a second scan or a union
@@ -156,23 +193,9 @@ def fiber_gram(u: DataFrame, max_dim: int = MAX_LOCAL_DIM, upper_only: bool = Fa
     return g.select(F.inline(pairs))
 
 
-def fiber_cross(a: DataFrame, b: DataFrame, max_dim: int = MAX_LOCAL_DIM) -> DataFrame:
+def fiber_cross(a: DataFrame, b: DataFrame, tile: int = TILE_DIM) -> DataFrame:
     """``C[i, j] = Σ_key A[key, i] B[key, j]`` for two unfoldings on the same key space.
 
     Both sides are cogrouped by the key in one shuffle (union + group by).
     """
-    ka, ia_, va_ = a.columns[:3]
-    kb, ib_, vb_ = b.columns[:3]
-    sa = a.select(F.col(ka).alias("__k"), F.lit(0).alias("s"), F.col(ia_).cast("int").alias("i"),
-                  F.col(va_).cast("double").alias("v"))
-    sb = b.select(F.col(kb).alias("__k"), F.lit(1).alias("s"), F.col(ib_).cast("int").alias("i"),
-                  F.col(vb_).cast("double").alias("v"))
-    fib = (sa.unionByName(sb).groupBy("__k")
-           .agg(F.collect_list(F.struct("s", "i", "v")).alias("e")))
-    left = F.filter("e", lambda x: x["s"] == 0)
-    right = F.filter("e", lambda x: x["s"] == 1)
-    fib = fib.select(left.alias("l"), right.alias("r")).select(
-        F.col("l.i").alias("ia"), F.col("l.v").alias("va"),
-        F.col("r.i").alias("ib"), F.col("r.v").alias("vb"))
-    part = fib.mapInArrow(_kernel(False, max_dim), _OUT)
-    return part.groupBy("_1", "_2").agg(F.sum(VALUE).alias(VALUE))
+    return _fold(_blocks(_entries(a, 0).unionByName(_entries(b, 1)), tile), False, tile)

@@ -11,8 +11,10 @@ from ..tensor import modes_of
 
 # Rank accuracy of the magnitude quantile used to pre-filter a large top-k.
 _QUANTILE_ACCURACY = 1_000_000
-# Below this many rows the plain ordered limit is used directly.
+# Most rows the merge of an ordered limit receives.
 _DIRECT_ROWS = 4_000_000
+# Fewest tasks the input keeps under that bound; a larger k is cut by magnitude first.
+_MIN_TASKS = 4_000
 
 
 def sparsify(t: DataFrame, precision: float, value: str = VALUE) -> DataFrame:
@@ -24,30 +26,31 @@ def top_k(t: DataFrame, k: int, value: str = VALUE, prefilter: bool = True) -> D
     """The ``k`` cells of largest magnitude; ties broken by the coordinates.
 
     Spark plans ``orderBy(...).limit(k)`` as TakeOrderedAndProject: a top-k heap
-    per task, then one merge of at most ``tasks x k`` rows.  For large inputs we
-    first cut at a magnitude threshold tau from ``percentile_approx`` (rank error
-    <= n / accuracy) chosen so that at least k cells satisfy ``|v| >= tau``
-    (checked exactly by a count); the merge then sees about k rows, not
-    ``tasks x k``.  The result is exact either way.
+    per task, then one merge of at most ``tasks x k`` rows.  Coalescing the
+    input bounds that merge; a k too large for it first cuts at a magnitude
+    threshold tau from ``percentile_approx`` (rank error <= n / accuracy)
+    chosen so that at least k cells satisfy ``|v| >= tau`` (checked exactly by
+    a count); the merge then sees about k rows.  The result is exact either way.
     """
     modes = modes_of(t, value)
     mag = F.abs(F.col(value))
     order = [mag.desc()] + [F.col(m).asc() for m in modes]
-    # The merge task sees at most tasks x k rows; below _DIRECT_ROWS that is
-    # cheap and no extra pass is spent on counting.
-    parts = t.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    if prefilter and k * max(int(parts), 1) > _DIRECT_ROWS:
-        # three passes follow (count, quantile, survivors): read a copy
-        t = t.checkpoint(eager=True)
-        n = t.count()
-        if n <= k:
-            return t
-        if n > _DIRECT_ROWS:
-            slack = 2.0 * n / _QUANTILE_ACCURACY + 1
-            q = max(0.0, 1.0 - (k + slack) / n)
-            tau = t.select(F.percentile_approx(mag, q, _QUANTILE_ACCURACY)).first()[0]
-            if tau is not None:
-                kept = t.filter(mag >= F.lit(tau))
-                if kept.count() >= k:
-                    t = kept
+    tasks = max(1, _DIRECT_ROWS // max(k, 1))
+    if k <= 0 or tasks >= _MIN_TASKS or not prefilter:
+        # the merge gets k rows from each task: coalesce (no shuffle) bounds the
+        # tasks whatever partitions the plan has, and is a no-op below that
+        return t.coalesce(max(tasks, _MIN_TASKS)).orderBy(*order).limit(k)
+    # three passes follow (count, quantile, survivors): read a copy
+    t = t.checkpoint(eager=True)
+    n = t.count()
+    if n <= k:
+        return t
+    if n > _DIRECT_ROWS:
+        slack = 2.0 * n / _QUANTILE_ACCURACY + 1
+        q = max(0.0, 1.0 - (k + slack) / n)
+        tau = t.select(F.percentile_approx(mag, q, _QUANTILE_ACCURACY)).first()[0]
+        if tau is not None:
+            kept = t.filter(mag >= F.lit(tau))
+            if kept.count() >= k:
+                t = kept
     return t.orderBy(*order).limit(k)

@@ -46,12 +46,12 @@ def dense_count(y: DataFrame, mode: str, value: str = VALUE) -> DataFrame:
 
 
 def normal_equations(xbar: DataFrame, mode: str, n: DataFrame, ridge: float = RIDGE,
-                     value: str = VALUE, max_dim: int = MAX_LOCAL_DIM, check: bool = True) -> DataFrame:
+                     value: str = VALUE) -> DataFrame:
     """Augmented normal matrix A (J4): Gram shifted by one, the marginal as
     row/column 0, the dense count at (0, 0), ``ridge`` on the diagonal
     0..d inclusive (the bias too, S13), where d = max source index + 1."""
     u = unfold(xbar, mode, value)
-    xx = gram(u, max_dim=max_dim, check=check).select((F.col("_1") + 1).alias("_1"), (F.col("_2") + 1).alias("_2"), VALUE)
+    xx = gram(u).select((F.col("_1") + 1).alias("_1"), (F.col("_2") + 1).alias("_2"), VALUE)
     s = mode_marginal(xbar, mode, value)
     row = _m(s.select((F.col(mode) + 1).alias("a"), F.lit(0).alias("b"), F.col(value)), "a", "b", value)
     col = row.select(F.col("_2").alias("_1"), F.col("_1").alias("_2"), VALUE)
@@ -62,10 +62,9 @@ def normal_equations(xbar: DataFrame, mode: str, n: DataFrame, ridge: float = RI
     return matrix_add(xx, row, col, _m(cnt, "_1", "_2", VALUE), diag)
 
 
-def cross_moments(y: DataFrame, xbar: DataFrame, mode: str, value: str = VALUE,
-                  max_dim: int = MAX_LOCAL_DIM, check: bool = True) -> DataFrame:
+def cross_moments(y: DataFrame, xbar: DataFrame, mode: str, value: str = VALUE) -> DataFrame:
     """C = [Y·1, Y X̄ᵀ] (J5): target x (source + 1), bias column 0."""
-    yx = cross_moment(unfold(y, mode, value), unfold(xbar, mode, value), max_dim=max_dim, check=check)
+    yx = cross_moment(unfold(y, mode, value), unfold(xbar, mode, value))
     yx = yx.select("_1", (F.col("_2") + 1).alias("_2"), VALUE)
     ysum = mode_marginal(y, mode, value).select(F.col(mode).cast("int").alias("_1"),
                                                 F.lit(0).alias("_2"), F.col(value).alias(VALUE))
@@ -86,14 +85,8 @@ def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
     xbar = affine_chain(x, bs, skip=i, precision=precision, prefix=base, value=value)
     if checkpoint:
         xbar = xbar.checkpoint(eager=True)
-    # one dimension check for both the Gram and the cross moment
-    top = xbar.select(mode).union(y.select(mode)).agg(F.max(mode)).first()[0]
-    if top is not None and top >= MAX_LOCAL_DIM:
-        raise ValueError(f"mode {mode!r} index {top} >= max_local_dim={MAX_LOCAL_DIM}: the normal "
-                         "matrix is formed as a dense per-task buffer; larger modes need a "
-                         "matrix-free solve, which is not built")
-    a = normal_equations(xbar, mode, dense_count(y, mode, value), ridge, value, check=False)
-    c = cross_moments(y, xbar, mode, value, check=False)
+    a = normal_equations(xbar, mode, dense_count(y, mode, value), ridge, value)
+    c = cross_moments(y, xbar, mode, value)
     b = ridge_solve(a, c, route=route).filter(F.abs(F.col(VALUE)) > 0)
     if checkpoint:
         b = b.checkpoint(eager=True)
@@ -160,16 +153,19 @@ def random_reg_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECI
     return out
 
 
-def svd_init_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECISION, value: str = VALUE,
-                     max_dim: int = MAX_LOCAL_DIM) -> list[DataFrame]:
+def svd_init_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECISION, value: str = VALUE) -> list[DataFrame]:
     """SVD initial regression factors (J2, S14): |u| of the Gram of X's
     unfolding (all components), rows up to the target's max index, entries
-    above ``precision``, plus a zero bias for every target index."""
+    above ``precision``, plus a zero bias for every target index.  All d
+    components are asked for, a dense d x d result, so a mode above
+    ``MAX_LOCAL_DIM`` is refused (start from ``random_reg_factors`` there)."""
     modes = modes_of(y, value)[:-1]
     out = []
     for m in modes:
         d = (x.agg(F.max(m)).first()[0] or 0) + 1
-        vec = eigvecs_of_gram(gram(unfold(x, m, value), max_dim=max_dim), d)  # (_1 comp, _2 index)
+        if d > MAX_LOCAL_DIM:
+            raise ValueError(f"mode {m!r} has {d} indices: a full SVD basis is dense, limit {MAX_LOCAL_DIM}")
+        vec = eigvecs_of_gram(gram(unfold(x, m, value)), d)  # (_1 comp, _2 index)
         tmax = y.select(F.max(m)).scalar()
         w = vec.select(F.col("_2").alias("_1"), (F.col("_1") + 1).alias("_2"),
                        F.abs(F.col(VALUE)).alias(VALUE))

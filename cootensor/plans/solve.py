@@ -25,7 +25,7 @@ from ..functions.expr import hash_uniform
 from ..operators.algebra import gram
 from ..operators.dense import fiber_gram
 from ..sources.runstore import RunStore
-from ..session import MAX_LOCAL_DIM, VALUE
+from ..session import MAX_LOCAL_DIM, TILE_DIM, VALUE
 
 # This module's functions run inside Python workers.  Ship them by value so a
 # worker needs no copy of this package on its path (e.g. a driver started
@@ -132,7 +132,7 @@ def _expand(u: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def _orthonormalize(w: DataFrame) -> DataFrame:
-    s = fiber_gram(w.select("j", "c", "w"), max_dim=4096)        # p x p, Σ_j w_j w_jᵀ
+    s = fiber_gram(w.select("j", "c", "w"))       # p x p, Σ_j w_j w_jᵀ
     rinv = _apply_small(s, _qr_task)                              # (new, old, value)
     j = w.join(F.broadcast(rinv), w["c"] == rinv["_2"])
     return j.groupBy("j", F.col("_1").alias("c")).agg(F.sum(F.col("w") * F.col(VALUE)).alias("q"))
@@ -178,7 +178,7 @@ def subspace_eigvecs(u: DataFrame, k: int, n_iter: int = 300, oversample: int =
 def _ritz(u: DataFrame, q: DataFrame, k: int) -> DataFrame:
     """The k leading Ritz vectors of U Uᵀ in the space of ``q``."""
     z = _project(u, q)
-    b = fiber_gram(z.select("key", "c", "z"), max_dim=4096)      # p x p = Zᵀ Z
+    b = fiber_gram(z.select("key", "c", "z"))     # p x p = Zᵀ Z
     v = _apply_small(b, _rr_task(k))                               # (comp, c, value)
     j = q.join(F.broadcast(v), q["c"] == v["_2"])
     f = j.groupBy(F.col("_1"), F.col("j").alias("_2")).agg(F.sum(F.col("q") * F.col(VALUE)).alias(VALUE))
@@ -192,16 +192,16 @@ def leading_eigvecs(u: DataFrame, k: int, route: str = "auto", max_local_dim: in
 
     ``route="gram"`` builds U Uᵀ on Spark and solves it in one task (needs
     d <= max_local_dim); ``"subspace"`` never forms it; ``"auto"`` picks the
-    Gram route when the index range is small enough.
+    Gram route when the index range is small enough.  Both give the same
+    vectors to the subspace test's tolerance, or raise.
     """
-    checked = False
-    if route == "auto":
+    if route != "subspace":
         if dim is None:
             dim = (u.agg(F.max(u.columns[1])).first()[0] or 0) + 1
-            checked = True
-        route = "gram" if dim <= max_local_dim else "subspace"
-    if route == "gram":
-        return eigvecs_of_gram(gram(u, max_dim=max_local_dim, check=not checked), k)
+        if route == "gram" and dim > max_local_dim:
+            raise ValueError(f"dimension {dim} > max_local_dim={max_local_dim}: use route='subspace'")
+        if dim <= max_local_dim:
+            return eigvecs_of_gram(gram(u), k)
     return subspace_eigvecs(u, k, **kw)
 
 
@@ -211,24 +211,29 @@ def _solve_task(pdf: pd.DataFrame) -> pd.DataFrame:
     a = pdf[pdf["__m"] == 0]
     c = pdf[pdf["__m"] == 1]
     n = int(max(a["_1"].max(), a["_2"].max(), c["_2"].max() if len(c) else 0)) + 1
-    ny = int(c["_1"].max()) + 1 if len(c) else 0
+    t0 = int(c["_1"].min()) if len(c) else 0        # first target of this block
+    ny = int(c["_1"].max()) + 1 - t0 if len(c) else 0
     am = np.zeros((n, n))
     am[a["_1"].to_numpy(), a["_2"].to_numpy()] = a[VALUE].to_numpy()
     cm = np.zeros((ny, n))
     if len(c):
-        cm[c["_1"].to_numpy(), c["_2"].to_numpy()] = c[VALUE].to_numpy()
+        cm[c["_1"].to_numpy() - t0, c["_2"].to_numpy()] = c[VALUE].to_numpy()
     # B A = C  <=>  A Bᵀ = Cᵀ  (A symmetric positive definite)
     b = np.linalg.solve(am, cm.T).T
     t, s = np.nonzero(b)
-    return pd.DataFrame({"_1": t.astype(np.int32), "_2": s.astype(np.int32), VALUE: b[t, s]})
+    return pd.DataFrame({"_1": (t + t0).astype(np.int32), "_2": s.astype(np.int32), VALUE: b[t, s]})
+
 
+def ridge_solve_local(a: DataFrame, c: DataFrame, targets: int = TILE_DIM) -> DataFrame:
+    """B = C A⁻¹, one task per block of ``targets`` rows of C.
 
-def ridge_solve_local(a: DataFrame, c: DataFrame) -> DataFrame:
-    """B = C A⁻¹ in one executor task (A is (d+1) x (d+1), d <= max_local_dim)."""
-    both = (a.select("_1", "_2", VALUE).withColumn("__m", F.lit(0))
-            .unionByName(c.select("_1", "_2", VALUE).withColumn("__m", F.lit(1))))
-    return (_one_group(both).groupBy("__g")
-            .applyInPandas(lambda p: _solve_task(p.drop(columns="__g")), _FACTOR_SCHEMA))
+    A is (d+1) x (d+1) with d <= max_local_dim and goes to every block, so a
+    task holds A and ``targets`` right-hand sides however many targets C has.
+    """
+    last = c.select(F.max(F.expr(f"_1 div {int(targets)}"))).scalar()
+    both = (a.select("_1", "_2", VALUE, F.lit(0).alias("__m"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__g"))
+            .unionByName(c.select("_1", "_2", VALUE, F.lit(1).alias("__m"), F.expr(f"_1 div {int(targets)}").alias("__g"))))
+    return both.groupBy("__g").applyInPandas(lambda p: _solve_task(p.drop(columns="__g")), _FACTOR_SCHEMA)
 
 
 def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int | None = None,

@@ -16,8 +16,9 @@ BROADCAST_MAX_ROWS = 2_000_000
 # ... and its largest size in bytes, for labels and struct keys.
 BROADCAST_MAX_BYTES = 96 << 20
 
-# Largest mode dimension for which a dense d x d buffer is kept inside one task
-# (Gram, cross moments, the eigen / ridge short cuts).  2048^2 doubles = 32 MB.
+# Side of the dense tile a Gram or cross-moment task fills: 2048^2 doubles = 32 MB.
+TILE_DIM = 2048
+# Largest mode dimension whose d x d matrix the one-task eigen and ridge solvers take.
 MAX_LOCAL_DIM = 2048
 
 

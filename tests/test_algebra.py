@@ -119,10 +119,26 @@ def test_cross_moment(spark, rng):
     np.testing.assert_allclose(to_dense(c, (3, 2), ["_1", "_2"]), a.reshape(3, -1) @ b.reshape(2, -1).T)
 
 
-def test_gram_rejects_dimension_over_limit(spark):
-    t = spark.createDataFrame([(0, 5000, 1.0)], "k int, i int, product double")
-    with pytest.raises(Exception):
-        op.gram(t, max_dim=100).collect()
+@pytest.mark.parametrize("density", [0.1, 0.9])
+def test_gram_and_cross_moment_over_several_tiles(spark, rng, density):
+    a, b = sparse_tensor(rng, (23, 9, 4), density), sparse_tensor(rng, (11, 9, 4), density)
+    ta, tb = from_dense(spark, a), from_dense(spark, b)
+    ua, ub = op.unfold(ta, "_1"), op.unfold(tb, "_1")
+    m, n = a.reshape(23, -1), b.reshape(11, -1)
+    np.testing.assert_allclose(to_dense(op.gram(ua, tile=5), (23, 23), ["_1", "_2"]), m @ m.T)
+    np.testing.assert_allclose(to_dense(op.cross_moment(ua, ub, tile=5), (23, 11), ["_1", "_2"]), m @ n.T)
+
+
+def test_gram_beyond_one_tile_and_repeated_cells(spark):
+    t = spark.createDataFrame([(0, 5000, 1.0), (0, 5000, 2.0), (0, 1, 4.0), (1, 1, 1.0), (1, 70000, None)],
+                              "k int, i int, product double")
+    got = {(r[0], r[1]): r[2] for r in op.gram(t).collect()}
+    assert got == {(5000, 5000): 9.0, (1, 5000): 12.0, (5000, 1): 12.0, (1, 1): 17.0}
+
+
+def test_gram_shuffles_one_packed_row_per_index(spark, rng):
+    plan = op.gram(op.unfold(from_dense(spark, sparse_tensor(rng, (6, 5, 4))), "_1"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2, plan
 
 
 def test_partitioning_does_not_change_results(spark, rng):

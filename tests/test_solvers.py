@@ -67,6 +67,31 @@ def test_ridge_solve_routes(spark, route):
     np.testing.assert_allclose(got, np.linalg.solve(a, c.T).T, rtol=1e-8, atol=1e-10)
 
 
+def test_ridge_local_splits_targets(spark):
+    from cootensor.plans.solve import ridge_solve_local
+    rng = np.random.default_rng(6)
+    a, c = spd_system(rng, 5, 7)
+    b = ridge_solve_local(matrix_df(spark, a), matrix_df(spark, c), targets=3)
+    np.testing.assert_allclose(to_dense(b, (7, 5), ["_1", "_2"]), np.linalg.solve(a, c.T).T, rtol=1e-8, atol=1e-10)
+
+
+def test_regression_of_a_mode_of_5000_indices(spark):
+    """Beyond one Gram tile: the step runs and its factor fits like the dense solve."""
+    rng = np.random.default_rng(8)
+    src = np.sort(rng.choice(5000, 12, replace=False))
+    src[-1] = 4999
+    x = rng.integers(1, 6, size=(12, 5)).astype(float)
+    y = rng.integers(1, 6, size=(2, 5)).astype(float)
+    tx = spark.createDataFrame([(int(s), h, float(x[i, h])) for i, s in enumerate(src) for h in range(5)], "a int, h int, product double")
+    ty = from_dense(spark, y, ["a", "h"])
+    b, _ = reg.regression_step(tx, ty, [None], 0, precision=None)
+    got = to_dense(b, (2, 5001), ["_1", "_2"])
+    z = np.vstack([np.ones(5), x])                      # the other 4,988 sources have no cells, hence weight 0
+    want = np.linalg.solve(z @ z.T + 0.001 * np.eye(13), z @ y.T).T
+    np.testing.assert_allclose(got[:, np.concatenate(([0], src + 1))], want, rtol=1e-5, atol=1e-7)
+    assert np.count_nonzero(got) == np.count_nonzero(want)
+
+
 def test_regression_step_solves_normal_equations(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(1, 6, size=(3, 2, 7)).astype(float)        # modes a, b, free h
