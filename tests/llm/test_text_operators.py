@@ -220,8 +220,10 @@ def test_lm_filter_reads_counts_back():
     b = lm._bucket(h, 4)
     segs = {}
     for k in range(4):
-        t = pa.table({"bucket": [k], "n": [int((b == k).sum())], "keys": [(h[b == k] & lm.U64(0xFFFFFFFF)).astype("<u4").tobytes()],
-                      "counts": [lm._zip(n[b == k].astype("<u4"))]})
+        key = (h[b == k] & lm.U64(0xFFFFFFFF)).astype("<u4")
+        order = np.argsort(key, kind="stable")
+        t = pa.table({"bucket": [k], "n": [int((b == k).sum())], "keys": [lm._zip_sorted(key[order])],
+                      "counts": [lm._zip(n[b == k][order].astype("<u4"))]})
         segs[k] = lm._segment(t, 1 << 19)["segment"][0].as_py()
     got = lm.CountFilter(segs, 4, 1 << 19).counts(h)
     want = np.where(n > 1, 1.5 * 2.0 ** np.floor(np.log2(n)), 1)
