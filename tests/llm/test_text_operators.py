@@ -231,6 +231,15 @@ def test_lm_filter_reads_counts_back():
     assert (lm.CountFilter(segs, 4, 1 << 19).counts(h ^ lm.U64(12345)) == 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("kind", ["<u4", "<u8"])
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_lm_packing_round_trip(kind, n):
+    a = np.random.default_rng(n).integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True)
+    assert (lm._unzip(lm._zip(a), kind, n) == a).all()
+    up = np.sort(a)
+    assert (lm._unzip_sorted(lm._zip_sorted(up), kind, n) == up).all()
+
+
 def test_lm_odd_rows(odd, none):
     got = lm.score(odd, ["doc_id"], F.lit(False)).select("row.doc_id", "n_tokens").collect()
     assert len(got) == odd.count()
