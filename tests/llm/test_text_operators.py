@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cootensor.llm import bpe, decontaminate, jaccard, langid, lm, queries, secrets, substring
@@ -309,3 +310,57 @@ def test_substring_odd_rows(odd, none):
     got = substring.duplicates(odd).collect()
     assert {r.doc_id for r in got} == {1, 7} and {r.first_doc_id for r in got} == {1}
     assert substring.duplicates(none).count() == 0
+
+
+def test_substring_links_match_brute_force():
+    rng = np.random.default_rng(5)
+    rows, group = [], []
+    for g in range(60):
+        seeds = rng.integers(0, 1 << 62, (int(rng.integers(1, 4)), 30), dtype=np.uint64)
+        for _ in range(int(rng.integers(1, 60))):
+            x = seeds[rng.integers(len(seeds))].copy()
+            at = rng.choice(30, int(rng.integers(0, 9)), replace=False)
+            x[at] = rng.integers(0, 1 << 62, len(at), dtype=np.uint64)
+            rows.append(x[:int(rng.integers(18, 23))])
+            group.append(g)
+    size = np.array([len(x) for x in rows])
+    s = np.zeros((len(rows), 22), np.uint64)
+    for i, x in enumerate(rows):
+        s[i, :len(x)] = x
+    a, b = substring.links(np.array(group, np.uint64), s, size, 75)
+    sets = [set(x.tolist()) for x in rows]
+    like = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    assert all(group[i] == group[j] and like(i, j) for i, j in zip(a, b))
+
+    def components(pairs):
+        top = list(range(len(rows)))
+        for i, j in pairs:
+            x, y = top[i], top[j]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if group[i] == group[j] and like(i, j)]
+    assert components(every) == components(zip(a, b)) and len(set(components(every))) < len(rows)
+
+
+@pytest.mark.parametrize("block", [1 << 15, 8])
+def test_substring_keeps_every_class_of_a_band(spark, block, monkeypatch):
+    # every paragraph has the same key in every band: all classes must still meet those they are similar to
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(20_000)]
+    text = lambda n: list(rng.choice(vocab, n))
+    docs, twins = [], {}
+    for g in range(12):
+        base = text(26)
+        near = list(base)
+        near[-1] = text(1)[0]                                   # 21 of 23 shingles in common
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+        twins[2 * g + 1] = 2 * g
+    keys = substring.Paragraphs.band_keys
+    monkeypatch.setattr(substring.Paragraphs, "band_keys", lambda self, which: np.zeros_like(keys(self, which)) + np.arange(4, dtype=np.uint64))
+    cloudpickle.register_pickle_by_value(substring)             # the workers get the patched class
+    try:
+        got = substring.duplicates(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block=block).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring)
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(i, j) for i, j in twins.items()} | {(j, j) for j in twins.values()}
