@@ -10,11 +10,14 @@ one node, so copies are never paired.
    Pairs at or above the threshold are links and always kept.  A node whose list
    is saturated with links gets a longer list (``ENLARGE`` times as long).
 3. After each round an audit compares a bounded set of nodes with all nodes by
-   brute force; rounds go on until the recall of their links is ``RECALL``.
-4. Lists saturated even then belong to large groups.  Each connected group is
-   cut into tiles of similar vectors; the angle between two tiles' centres and
-   their radii decide whether all, none or some of their pairs link, and only in
-   the last case are cosines computed.  Only counts leave a tile, never pairs.
+   brute force; rounds go on until the recall of their links is ``RECALL`` or
+   ``ROUNDS`` are done.
+4. The graph only says which vectors are alike; what it missed is found exactly.
+   All vectors of a label, those of a component side by side, are cut into tiles;
+   the angle between two tiles' centres and their radii decide whether all, none
+   or some of their pairs link, and only in the last case are cosines computed.
+   Tiles meet in bounded blocks, every block with every other of its label.  Only
+   counts and links between components leave a block, never pairs.
 
 Defined results.  Null label, null or zero vectors, vectors with null or
 non-finite components: no links, component = own id, kept.  Repeated ids: rows
@@ -45,6 +48,7 @@ ROUNDS = 5
 AUDIT = 256              # nodes of the audit
 RECALL = 0.98
 TILE = 256
+BLOCK = 32               # tiles of a block
 SEED = 0x4E4E
 
 
@@ -227,79 +231,92 @@ def audit(nodes: DataFrame, kind: str, threshold: float, size: int = AUDIT) -> D
     return nodes.select("node", "part", "vec").mapInArrow(run, "u long, v long")
 
 
-def _count_links(groups: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """``(node, n)``: copies of other nodes linked to each node of a connected group.
+def _count_links(groups: DataFrame, kind: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``(node, n, other)``: copies of other nodes linked to each node; with ``other``, two components that a link joins.
 
-    ``groups``: (component, place, node, copies, vec); ``place`` puts similar
-    vectors of a component side by side, and a run of ``TILE`` is one tile.
+    ``groups``: (part, run, component, node, copies, vec, place) of all nodes; the run
+    is the component, null for a node without a known link; ``place``
+    puts similar vectors of a component side by side, and a run of up to ``TILE`` is
+    one tile.  All tiles of a part are compared.
     """
     theta = float(np.arccos(threshold))
 
     def tiles(batches):
-        names = ["component", "tile", "nodes", "copies", "vecs", "dim"]
+        names = ["part", "tile", "nodes", "components", "copies", "vecs", "dim"]
         held: list[tuple] = []
         number, last = 0, None
 
         def flush():
             nonlocal number
             number += 1
+            nodes, comps, copies = (np.array([h[k] for h in held], np.int64).tobytes() for k in range(3))
             return pa.RecordBatch.from_arrays([
-                pa.array([last], pa.int64()), pa.array([base + number], pa.int64()),
-                pa.array([np.array([h[0] for h in held]).tobytes()]), pa.array([np.array([h[1] for h in held]).tobytes()]),
-                pa.array([b"".join(h[2] for h in held)]), pa.array([len(held[0][2])], pa.int64())], names=names)
+                pa.array([last[0]], pa.string()), pa.array([base + number], pa.int64()), pa.array([nodes]), pa.array([comps]),
+                pa.array([copies]), pa.array([b"".join(h[3] for h in held)]), pa.array([len(held[0][3])], pa.int64())], names=names)
 
         base = TaskContext.get().partitionId() << 32
         for b in batches:
-            for c, n, m, v in zip(*(b.column(x) for x in ("component", "node", "copies", "vec"))):
-                c = c.as_py()
-                if held and (c != last or len(held) == TILE):
+            for p, c, n, m, v in zip(*(b.column(x) for x in ("part", "component", "node", "copies", "vec"))):
+                now = (p.as_py(), c.as_py())
+                if held and (now[0] != last[0] or len(held) == TILE or (now != last and len(held) >= TILE // 2)):
                     yield flush()
                     held = []
-                last = c
-                held.append((n.as_py(), m.as_py(), v.as_py()))
+                last = now
+                held.append((n.as_py(), now[1], m.as_py(), v.as_py()))
         if held:
             yield flush()
 
-    cut_up = groups.repartitionByRange("component", "place", "node").sortWithinPartitions("component", "place", "node") \
-        .select("component", "node", "copies", "vec") \
-        .mapInArrow(tiles, "component long, tile long, nodes binary, copies binary, vecs binary, dim long")
+    cut_up = groups.repartitionByRange("part", "run", "place", "node").sortWithinPartitions("part", "run", "place", "node") \
+        .select("part", "component", "node", "copies", "vec") \
+        .mapInArrow(tiles, "part string, tile long, nodes binary, components binary, copies binary, vecs binary, dim long")
     cut_up = cut(cut_up, "tiles")
-    a = cut_up.select("component", *[F.col(c).alias(f"{c}_a") for c in ("tile", "nodes", "copies", "vecs")], "dim")
-    b = cut_up.select("component", *[F.col(c).alias(f"{c}_b") for c in ("tile", "nodes", "copies", "vecs")])
-
-    def compare(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r].as_py()  # noqa: E731,B023
-                size = get("dim")
-                na, nb = (np.frombuffer(get(f"nodes_{s}"), np.int64) for s in "ab")
-                ca, cb = (np.frombuffer(get(f"copies_{s}"), np.int64) for s in "ab")
-                xa, xb = (unit([raw[i:i + size] for i in range(0, len(raw), size)], kind)
-                          for raw in (get("vecs_a"), get("vecs_b")))
-                same = get("tile_a") == get("tile_b")
-                (za, ra), (zb, rb) = _ball(xa), _ball(xb)
+    blocks = cut_up.groupBy("part").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    met = cut_up.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("tile"), "blocks")) \
+        .withColumn("met", F.explode(F.expr("sequence(0L, blocks - 1)"))) \
+        .withColumn("x", F.least("own", "met")).withColumn("y", F.greatest("own", "met")).drop("blocks", "met")
+
+    def compare(t: pa.Table) -> pa.Table:
+        size, whole = t["dim"][0].as_py(), t["x"][0].as_py() == t["y"][0].as_py()
+        own = t["own"].to_pylist()
+        raw = [[np.frombuffer(x.as_py(), np.int64) for x in t[c]] for c in ("nodes", "components", "copies")]
+        vecs = [unit([v[i:i + size] for i in range(0, len(v), size)], kind) for v in (x.as_py() for x in t["vecs"])]
+        balls = [_ball(x) for x in vecs]
+        counts = [np.zeros(len(x), np.int64) for x in raw[0]]
+        joined = [np.zeros((0, 2), np.int64)]
+        for a in range(len(vecs)):
+            for b in range(a if whole else a + 1, len(vecs)):
+                if not whole and own[a] == own[b]:
+                    continue
+                same = a == b
+                (za, ra), (zb, rb) = balls[a], balls[b]
                 apart = float(np.arccos(np.clip(za @ zb, -1, 1)))
                 if not same and apart - ra - rb > theta + 1e-9:
                     continue
+                ca, cb = raw[2][a], raw[2][b]
                 if apart + ra + rb < theta - 1e-9:
-                    to_a, to_b = np.full(len(na), cb.sum()), np.full(len(nb), ca.sum())
+                    to_a, to_b = np.full(len(ca), cb.sum()), np.full(len(cb), ca.sum())
                     if same:
                         to_a = to_a - ca
+                    comps = np.unique(np.concatenate([raw[1][a], raw[1][b]]))
+                    joined.append(np.stack([np.full(len(comps) - 1, comps[0]), comps[1:]], 1))
                 else:
-                    s = xa @ xb.T >= threshold
+                    s = vecs[a] @ vecs[b].T >= threshold
                     if same:
                         np.fill_diagonal(s, False)
+                    i, j = np.nonzero(s)
                     to_a, to_b = s @ cb, ca @ s
-                out.append((na, to_a))
+                    u, v = raw[1][a][i], raw[1][b][j]
+                    if (u != v).any():
+                        joined.append(np.unique(np.stack([u, v], 1)[u != v], axis=0))
+                counts[a] += to_a
                 if not same:
-                    out.append((nb, to_b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])),
-                                                  pa.array(np.concatenate([o[1] for o in out]).astype(np.int64))], names=["node", "n"])
+                    counts[b] += to_b
+        node, n, pairs = np.concatenate(raw[0]), np.concatenate(counts), np.unique(np.concatenate(joined), axis=0)
+        node, n = node[n > 0], n[n > 0]
+        return pa.table({"node": np.concatenate([node, pairs[:, 0]]), "n": np.concatenate([n, np.zeros(len(pairs), np.int64)]),
+                         "other": pa.concat_arrays([pa.nulls(len(node), pa.int64()), pa.array(pairs[:, 1])])})
 
-    pairs = a.join(b, "component").where("tile_a <= tile_b")
-    return pairs.drop("component").mapInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return cut(met.groupBy("part", "x", "y").applyInArrow(compare, "node long, n long, other long"), "counted")
 
 
 def _ball(x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -316,7 +333,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                     threshold: float = THRESHOLD, k: int = K, report: dict | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every vector.
 
-    ``report`` receives the rounds taken and the recall measured by the audit.
+    ``report`` receives the rounds taken and the recall measured by the audit, both
+    of the graph before the exact comparison of tiles.
     """
     rows, nodes, kind = _nodes(vectors, vec_id, embedding, label)
     sizes = nodes.groupBy("part").count().agg(F.max("count")).first()[0] or 0
@@ -355,14 +373,18 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 x = unit([raw[i] for i in at], kind)
                 w = ways.setdefault(x.shape[1], np.random.default_rng(SEED + 2).standard_normal(x.shape[1]))
                 y[at] = x @ w
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "node", "copies", "vec")), pa.array(y)],
-                                             names=["component", "node", "copies", "vec", "place"])
-
-    grouped = comps.join(nodes.select("node", "copies", "vec"), "node").select("component", "node", "copies", "vec") \
-        .mapInArrow(place, "component long, node long, copies long, vec binary, place double")
-    counted = _count_links(grouped, kind, threshold)
-    named = nodes.select("node", "id", "copies").join(comps, "node", "left").join(counted, "node", "left") \
-        .select("node", F.coalesce("component", "node").alias("component"), "id",
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "run", "component", "node", "copies", "vec")), pa.array(y)],
+                                             names=["part", "run", "component", "node", "copies", "vec", "place"])
+
+    grouped = nodes.select("part", "node", "copies", "vec").join(comps, "node", "left") \
+        .select("part", F.col("component").alias("run"), F.coalesce("component", "node").alias("component"), "node", "copies", "vec") \
+        .mapInArrow(place, "part string, run long, component long, node long, copies long, vec binary, place double")
+    met = _count_links(grouped, kind, threshold)
+    counted = met.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    joined = pair_components(met.where("other is not null"), "node", "other").select(F.col("node").alias("found"), F.col("component").alias("whole"))
+    named = nodes.select("node", "id", "copies").join(comps, "node", "left").withColumn("found", F.coalesce("component", "node")) \
+        .join(joined, "found", "left").join(counted, "node", "left") \
+        .select("node", F.coalesce("whole", "found").alias("component"), "id",
                 (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
     by_node = named.join(ids, "component").select("node", "n_links", "component_id")

@@ -3,6 +3,7 @@
 import itertools
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -100,6 +101,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 1])
+def test_near_duplicates_are_exact_whatever_the_graph_finds(spark, monkeypatch, block):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16).tolist(), i % 2) for i in range(600)]
+    for i in range(0, 120, 3):                                        # pairs and a chain
+        rows.append((len(rows), (np.array(rows[i][1]) + 0.15 * rng.standard_normal(16)).tolist(), i % 2))
+    for _ in range(30):
+        rows.append((len(rows), (np.array(rows[-1][1]) + 0.2 * rng.standard_normal(16)).tolist(), 1))
+    monkeypatch.setattr(neardup, "_first_graph", lambda nodes, kind, size: spark.createDataFrame([], "u long, v long, sim double"))
+    monkeypatch.setattr(neardup, "_count_links", partial(neardup._count_links, block=block))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == near_brute(rows, 0.93)
+
+
 def test_pair_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in pair_components(spark.createDataFrame(edges, "a long, b long")).collect()}
