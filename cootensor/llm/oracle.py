@@ -66,6 +66,52 @@ SELECT n.id AS vec_id, coalesce(d.n, 0) AS n_links, c.c AS component_id, n.id =
 FROM nodes n JOIN comp c ON c.id = n.id LEFT JOIN degree d ON d.id = n.id
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') AS tie FROM documents),
+s AS (
+  SELECT source, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+o AS (
+  SELECT *, sum(size) OVER () AS t, coalesce(sum(3 * size) OVER before, 0) AS used, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS left_w,
+         row_number() OVER (ORDER BY 3 * size / w, source) AS k
+  FROM s WINDOW before AS (ORDER BY 3 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, bool_and(size = 0 OR w * (t - used) / left_w > 3 * size) OVER (ORDER BY k) AS is_full FROM o),
+g AS (
+  SELECT source, size, CASE WHEN is_full THEN CAST(3 * size AS DOUBLE)
+    ELSE w * CAST(t - sum(CASE WHEN is_full THEN 3 * size ELSE 0 END) OVER () AS DOUBLE) / CAST(sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target
+  FROM f),
+p AS (
+  SELECT d.n, d.source, d.size, CAST(floor(g.target + 0.5) AS BIGINT) AS quota, g.size AS source_size, e.pass,
+         left(md5('0:' || e.pass || ':' || d.tie), 12) AS key, d.tie
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, (SELECT unnest([0, 1, 2]) AS pass) e),
+q AS (
+  SELECT n, quota, size, source_size * pass + sum(size) OVER (PARTITION BY source, pass ORDER BY key, tie, n ROWS UNBOUNDED PRECEDING) - size AS start FROM p),
+r AS (SELECT n, CAST(sum(greatest(0, least(start + size, quota) - start)) AS BIGINT) AS taken FROM q GROUP BY n)
+SELECT d.doc_id, d.size, g.size AS source_size, g.target, r.taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN r ON r.n = d.n
+"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (
+  SELECT row_number() OVER () AS j, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+it AS (SELECT j, term, count(*) AS times FROM (SELECT j, unnest(ws) AS term FROM i) GROUP BY ALL),
+tf AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term, c.n),
+part AS (
+  SELECT tf.k, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 75 + (75 * len(d.ws) * c.n) // c.l))) AS v
+  FROM tf JOIN w USING (term) JOIN d ON d.k = tf.k, c),
+score AS (SELECT it.j, part.k, CAST(sum(it.times * part.v) AS BIGINT) AS score FROM it JOIN part USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT s.j, d.doc_id, s.score, CAST(row_number() OVER (PARTITION BY s.j ORDER BY s.score DESC, d.doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM score s JOIN d ON d.k = s.k WHERE s.score > 0)
+SELECT i.item_id, r.rank, r.doc_id, r.score FROM ranked r JOIN i ON i.j = r.j WHERE r.rank <= 10
+"""
+
 
 def _op2() -> str:
     from . import secrets as s
@@ -114,4 +160,4 @@ FROM d LEFT JOIN told USING (doc_id)
 
 
 ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op2_secret_scan": _op2(), "op6_benchmark_decontamination": OP6,
-              "op7_embedding_near_dedup": OP7}
+              "op7_embedding_near_dedup": OP7, "op11_mixing": OP11, "op13_ranked_search": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, jaccard, langid, lm, neardup, secrets, substring
+from . import bpe, chat, decontaminate, html, jaccard, langid, lexical, lm, mixing, neardup, periodic, secrets, substring
 from .frames import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -92,6 +92,34 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, enc, ["doc_id"]).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document; sources weigh 1, 2, 3, repeating."""
+    docs = read_table(spark, sf_dir, "documents")
+    rows, stream = mixing.mix(docs, ["doc_id"], F.col("source"), F.col("text"), F.col("doc_id"))
+    return mixing.taken(rows, stream).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document, and the document without the repetitions, as digests."""
+    docs = read_table(spark, sf_dir, "documents")
+    got = periodic.scan(docs, ["doc_id"], echo=F.crc32(F.col("doc_id").cast("string")))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    got = got.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                     F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return got.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    got = lexical.search(docs, bench, F.col("doc_id"), ["item_id"], F.col("text"), F.col("text"))
+    return got.select("row.item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_language_id, op4_substring_dedup,
                                    op5_html_extraction, op6_benchmark_decontamination, op7_embedding_near_dedup,
-                                   op8_lm_scoring, op9_chat_formatting, op10_bpe_encoding)}
+                                   op8_lm_scoring, op9_chat_formatting, op10_bpe_encoding, op11_mixing,
+                                   op12_periodic_runs, op13_ranked_search)}

@@ -89,7 +89,7 @@ def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of rows [i, j): byte start / end inside ``buf``, 64-bit hash, and each row's word range."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray, lower: bool = True, hashes: bool = True):
         self.buf = LOWER[data] if lower else data
         n = len(self.buf)
         w = table[self.buf]
@@ -101,7 +101,7 @@ class Words:
         last[cut[1:] - 1] = w[cut[1:] - 1]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
-        if n:
+        if n and hashes:
             p, q = _powers(n)
             acc = np.zeros(n + 1, U64)
             np.cumsum(_BYTE[self.buf] * p, out=acc[1:])
