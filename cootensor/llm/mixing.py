@@ -38,9 +38,10 @@ from .frames import cut
 
 BLOCK = 1024           # words of a slot
 REPEATS = 3            # times a document may be taken
-GROUP = 1 << 16        # rows of one source a task sorts, about
+GROUP = 1 << 13        # rows of one source a task sorts, about
 KEY_BITS = 48          # bits of the shuffled key
-RUN = 1 << 14          # points of a source that are made from one row
+RUN = 1 << 12          # points of a source that are made from one row
+TASK_SLOTS = 1 << 17   # slots a task makes, about
 
 
 def n_words(text: Column) -> Column:
@@ -130,7 +131,7 @@ def schedule(quotas: DataFrame, block: int = BLOCK) -> DataFrame:
     ends = owned.select("source_id", "first", (F.col("first") + F.col("n")).alias("last"))
     runs = ends.select("*", _reverse(F.col("first"), k).alias("y0"), _reverse(F.col("last"), k).alias("y1"),
                        F.explode(F.sequence("first", F.col("last") - 1, F.lit(RUN).cast("long"))).alias("from"))
-    points = runs.repartition("source_id", "from") \
+    points = runs.repartition(-(-int(total) // TASK_SLOTS), "source_id", "from") \
         .select("*", F.explode(F.sequence("from", F.least("last", F.col("from") + RUN) - 1)).alias("point"))
     slots = points.withColumn("slot", _reverse(F.col("point"), k))
     rank = _points_below(F.col("slot"), F.col("last"), F.col("y1"), k) - _points_below(F.col("slot"), F.col("first"), F.col("y0"), k)
@@ -169,7 +170,8 @@ def mix(docs: DataFrame, keep: list[str], source: Column, text: Column, id: Colu
     pieces = placed.select("source_id", "n", "pass", "start", "stop", hop.alias("rank"))
     a, b = F.greatest("start", F.col("rank") * block), F.least("stop", (F.col("rank") + 1) * block)
     pieces = pieces.select("source_id", "rank", "n", "pass", (a - F.col("start")).alias("from"), (b - a).alias("words"), (a % block).alias("place"))
-    stream = pieces.join(schedule(plan, block), ["source_id", "rank"]).select("slot", "place", "n", "pass", "from", "words")
+    # The plan's sizes say nothing of what the schedule's rows explode into: never broadcast it.
+    stream = pieces.join(schedule(plan, block).hint("merge"), ["source_id", "rank"]).select("slot", "place", "n", "pass", "from", "words")
     return rows.select("n", "row", "size", "source_id", "source_size", "target"), stream
 
 
