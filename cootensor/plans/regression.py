@@ -28,6 +28,8 @@ from ..operators.metrics import r2
 from ..operators.reshape import unfold
 from ..session import MAX_LOCAL_DIM, VALUE
 from ..tensor import modes_of
+from ..sources.runstore import RunStore
+from .blockcg import NormalOperator, block_cg
 from .solve import eigvecs_of_gram, ridge_solve
 
 
@@ -73,9 +75,15 @@ def cross_moments(y: DataFrame, xbar: DataFrame, mode: str, value: str = VALUE)
 
 def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
                     prefix: DataFrame | None = None, precision: float | None = FIT_PRECISION,
-                    ridge: float = RIDGE, route: str = "auto", value: str = VALUE,
+                    ridge: float = RIDGE, route: str = "matrix_free", value: str = VALUE,
                     checkpoint: bool = True, checkpoint_inputs: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Update factor ``i`` (J7).  Returns ``(B_i, new prefix)``."""
+    """Update factor ``i`` (J7).  Returns ``(B_i, new prefix)``.
+
+    ``route="matrix_free"`` solves by block conjugate gradients on the unfolding
+    and never forms the normal matrix, whatever its size; ``"local"`` forms it and
+    solves in one task per block of targets (d <= MAX_LOCAL_DIM), ``"cg"`` forms it
+    and iterates on it.
+    """
     if checkpoint_inputs:
         x, y = x.checkpoint(eager=True), y.checkpoint(eager=True)
         prefix = prefix.checkpoint(eager=True) if prefix is not None else None
@@ -85,9 +93,14 @@ def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
     xbar = affine_chain(x, bs, skip=i, precision=precision, prefix=base, value=value)
     if checkpoint:
         xbar = xbar.checkpoint(eager=True)
-    a = normal_equations(xbar, mode, dense_count(y, mode, value), ridge, value)
     c = cross_moments(y, xbar, mode, value)
-    b = ridge_solve(a, c, route=route).filter(F.abs(F.col(VALUE)) > 0)
+    n = dense_count(y, mode, value)
+    if route == "matrix_free":
+        work = RunStore(x.sparkSession)
+        normal = NormalOperator(unfold(xbar, mode, value), n.first()["n"] or 0.0, ridge, work)
+        b = block_cg(normal, c, work)
+    else:
+        b = ridge_solve(normal_equations(xbar, mode, n, ridge, value), c, route=route).filter(F.abs(F.col(VALUE)) > 0)
     if checkpoint:
         b = b.checkpoint(eager=True)
     new_prefix = affine_ttm(base, b, mode, precision, "before", value)
@@ -97,7 +110,7 @@ def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
 
 
 def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = ALS_SWEEPS,
-        precision: float | None = FIT_PRECISION, ridge: float = RIDGE, route: str = "auto", store=None, tol: float | None = None,
+        precision: float | None = FIT_PRECISION, ridge: float = RIDGE, route: str = "matrix_free", store=None, tol: float | None = None,
         value: str = VALUE) -> tuple[list[DataFrame], list[float]]:
     """ALS fit (J8): ``n_iter`` sweeps over the non-free modes; after every
     sweep the model predicts X and is scored with R² (prediction >= 1 kept,

@@ -8,7 +8,7 @@ Two routes each:
 * **distributed**: the work is spmm joins over COO tables, only p x p (p =
   rank + oversampling) pieces meet in one task.  Eigenvectors by randomized
   subspace iteration with Cholesky-QR and a Rayleigh-Ritz step; ridge by
-  Jacobi-preconditioned conjugate gradients, one spmm per step.
+  block conjugate gradients (``plans/blockcg.py``).
 """
 
 from __future__ import annotations
@@ -236,87 +236,27 @@ def ridge_solve_local(a: DataFrame, c: DataFrame, targets: int = TILE_DIM) -> Da
     return both.groupBy("__g").applyInPandas(lambda p: _solve_task(p.drop(columns="__g")), _FACTOR_SCHEMA)
 
 
-def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int | None = None,
-                   checkpoint: bool = True, check_every: int = 1, accept: float = 1e-8) -> DataFrame:
-    """B = C A⁻¹ by Jacobi-preconditioned conjugate gradients, one right-hand
-    side per target row of C, all advanced together.
+def ridge_solve_cg(a: DataFrame, c: DataFrame, tol: float = 1e-12, max_iter: int | None = None, accept: float = 1e-8,
+                   steps: list | None = None) -> DataFrame:
+    """B = C A⁻¹ by block conjugate gradients on the stored matrix (``plans/blockcg.py``).
 
-    The state ``(s, t, x, r, dg, p, rz, bb, rr)`` is one table over
-    source index s x target t; per-target scalars ride along as columns and
-    are recomputed by a group-by on t plus a broadcast join of one row per
-    target.  One step = one spmm (A joined to the directions) and two
-    per-target sums; the state is checkpointed every step (lineage cut), so a
-    step is one Spark job plus an optional one-row convergence check.  A
+    Targets share Krylov blocks; only the indices a block reaches are held.  A
     relative residual above ``accept`` after the last step is an error.
     """
-    from ..operators.joins import sized_broadcast
+    from .blockcg import MatrixOperator, block_cg
 
-    a = a.select(F.col("_1").alias("i"), F.col("_2").alias("s"), F.col(VALUE).alias("a"))
-    c = c.select("_1", "_2", VALUE)
-    if checkpoint:
-        # A and C are read every step: cut their lineage once
-        a, c = a.checkpoint(eager=True), c.checkpoint(eager=True)
-    diag = a.filter(F.col("i") == F.col("s")).select("s", F.col("a").alias("dg"))
-    idx = a.select(F.col("i").alias("s")).union(a.select("s")).distinct()
-    # dense right-hand sides over every (s, t): b[s, t] = C[t, s]; targets are
-    # 0..max(_1) of C, generated per index row (no join)
-    t_max = c.select(F.max("_1")).scalar()
-    grid = idx.select("s", F.explode(F.sequence(F.lit(0), t_max)).alias("t"))
-    # per-target tables have one row per target: decide once whether they
-    # are small enough to broadcast
-    n_t = (c.agg(F.max("_1")).first()[0] or 0) + 1
-    from ..session import BROADCAST_MAX_ROWS
-    bc = F.broadcast if n_t <= BROADCAST_MAX_ROWS else (lambda d: d)
-    b = grid.join(c.select(F.col("_2").alias("s"), F.col("_1").alias("t"), F.col(VALUE).alias("b")),
-                  ["s", "t"], "left").fillna(0.0, ["b"])
-    st = (b.join(sized_broadcast(diag), "s")
-          .select("s", "t", F.lit(0.0).alias("x"), F.col("b").alias("r"), "dg",
-                  (F.col("b") / F.col("dg")).alias("p")))
-    per_t = st.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz"),
-                                F.sum(F.col("r") * F.col("r")).alias("bb"))
-    st = st.join(bc(per_t), "t").withColumn("rr", F.col("bb"))
-    if checkpoint:
-        st = st.checkpoint(eager=True)
-    n = idx.count()
-    cols = ["s", "t", "x", "r", "dg", "p", "rz", "bb", "rr"]
-    steps = max_iter or 2 * n + 10
-    worst = None
-    for k in range(steps):
-        q = (a.join(st.select("s", "t", "p"), "s")
-             .groupBy(F.col("i").alias("s"), "t").agg(F.sum(F.col("a") * F.col("p")).alias("q")))
-        s2 = st.join(q, ["s", "t"], "left").fillna(0.0, ["q"])
-        pq = s2.groupBy("t").agg(F.sum(F.col("p") * F.col("q")).alias("pq"))
-        al = F.coalesce(F.try_divide(F.col("rz"), F.col("pq")), F.lit(0.0))
-        s3 = s2.join(bc(pq), "t").select(
-            "s", "t", (F.col("x") + al * F.col("p")).alias("x"),
-            (F.col("r") - al * F.col("q")).alias("r"), "dg", "p", "rz", "bb")
-        nxt = s3.groupBy("t").agg(F.sum(F.col("r") * F.col("r") / F.col("dg")).alias("rz2"),
-                                  F.sum(F.col("r") * F.col("r")).alias("rr"))
-        be = F.coalesce(F.try_divide(F.col("rz2"), F.col("rz")), F.lit(0.0))
-        st = s3.join(bc(nxt), "t").select(
-            "s", "t", "x", "r", "dg", (F.col("r") / F.col("dg") + be * F.col("p")).alias("p"),
-            F.col("rz2").alias("rz"), "bb", "rr").select(*cols)
-        if checkpoint:
-            st = st.checkpoint(eager=True)
-        if (k + 1) % check_every == 0 or k + 1 == steps:
-            worst = st.agg(F.max(F.try_divide(F.sqrt("rr"), F.sqrt("bb")))).first()[0]
-            if worst is None or worst <= tol:
-                break
-    else:
-        if worst is not None and worst > accept:
-            raise RuntimeError(f"conjugate gradients: relative residual {worst:.3g} after {steps} steps (accepted: {accept:g})")
-    return st.filter(F.col("x") != 0).select(F.col("t").cast("int").alias("_1"),
-                                             F.col("s").cast("int").alias("_2"), F.col("x").alias(VALUE))
-
-
-def ridge_solve(a: DataFrame, c: DataFrame, route: str = "auto", max_local_dim: int = MAX_LOCAL_DIM,
-                dim: int | None = None, **kw) -> DataFrame:
+    store = RunStore(a.sparkSession)
+    return block_cg(MatrixOperator(a, store), c, store, tol, accept, max_iter, steps)
+
+
+def ridge_solve(a: DataFrame, c: DataFrame, route: str = "cg", **kw) -> DataFrame:
     """Solve ``B A = C`` for B (J6).  A is the symmetric positive definite
-    normal matrix, C the cross moments; no inverse is formed."""
-    if route == "auto":
-        if dim is None:
-            dim = (a.agg(F.max("_1")).first()[0] or 0) + 1
-        route = "local" if dim <= max_local_dim + 1 else "cg"
+    normal matrix, C the cross moments; no inverse is formed.
+
+    ``route="cg"`` takes any dimension, ``"local"`` solves in one task per block
+    of targets and needs a dimension of at most ``MAX_LOCAL_DIM`` + 1.  The caller
+    chooses; no route is taken by size.
+    """
     if route == "local":
         return ridge_solve_local(a, c)
     return ridge_solve_cg(a, c, **kw)

@@ -4,6 +4,8 @@ Tensors are rebuilt from the base tables with the same rules as
 ``cootensor.sources.fixtures``.
 """
 
+import re
+
 TRADE = """
 trade AS (
   SELECT CAST(c.c_nationkey AS INTEGER) AS cn, CAST(s.s_nationkey AS INTEGER) AS sn,
@@ -324,11 +326,11 @@ SELECT CAST(0 AS INTEGER) AS _1, CAST(j AS INTEGER) AS _2, round(v, 6) AS produc
 Q["gram_eigvec_subspace"] = Q["gram_eigvec"]
 
 REG_XY = EVENTS_LAG + """,
-x0 AS (SELECT min(d) AS m0 FROM x WHERE d > 2),
+x0 AS (SELECT min(d) AS m0 FROM x),
 xr AS (SELECT e, lag, CAST(d - (SELECT m0 FROM x0) AS INTEGER) AS d, product / 1024.0::DOUBLE AS product
-       FROM x WHERE d > 2),
+       FROM x),
 yr AS (SELECT e, lag, CAST(d - (SELECT m0 FROM x0) AS INTEGER) AS d, product / 1024.0::DOUBLE AS product
-       FROM y WHERE d > 2)""" + "," + LAG_WEIGHTS.lstrip() + "," + sib("fe", "xr", "e").lstrip()
+       FROM y)""" + "," + LAG_WEIGHTS.lstrip() + "," + sib("fe", "xr", "e").lstrip()
 
 
 def normal_sql(xb: str, mode: str, key: list[str], ysrc: str, ykeep: list[str]) -> str:
@@ -402,6 +404,24 @@ SYSTEM_LAG = ",".join([XB_LAG, normal_sql("xb", "lag", ["e", "d"], "yr", ["e", "
                        cross_sql("xb", "lag", ["e", "d"], "yr").lstrip()])
 Q["regression_step"] = with_rec(REG_XY) + "," + SYSTEM_LAG + "," + GAUSS_JORDAN.lstrip() + """
 SELECT _1, _2, round(product, 6) AS product FROM bsol"""
+Q["regression_step_matrix_free"] = Q["regression_step"]
+
+
+def renewed(k: int, prior: str, mode: str, key: list[str]) -> str:
+    """CTEs of the k-th update of an ALS fit: ``bsol{k}`` renews mode ``mode``'s factor from the projected X ``xb{k}`` built by ``prior``."""
+    names = r"\b(xb|gx|sx|amat|cmat|nn|ny|rows_|cols_|aug|gj|bsol)\b"
+    text = ",".join([normal_sql("xb", mode, key, "yr", key).lstrip(), cross_sql("xb", mode, key, "yr").lstrip(), GAUSS_JORDAN.lstrip()])
+    return prior + "," + re.sub(names, rf"\g<1>{k}", text)
+
+
+_MODES = ["e", "lag", "d"]
+Q["tensor_regression_fit"] = with_rec(REG_XY) + "," + ",".join([
+    renewed(1, affine_step("xr", "xb1", "lag_weights", "lag", _MODES, 0.0, "before").lstrip(), "e", ["lag", "d"]),
+    renewed(2, affine_step("xr", "xb2", "bsol1", "e", _MODES, 0.0, "before").lstrip(), "lag", ["e", "d"]),
+    renewed(3, affine_step("xr", "xb3", "bsol2", "lag", _MODES, 0.0, "before").lstrip(), "e", ["lag", "d"]),
+    renewed(4, affine_step("xr", "xb4", "bsol3", "e", _MODES, 0.0, "before").lstrip(), "lag", ["e", "d"])]) + """
+SELECT CAST(0 AS INTEGER) AS mode, _1, _2, round(product, 5) AS product FROM bsol3
+UNION ALL SELECT CAST(1 AS INTEGER) AS mode, _1, _2, round(product, 5) AS product FROM bsol4"""
 Q["mode_residual"] = with_(REG_XY) + "," + XB_LAG + """,
 pp AS (SELECT x.e, w._1 AS lag, x.d, sum(x.product * w.product) AS product
        FROM xb x JOIN lag_weights w ON x.lag = w._2 - 1 AND w._2 > 0 GROUP BY 1, 2, 3),

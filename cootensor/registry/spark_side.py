@@ -441,7 +441,7 @@ SCALE = 1.0 / 1024  # exact in binary; conditions the normal equations (SURVEY 
 
 def _reg_xy(spark, sf):
     x, y = _xy(spark, sf)
-    x, y = op.cut_and_rebase(x, y, "d", after=2)
+    x, y = op.cut_and_rebase(x, y, "d", after=-1)      # every time is kept
     sc = {"product": F.col("product") * F.lit(SCALE)}
     return x.withColumns(sc).checkpoint(eager=True), y.withColumns(sc).checkpoint(eager=True)
 
@@ -502,6 +502,17 @@ def q_regression_step(spark, sf):
     return _r6(b)
 
 
+@query("regression_step_matrix_free")
+def q_regression_step_matrix_free(spark, sf):
+    """The same update by block conjugate gradients; the normal matrix is never formed."""
+    from ..plans.regression import regression_step
+    x, y = _reg_xy(spark, sf)
+    bs = _reg_factors(spark, x)
+    prefix = op.affine_ttm(x, bs[0], "e", precision=0.0)
+    b, _ = regression_step(x, y, bs, 1, prefix=prefix, precision=0.0, route="matrix_free")
+    return _r6(b)
+
+
 @query("mode_residual")
 def q_mode_residual(spark, sf):
     from ..plans.regression import mode_residual
@@ -531,7 +542,7 @@ def q_tensor_regression_fit(spark, sf):
     from ..plans.regression import fit
     x, y = _reg_xy(spark, sf)
     bs, _ = fit(x, y, _reg_factors(spark, x), n_iter=2, precision=0.0)
-    return op.vstack(*bs, tag="mode")
+    return op.vstack(*bs, tag="mode").withColumn("product", F.round("product", 5))
 
 
 @query("hosvd_rank1")

@@ -32,7 +32,7 @@ class RunStore:
         """
         path = f"{self.root}/cut/{name or 'df'}-{uuid.uuid4().hex[:8]}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     # -- factor table ---------------------------------------------------
     def factor_path(self, kind: str = "factors") -> str:
