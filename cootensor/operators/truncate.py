@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import above
 from ..session import VALUE
 from ..tensor import modes_of
 
-# Rank accuracy of the magnitude quantile used to pre-filter a large top-k.
-_QUANTILE_ACCURACY = 1_000_000
-# Most rows the merge of an ordered limit receives.
-_DIRECT_ROWS = 4_000_000
-# Fewest tasks the input keeps under that bound; a larger k is cut by magnitude first.
-_MIN_TASKS = 4_000
+# Largest k for which the ordered limit is used: its merge gets k rows from each task.
+_DIRECT_K = 1_000
+# Most tasks of that merge.
+_DIRECT_TASKS = 4_000
+# Bits of one selection round; a round looks at 2^bits counts at most.
+_DIGIT = 16
 
 
 def sparsify(t: DataFrame, precision: float, value: str = VALUE) -> DataFrame:
@@ -22,35 +23,84 @@ def sparsify(t: DataFrame, precision: float, value: str = VALUE) -> DataFrame:
     return t.filter(above(value, precision))
 
 
-def top_k(t: DataFrame, k: int, value: str = VALUE, prefilter: bool = True) -> DataFrame:
-    """The ``k`` cells of largest magnitude; ties broken by the coordinates.
+def magnitude_bits(value: str = VALUE) -> Column:
+    """The IEEE bits of ``abs(value)`` as a long: ordered like the magnitudes (NaN above infinity).
 
-    Spark plans ``orderBy(...).limit(k)`` as TakeOrderedAndProject: a top-k heap
-    per task, then one merge of at most ``tasks x k`` rows.  Coalescing the
-    input bounds that merge; a k too large for it first cuts at a magnitude
-    threshold tau from ``percentile_approx`` (rank error <= n / accuracy)
-    chosen so that at least k cells satisfy ``|v| >= tau`` (checked exactly by
-    a count); the merge then sees about k rows.  The result is exact either way.
+    Exact: the exponent comes from ``log2`` and is corrected by comparison, and scaling
+    by powers of two loses no bit.
+    """
+    v = F.abs(F.col(value).cast("double"))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    guess = F.greatest(F.floor(F.log2(v)), F.lit(-1022))
+    e = F.when(two(guess) > v, guess - 1).when(two(guess + 1) <= v, guess + 1).otherwise(guess)
+    e = F.greatest(e, F.lit(-1022)).cast("double")
+    mantissa = v * two(-e) - 1
+    normal = (e.cast("long") + 1023) * (1 << 52) + (mantissa * float(1 << 52)).cast("long")
+    return (F.when(F.isnan(v), F.lit(2047 << 52) + 1).when(v > 1.7976931348623157e308, F.lit(2047 << 52))
+            .when(v < 2.2250738585072014e-308, (v * float(1 << 537) * float(1 << 537)).cast("long")).otherwise(normal))
+
+
+def _nth(t: DataFrame, key: str, n: int, largest: bool) -> tuple[int, int, int]:
+    """The key of the ``n``-th row by ``key`` (a non-negative long), the rows before that key and the rows with it.
+
+    Radix selection: each round counts the rows per next digit among those with
+    the digits found so far (at most 2^16 counts come back) and picks the digit
+    where the n-th row is.  No rows are sorted or moved.
+    """
+    shift, prefix, before, here = 64, 0, 0, None
+    top = t.agg(F.max(key)).first()[0]
+    shift = -(-max(1, int(top).bit_length()) // _DIGIT) * _DIGIT
+    while shift > 0:
+        inside = t if here is None else t.where(F.shiftright(key, shift) == prefix)
+        shift -= _DIGIT
+        digit = F.shiftright(key, shift).bitwiseAND(F.lit((1 << _DIGIT) - 1).cast("long")).alias("d")
+        counts = {r["d"]: r["n"] for r in inside.groupBy(digit).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for d in sorted(counts, reverse=largest):
+            if before + counts[d] >= n:
+                break
+            before += counts[d]
+        prefix, here = (prefix << _DIGIT) | d, counts[d]
+    return prefix, before, here
+
+
+def _order_key(t: DataFrame, mode: str) -> DataFrame:
+    """``t`` with ``__key``: a non-negative long ordered like the mode's labels (their rank, unless they are such integers; null last)."""
+    if isinstance(t.schema[mode].dataType, T.IntegralType):
+        low = t.agg(F.min(mode)).first()[0]
+        if low is None or low >= 0:
+            return t.withColumn("__key", F.coalesce(F.col(mode).cast("long"), F.lit((1 << 62))))
+    from ..sources.build import dense_index
+    ranks = dense_index(t, mode, "__key").withColumnRenamed(mode, "__label")
+    return t.join(ranks, F.col(mode).eqNullSafe(F.col("__label"))).drop("__label").withColumn("__key", F.col("__key").cast("long"))
+
+
+def top_k(t: DataFrame, k: int, value: str = VALUE) -> DataFrame:
+    """The ``k`` cells of largest magnitude; ties broken by the coordinates (D5).  Exact for any k and any ties.
+
+    A small ``k`` is an ordered limit: a heap of k rows per task and one merge.  A
+    large ``k`` is found by selection (``_nth``): first the magnitude of the k-th cell,
+    then, among the cells of just that magnitude, mode by mode the coordinate of the
+    last one to keep.  The result is a filter of ``t``, so no task sorts or receives more
+    than its share, also when all magnitudes are equal.
     """
     modes = modes_of(t, value)
-    mag = F.abs(F.col(value))
-    order = [mag.desc()] + [F.col(m).asc() for m in modes]
-    tasks = max(1, _DIRECT_ROWS // max(k, 1))
-    if k <= 0 or tasks >= _MIN_TASKS or not prefilter:
-        # the merge gets k rows from each task: coalesce (no shuffle) bounds the
-        # tasks whatever partitions the plan has, and is a no-op below that
-        return t.coalesce(max(tasks, _MIN_TASKS)).orderBy(*order).limit(k)
-    # three passes follow (count, quantile, survivors): read a copy
-    t = t.checkpoint(eager=True)
-    n = t.count()
-    if n <= k:
+    if k <= _DIRECT_K:
+        order = [F.abs(F.col(value)).desc()] + [F.col(m).asc_nulls_last() for m in modes]
+        return t.coalesce(_DIRECT_TASKS).orderBy(*order).limit(max(k, 0))
+    t = t.where(F.col(value).isNotNull()).checkpoint(eager=True)       # read once per round
+    if t.count() <= k:
         return t
-    if n > _DIRECT_ROWS:
-        slack = 2.0 * n / _QUANTILE_ACCURACY + 1
-        q = max(0.0, 1.0 - (k + slack) / n)
-        tau = t.select(F.percentile_approx(mag, q, _QUANTILE_ACCURACY)).first()[0]
-        if tau is not None:
-            kept = t.filter(mag >= F.lit(tau))
-            if kept.count() >= k:
-                t = kept
-    return t.orderBy(*order).limit(k)
+    bits = t.withColumn("__bits", magnitude_bits(value))
+    at, before, here = _nth(bits, "__bits", k, True)
+    kept = bits.where(F.col("__bits") > at).drop("__bits")
+    if before + here == k:
+        return bits.where(F.col("__bits") >= at).drop("__bits")
+    ties, need = bits.where(F.col("__bits") == at).drop("__bits"), k - before
+    for m in modes:
+        keyed = _order_key(ties, m).checkpoint(eager=True)
+        at, before, here = _nth(keyed, "__key", need, False)
+        if before + here == need:
+            return kept.unionByName(keyed.where(F.col("__key") <= at).drop("__key"))
+        kept = kept.unionByName(keyed.where(F.col("__key") < at).drop("__key"))
+        ties, need = keyed.where(F.col("__key") == at).drop("__key"), need - before
+    return kept.unionByName(ties.orderBy(value).limit(need))           # cells that stand more than once

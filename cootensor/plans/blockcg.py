@@ -37,6 +37,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 6            # targets of one block
 _RANK_TOL = 1e-10    # eigenvalues of the scaled pᵀAp below this share of the largest are dropped
+CYCLE_GAIN = 1e-6    # a cycle ends when the residual has fallen by this much; rounding has grown by then
+PATIENCE = 12        # ... or after so many steps that do not halve it
+CYCLES = 8
 _CELLS = range(WIDTH * WIDTH)
 
 
@@ -91,11 +94,13 @@ class NormalOperator:
         return F.lit(self.ridge) + F.when(F.col("s") == 0, F.lit(self.unseen)).otherwise(F.lit(0.0))
 
     def diagonal(self) -> DataFrame:
-        squares = self.u.groupBy("s").agg(F.sum(F.col("v") * F.col("v")).alias("dg"))
-        if not self.unseen == self.n:
-            return squares.withColumn("dg", F.col("dg") + self._extra())
-        bias = self.u.sparkSession.range(1).select(F.col("id").alias("s"), F.lit(0.0).alias("dg"))
-        return squares.unionByName(bias).withColumn("dg", F.col("dg") + self._extra())
+        """No scaling: right-hand sides ``Y Uᵀ`` lie in the range of U and so do all directions then.
+
+        Scaled directions would leave it, and with more indices than fibers the ridge
+        alone would hold them, which costs as many digits as ridge is small.
+        """
+        bias = self.u.sparkSession.range(1).select(F.col("id").alias("s"))
+        return self.u.select("s").unionByName(bias).distinct().withColumn("dg", F.lit(1.0))
 
     def apply(self, p: DataFrame) -> DataFrame:
         z = _summed(_products(self.u, p, "s", "key", "v"), "key", "p")
@@ -162,10 +167,11 @@ def block_cg(op: MatrixOperator | NormalOperator, c: DataFrame, store: RunStore,
              max_steps: int | None = None, steps: list | None = None) -> DataFrame:
     """``B`` with ``B A = C`` as ``(_1 = target, _2 = index, value)``, zeros absent.
 
-    Runs until every target's residual is at most ``tol`` of its right-hand side,
-    then checks the true residual ``C - B A``; above ``accept`` it goes on from
-    there (three times at most) and then raises.  ``steps`` collects the number of
-    steps taken.
+    Runs in cycles: after a fall of the residual by ``CYCLE_GAIN`` the true residual
+    ``C - B A`` is taken and the next cycle starts from it, so rounding does not build
+    up in ill-conditioned systems.  Ends when every target's true residual is at most
+    ``tol`` of its right-hand side, or no longer falls and is at most ``accept``;
+    raises otherwise.  ``steps`` collects the number of steps taken.
     """
     diag = store.cut(op.diagonal(), "diagonal")
     size = diag.count()
@@ -180,13 +186,17 @@ def block_cg(op: MatrixOperator | NormalOperator, c: DataFrame, store: RunStore,
     if state.where(F.col("dg").isNull() | (F.col("dg") <= 0)).limit(1).count():
         raise ValueError("the matrix has no positive diagonal at an index of the right-hand sides")
     taken, worst = 0, 1.0        # before the first step the residual is the right-hand side
-    for _ in range(4):
+    for _ in range(CYCLES):
         state = state.selectExpr("s", "g", "dg", *_wide("x"), *_wide("r"), *_each("r# / dg AS p#"))
-        while worst > tol and taken < limit:
+        start = best = worst
+        idle = 0
+        while worst > max(tol, CYCLE_GAIN * start) and taken < limit and idle < PATIENCE:
             state, worst = _step(op, state, diag, near, norms, per_block, store)
             taken += 1
+            idle = 0 if worst < best / 2 else idle + 1
+            best = min(best, worst)
         state, worst = _refreshed(op, state, b, diag, near, norms, per_block, store)
-        if worst <= accept or taken >= limit:
+        if worst <= tol or taken >= limit or worst <= accept and worst > start / 10:
             break
     if steps is not None:
         steps.append(taken)

@@ -203,6 +203,17 @@ SELECT count(*) AS nnz,
        CAST(count(*) AS DOUBLE) / (CAST(max(u) + 1 AS DOUBLE) * CAST(max(e) + 1 AS DOUBLE) * CAST(max(d) + 1 AS DOUBLE)) AS density
 FROM events_ued"""
 Q["topk_core"] = with_(TRADE) + "SELECT * FROM trade ORDER BY abs(product) DESC, cn, sn, m LIMIT 100"
+LINE_LAGS = """
+line_cells AS (
+  SELECT CAST(l_orderkey AS INTEGER) AS o, CAST(l_partkey AS INTEGER) AS p,
+         CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS d,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS product
+  FROM lineitem GROUP BY 1, 2, 3),
+line_lags AS (
+  SELECT o, p, CAST(lag AS INTEGER) AS lag, CAST(d + lag AS INTEGER) AS d, product
+  FROM (SELECT *, unnest(range(12)) AS lag FROM line_cells))"""
+Q["topk_large"] = with_(LINE_LAGS) + "SELECT * FROM line_lags ORDER BY abs(product) DESC, o, p, lag, d LIMIT 499999"
+Q["topk_ties"] = with_(LINE_LAGS) + "SELECT o, p, lag, d, 1.0::DOUBLE AS product FROM line_lags ORDER BY o, p, lag, d LIMIT 20000"
 Q["vstack"] = with_(TRADE) + """
 SELECT CAST(0 AS INTEGER) AS MATRIX_ID, cn AS _1, sn AS _2, sum(product) AS product FROM trade GROUP BY ALL
 UNION ALL
@@ -312,6 +323,13 @@ SELECT a._2 AS cn, b._2 AS sn, c._2 AS m, round(sum(g.product * a.product * b.pr
 FROM core g JOIN f1 a ON g.cn = a._1 JOIN f2 b ON g.sn = b._1 JOIN f3 c ON g.m = c._1
 GROUP BY 1, 2, 3"""
 
+Q["recon_mse_outer"] = with_(TRADE) + "," + TUCKER_F + "," + CORE.lstrip() + """,
+rec AS (
+  SELECT a._2 AS cn, b._2 AS sn, c._2 AS m, sum(g.product / 1e6 * a.product * b.product * c.product) AS product
+  FROM core g JOIN f1 a ON g.cn = a._1 JOIN f2 b ON g.sn = b._1 JOIN f3 c ON g.m = c._1 GROUP BY 1, 2, 3)
+SELECT count(*) AS n, round(avg(power(coalesce(t.product, 0) - rec.product, 2)) / 1e3, 4) AS mse_k
+FROM rec LEFT JOIN trade t USING (cn, sn, m)"""
+
 GRAM_CN = """
 g AS (SELECT a.cn AS _1, b.cn AS _2, sum(a.product * b.product) AS product
       FROM trade a JOIN trade b ON a.sn = b.sn AND a.m = b.m GROUP BY 1, 2),

@@ -256,6 +256,28 @@ def q_topk_core(spark, sf):
     return op.top_k(fx.trade(spark, sf), 100)
 
 
+def _line_lags(spark, sf):
+    """Order x part x day of every line item's price, lag-expanded 12 times: many cells, many equal magnitudes."""
+    day = F.datediff(F.col("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("int")
+    li = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("int").alias("o"), F.col("l_partkey").cast("int").alias("p"), day.alias("d"),
+                                                F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
+    cells = li.groupBy("o", "p", "d").agg(F.sum("v").cast("double").alias("product"))
+    return op.lag_expand(cells, "d", 12)
+
+
+@query("topk_large")
+def q_topk_large(spark, sf):
+    """The reference's own core size: 499,999 cells by radix selection."""
+    from ..defaults import CORE_TOP_ROWS
+    return op.top_k(_line_lags(spark, sf), CORE_TOP_ROWS)
+
+
+@query("topk_ties")
+def q_topk_ties(spark, sf):
+    """A tensor of ones: every cell ties, the coordinates decide."""
+    return op.top_k(_line_lags(spark, sf).withColumn("product", F.lit(1.0)), 20_000)
+
+
 @query("vstack")
 def q_vstack(spark, sf):
     """The all-months trade matrix on top of its transpose."""
@@ -359,6 +381,16 @@ def q_recon_mse(spark, sf):
     return op.mse(t, reconstruct_at(t, tucker_core(t, fs), fs))
 
 
+@query("recon_mse_outer")
+def q_recon_mse_outer(spark, sf):
+    """Error of a Tucker model over its whole grid, from the core and the factors' Grams alone."""
+    from ..plans.tucker import lcg_factors, tucker_core
+    t = _trade_cut(spark, sf)
+    fs = [f.checkpoint(eager=True) for f in lcg_factors(t, [2, 2, 3], seed=3)]
+    g = tucker_core(t, fs).withColumn("product", F.col("product") / 1e6).checkpoint(eager=True)
+    return op.frobenius_mse(t, g, fs).select("n", F.round(F.col("mse") / 1e3, 4).alias("mse_k"))
+
+
 # ---------------------------------------------------------------- 2.M building
 
 @query("index_modes")

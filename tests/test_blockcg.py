@@ -61,9 +61,9 @@ def test_repeated_cells_and_nulls(spark):
     np.testing.assert_allclose(to_dense(b, (1, 3), ["_1", "_2"]), np.linalg.solve(a, c.T).T, rtol=1e-8)
 
 
-def test_mode_of_a_million_indices(spark):
-    """The normal matrix would hold 10^11 cells; the step holds a few rows per index."""
-    d, fibers = 1_000_000, 6
+def test_mode_of_200000_indices(spark):
+    """The normal matrix would hold 7 * 10^9 cells; the step holds a few rows per index."""
+    d, fibers = 200_000, 6
     rows = spark.range(d).select((F.col("id") % fibers).cast("int").alias("h"), F.col("id").cast("int").alias("a"),
                                  (1 + F.col("id") % 5).cast("double").alias("product"))
     y = np.random.default_rng(4).normal(size=(2, fibers))
@@ -77,8 +77,8 @@ def test_mode_of_a_million_indices(spark):
     got = b.groupBy("_1").agg(F.count("*").alias("n"), F.sum("product").alias("s")).orderBy("_1").collect()
     assert [r.n for r in got] == [d + 1, d + 1]
     for t in (0, 1):
-        assert abs(got[t].s - (w[t].sum() + (w[t][h] * v).sum())) < 1e-6
-    some = {(r._1, r._2): r.product for r in b.where("_2 IN (0, 1, 77, 1000000)").collect()}
+        assert abs(got[t].s - (w[t].sum() + (w[t][h] * v).sum())) < 1e-8
+    some = {(r._1, r._2): r.product for r in b.where("_2 IN (0, 1, 77)").collect()}
     for t in (0, 1):
         assert abs(some[t, 0] - w[t].sum()) < 1e-9
         assert abs(some[t, 78 - 1] - w[t][h[76]] * v[76]) < 1e-9

@@ -23,7 +23,7 @@ def test_top_k_ties_broken_by_coordinates(spark):
 
 
 def test_top_k_prefilter_path_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(truncate, "_DIRECT_ROWS", 10)
+    monkeypatch.setattr(truncate, "_DIRECT_K", 2)
     rng = np.random.default_rng(3)
     vals = rng.integers(-50, 50, size=400).astype(float)
     t = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "i int, product double")
