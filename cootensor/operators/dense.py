@@ -4,7 +4,8 @@
 moment Y X̄ᵀ otherwise).  A self-join on the fiber key would emit every pair of
 entries of a fiber as a row; instead Spark groups each fiber once (repeated
 coordinates are summed first, so a fiber holds one entry per index) and cuts it
-into blocks of ``tile`` indices.  A task meets its pairs of blocks ordered by
+into blocks of ``tile`` indices and fragments of ``FRAGMENT`` blocks; a row holds
+a fragment, and two fragments of a long fiber meet in a cell of their own.  A task meets its pairs of blocks ordered by
 tile, folds them into one dense tile x tile buffer with numpy (BLAS for dense
 chunks, vectorised pair products for sparse ones) and emits each finished tile
 as packed rows: at most one row per index and tile leaves a task.  There is no
@@ -29,6 +30,7 @@ from ..session import TILE_DIM, VALUE
 # outside the repository, or executors without --py-files).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+FRAGMENT = 16                 # blocks of a fiber one row holds at most
 _PAIR_BUDGET = 4_000_000      # pair products per vectorised chunk
 _DENSE_BUDGET = 4_000_000     # doubles per dense chunk block
 
@@ -143,16 +145,34 @@ def _kernel(symmetric: bool, tile: int):
     return run
 
 
-def _blocks(entries: DataFrame, tile: int) -> DataFrame:
-    """``(__k, bs)``: every fiber's blocks of ``(s, blk, e)`` from entries ``(__k, s, i, v)``.
+def _fragments(entries: DataFrame, tile: int) -> DataFrame:
+    """``(__k, __f, bs)``: the blocks ``(s, blk, e)`` of each fragment of each fiber, from entries ``(__k, s, i, v)``.
 
-    One shuffle by the fiber key serves the sum over repeated coordinates and
+    A fragment is a range of ``FRAGMENT`` blocks of the index, so a row is bounded
+    whatever the length of its fiber, and a long fiber is spread over tasks.  One
+    shuffle by (fiber, fragment) serves the sum over repeated coordinates and
     both groupings.
     """
-    one = entries.repartition("__k").groupBy("__k", "s", "i").agg(F.sum("v").alias("v"))
-    blk = (one.groupBy("__k", "s", F.expr(f"i div {int(tile)}").cast("int").alias("blk"))
+    one = entries.withColumn("__f", F.expr(f"i div {int(tile) * FRAGMENT}").cast("int")).repartition("__k", "__f")
+    one = one.groupBy("__k", "__f", "s", "i").agg(F.sum("v").alias("v"))
+    blk = (one.groupBy("__k", "__f", "s", F.expr(f"i div {int(tile)}").cast("int").alias("blk"))
            .agg(F.collect_list(F.struct((F.col("i") % int(tile)).cast("int").alias("i"), "v")).alias("e")))
-    return blk.groupBy("__k").agg(F.collect_list(F.struct("s", "blk", "e")).alias("bs"))
+    return blk.groupBy("__k", "__f").agg(F.collect_list(F.struct("s", "blk", "e")).alias("bs"))
+
+
+def _far(fragments: DataFrame) -> DataFrame:
+    """``(l, r)``: the blocks of every two fragments of a fiber, the first fragment left.
+
+    Fragment and replicate: a fiber of n fragments is a grid of n (n - 1) / 2 cells;
+    each fragment goes to the n - 1 cells it takes part in, and each cell is a row of
+    its own after one shuffle by (fiber, cell).  Only fibers of two fragments or more
+    take part, told by their fragment numbers.
+    """
+    several = fragments.groupBy("__k").agg(F.collect_set("__f").alias("fs")).where(F.size("fs") > 1)
+    sent = fragments.join(several, "__k").select("__k", "__f", "bs", F.explode("fs").alias("o")).where("o <> __f")
+    cells = sent.groupBy("__k", F.least("__f", "o").alias("fa"), F.greatest("__f", "o").alias("fb")) \
+        .agg(F.array_sort(F.collect_list(F.struct("__f", "bs"))).alias("both"))
+    return cells.select(F.col("both")[0]["bs"].alias("l"), F.col("both")[1]["bs"].alias("r"))
 
 
 def _entries(u: DataFrame, side: int) -> DataFrame:
@@ -162,15 +182,29 @@ def _entries(u: DataFrame, side: int) -> DataFrame:
     return e.filter(F.col("i").isNotNull() & F.col("v").isNotNull())     # a null cell is absent
 
 
-def _fold(fibers: DataFrame, symmetric: bool, tile: int) -> DataFrame:
-    """Sum the outer products of block pairs into COO ``(_1, _2, product)``."""
+def _fold(entries: DataFrame, symmetric: bool, tile: int, dim: int | None) -> DataFrame:
+    """Sum the outer products of block pairs into COO ``(_1, _2, product)``.
+
+    ``dim`` is the largest index plus one, asked for here if the caller does not
+    know it: where every fiber lies in one fragment, no two fragments need to meet
+    and the plan is one pass over the entries.
+    """
+    if dim is None:
+        dim = (entries.agg(F.max("i")).first()[0] or 0) + 1
+    rows = _fragments(entries, tile)
+    side = lambda c, s: F.filter(c, lambda b: b["s"] == s)
     if symmetric:
-        pairs = fibers.select("bs", F.explode("bs").alias("a")).select(
+        pairs = rows.select("bs", F.explode("bs").alias("a")).select(
             "a", F.explode(F.filter("bs", lambda b: b["blk"] >= F.col("a.blk"))).alias("b"))
     else:
-        pairs = fibers.select(F.filter("bs", lambda b: b["s"] == 1).alias("r"),
-                              F.explode(F.filter("bs", lambda b: b["s"] == 0)).alias("a")).select(
-            "a", F.explode("r").alias("b"))
+        pairs = rows.select(side("bs", 1).alias("r"), F.explode(side("bs", 0)).alias("a")).select("a", F.explode("r").alias("b"))
+    if dim > tile * FRAGMENT:
+        far = _far(rows)
+        if symmetric:
+            pairs = pairs.unionByName(far.select("r", F.explode("l").alias("a")).select("a", F.explode("r").alias("b")))
+        else:
+            for x, y in (("l", "r"), ("r", "l")):
+                pairs = pairs.unionByName(far.select(side(y, 1).alias("__o"), F.explode(side(x, 0)).alias("a")).select("a", F.explode("__o").alias("b")))
     pairs = pairs.select(F.col("a.blk").alias("ba"), F.col("b.blk").alias("bb"),
                          F.col("a.e.i").alias("ia"), F.col("a.e.v").alias("va"),
                          F.col("b.e.i").alias("ib"), F.col("b.e.v").alias("vb"))
@@ -181,9 +215,9 @@ def _fold(fibers: DataFrame, symmetric: bool, tile: int) -> DataFrame:
     return cells.groupBy("_1", "_2").agg(F.sum(VALUE).alias(VALUE))
 
 
-def fiber_gram(u: DataFrame, tile: int = TILE_DIM, upper_only: bool = False) -> DataFrame:
+def fiber_gram(u: DataFrame, tile: int = TILE_DIM, upper_only: bool = False, dim: int | None = None) -> DataFrame:
     """Gram ``G[i, j] = Σ_key U[key, i] U[key, j]`` of an unfolding ``(key, idx, v)``."""
-    g = _fold(_blocks(_entries(u, 0), tile), True, tile)
+    g = _fold(_entries(u, 0), True, tile, dim)
     if upper_only:
         return g
     # mirror the strict upper triangle without a second scan or a union
@@ -198,4 +232,4 @@ def fiber_cross(a: DataFrame, b: DataFrame, tile: int = TILE_DIM) -> DataFrame:
 
     Both sides are cogrouped by the key in one shuffle (union + group by).
     """
-    return _fold(_blocks(_entries(a, 0).unionByName(_entries(b, 1)), tile), False, tile)
+    return _fold(_entries(a, 0).unionByName(_entries(b, 1)), False, tile, None)

@@ -132,7 +132,7 @@ def _expand(u: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def _orthonormalize(w: DataFrame) -> DataFrame:
-    s = fiber_gram(w.select("j", "c", "w"))       # p x p, Σ_j w_j w_jᵀ
+    s = fiber_gram(w.select("j", "c", "w"), dim=TILE_DIM)       # p x p, Σ_j w_j w_jᵀ
     rinv = _apply_small(s, _qr_task)                              # (new, old, value)
     j = w.join(F.broadcast(rinv), w["c"] == rinv["_2"])
     return j.groupBy("j", F.col("_1").alias("c")).agg(F.sum(F.col("w") * F.col(VALUE)).alias("q"))
@@ -178,7 +178,7 @@ def subspace_eigvecs(u: DataFrame, k: int, n_iter: int = 300, oversample: int =
 def _ritz(u: DataFrame, q: DataFrame, k: int) -> DataFrame:
     """The k leading Ritz vectors of U Uᵀ in the space of ``q``."""
     z = _project(u, q)
-    b = fiber_gram(z.select("key", "c", "z"))     # p x p = Zᵀ Z
+    b = fiber_gram(z.select("key", "c", "z"), dim=TILE_DIM)     # p x p = Zᵀ Z
     v = _apply_small(b, _rr_task(k))                               # (comp, c, value)
     j = q.join(F.broadcast(v), q["c"] == v["_2"])
     f = j.groupBy(F.col("_1"), F.col("j").alias("_2")).agg(F.sum(F.col("q") * F.col(VALUE)).alias(VALUE))
