@@ -189,13 +189,16 @@ def block_cg(op: MatrixOperator | NormalOperator, c: DataFrame, store: RunStore,
     for _ in range(CYCLES):
         state = state.selectExpr("s", "g", "dg", *_wide("x"), *_wide("r"), *_each("r# / dg AS p#"))
         start = best = worst
-        idle = 0
+        idle, old = 0, store.mark()
         while worst > max(tol, CYCLE_GAIN * start) and taken < limit and idle < PATIENCE:
+            here = store.mark()
             state, worst = _step(op, state, diag, near, norms, per_block, store)
-            taken += 1
+            store.drop_cuts(old, here)               # the step before: this one has its own files
+            taken, old = taken + 1, here
             idle = 0 if worst < best / 2 else idle + 1
             best = min(best, worst)
         state, worst = _refreshed(op, state, b, diag, near, norms, per_block, store)
+        store.drop_cuts(old, store.mark() - 1)
         if worst <= tol or taken >= limit or worst <= accept and worst > start / 10:
             break
     if steps is not None:

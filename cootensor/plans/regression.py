@@ -103,6 +103,8 @@ def regression_step(x: DataFrame, y: DataFrame, bs: list[DataFrame], i: int,
         b = ridge_solve(normal_equations(xbar, mode, n, ridge, value), c, route=route).filter(F.abs(F.col(VALUE)) > 0)
     if checkpoint:
         b = b.checkpoint(eager=True)
+        if route == "matrix_free":
+            work.drop()                  # the solver's files: the factor has its own copy
     new_prefix = affine_ttm(base, b, mode, precision, "before", value)
     if checkpoint:
         new_prefix = new_prefix.checkpoint(eager=True)
@@ -115,20 +117,35 @@ def fit(x: DataFrame, y: DataFrame, bs: list[DataFrame], n_iter: int = ALS_SWEEP
     """ALS fit (J8): ``n_iter`` sweeps over the non-free modes; after every
     sweep the model predicts X and is scored with R² (prediction >= 1 kept,
     then > 0, S20).  Factors and scores go to ``store`` (a ``RunStore``)
-    when given.  ``tol`` stops once R² moves less than ``tol``."""
+    when given.  ``tol`` stops once R² moves less than ``tol``.
+
+    A store that already holds committed entries (a run that was stopped) is gone on
+    with: its factors and scores are read back, and the first update is the one after
+    the last committed.  Start it with the same inputs and arguments."""
     bs = list(bs)
     scores = []
+    done = store.committed() if store is not None else set()
+    scored = store.committed("scores") if store is not None else set()
     # X and Y are read by every mode update: cut their lineage once
     x, y = x.checkpoint(eager=True), y.checkpoint(eager=True)
     for it in range(n_iter):
         prefix = None
         for i in range(len(bs)):
+            if (it, i) in done:
+                bs[i] = store.load_factor(it, i)
+                if i + 1 < len(bs) and (it, i + 1) not in done:      # the next update needs the prefix up to here
+                    for j in range(i + 1):
+                        prefix = affine_ttm(x if prefix is None else prefix, bs[j], modes_of(x, value)[j], precision, "before", value)
+                    prefix = prefix.checkpoint(eager=True)
+                continue
             b, prefix = regression_step(x, y, bs, i, prefix, precision, ridge, route, value)
             bs[i] = store.save_factor(b, it, i) if store is not None else b
-        pred = predict(x, bs, precision, value)
-        s = r2(y, pred, min_pred=FIT_MIN_PRED, value=value)
-        if store is not None:
-            store.save_score(s, it)
+        if (it, 0) in scored:
+            s = store.scores().where(F.col("iter") == it)
+        else:
+            s = r2(y, predict(x, bs, precision, value), min_pred=FIT_MIN_PRED, value=value)
+            if store is not None:
+                store.save_score(s, it)
         r = s.first()["r2"]
         scores.append(r)
         if tol is not None and len(scores) > 1 and r is not None and scores[-2] is not None \

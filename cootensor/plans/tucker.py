@@ -85,7 +85,8 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = HOOI_SWEEPS, tol:
     is used by mode i+1 at once.  ``tol`` stops when the core norm changes by
     less than ``tol`` (relative); the reference always runs ``n_iter``.
     Factors are stored per (iter, mode) in ``store`` (a ``RunStore``) or
-    checkpointed.
+    checkpointed.  A store with committed factors (a run that was stopped) is gone
+    on with after the last of them.
 
     ``reuse``: the last factor does not change before the last update of a
     sweep, so ``C = T x_last F_last`` is formed once per sweep (checkpointed)
@@ -104,10 +105,14 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = HOOI_SWEEPS, tol:
     # T is read by every mode of every sweep: cut its lineage once
     t = t.checkpoint(eager=True)
     last = None
+    done = store.committed() if store is not None else set()
     for it in range(n_iter):
         cache = None
         for i in range(n):
             m = modes[i]
+            if (it, i) in done:
+                fs[i] = store.load_factor(it, i)
+                continue
             if reuse and top_k is None and n >= 2 and i < n - 1:
                 if cache is None:
                     cache = ttm(t, fs[n - 1], modes[n - 1], value).checkpoint(eager=True)
