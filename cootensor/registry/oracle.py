@@ -495,3 +495,10 @@ FROM hopm WHERE step = {HOPM_STEPS} AND v <> 0"""
 
 Q["index_roundtrip"] = with_(PARTS_CELLS) + """
 SELECT p_brand, sum(product) AS product FROM parts_cells GROUP BY p_brand"""
+
+Q["index_versions"] = """
+WITH early AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01'),
+late AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM early))
+SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS id, CAST(0 AS INTEGER) AS version FROM early
+UNION ALL
+SELECT l_partkey, (SELECT count(*) FROM early) + row_number() OVER (ORDER BY l_partkey) - 1 AS id, CAST(1 AS INTEGER) AS version FROM late"""

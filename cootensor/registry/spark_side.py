@@ -597,3 +597,13 @@ def q_index_roundtrip(spark, sf):
                          ["p_brand", "p_type", "l_returnflag", "l_linestatus"], "l_quantity")
     idx, dicts = index_modes(cells, ["p_brand", "p_type"])
     return decode_modes(op.mode_marginal(idx, "p_brand"), {"p_brand": dicts["p_brand"]})
+
+
+@query("index_versions")
+def q_index_versions(spark, sf):
+    """A dictionary of ordered parts, extended by the parts of a later batch: old ids stay (M1)."""
+    from ..sources.build import dense_index, extend_index
+    li = fx.table(spark, sf, "lineitem")
+    early = F.col("l_shipdate") < F.lit("1995-02-01").cast("timestamp")
+    first = dense_index(li.where(early), "l_partkey", "id")
+    return extend_index(first, li, "l_partkey", "id")

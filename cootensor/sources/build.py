@@ -11,7 +11,7 @@ from ..session import VALUE
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
 
-def dense_index(values: DataFrame, col: str, out: str | None = None) -> DataFrame:
+def dense_index(values: DataFrame, col: str, out: str | None = None, dtype: str = "int") -> DataFrame:
     """Dictionary ``(col, out)``: 0-based rank of each distinct value of ``col``.
 
     A null label is a label like any other and ranks last.  The distinct
@@ -31,7 +31,27 @@ def dense_index(values: DataFrame, col: str, out: str | None = None) -> DataFram
     offs = counts.select("__pid", F.coalesce(F.sum("__n").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     return d.join(F.broadcast(offs), "__pid").select(
-        F.col(col), (F.col("__off") + F.col("__pos")).cast("int").alias(out))
+        F.col(col), (F.col("__off") + F.col("__pos")).cast(dtype).alias(out))
+
+
+def extend_index(known: DataFrame, values: DataFrame, col: str, out: str, version: str = "version") -> DataFrame:
+    """A dictionary ``(col, out, version)`` with the labels of ``values`` that ``known`` lacks appended (M1).
+
+    Ids given before never change, so tensors indexed with an older version stay
+    valid.  New labels (a null-safe anti join) get the ids after the largest known,
+    in label order, as longs, and the version after the latest.  ``known`` is a
+    dictionary of ``dense_index`` (version 0) or of an earlier call.
+    """
+    if version not in known.columns:
+        known = known.withColumn(version, F.lit(0))
+    known = known.select(col, F.col(out).cast("long").alias(out), F.col(version).cast("int").alias(version)).checkpoint(eager=True)
+    top = known.agg(F.max(out).alias("id"), F.max(version).alias("v")).first()
+    mine = known.select(F.col(col).alias("__label"))
+    fresh = values.select(col).distinct().join(mine, F.col(col).eqNullSafe(F.col("__label")), "left_anti")
+    ids = dense_index(fresh, col, out, "long")
+    first = 0 if top["id"] is None else top["id"] + 1
+    v = 0 if top["v"] is None else top["v"] + 1
+    return known.unionByName(ids.select(col, (F.col(out) + F.lit(first)).alias(out), F.lit(v).alias(version)))
 
 
 def lookup_index(df: DataFrame, d: DataFrame, col: str, out: str, broadcast: bool | str = "auto") -> DataFrame:

@@ -107,3 +107,15 @@ def test_runstore_drop(spark):
     import pytest
     with pytest.raises(Exception):
         rs.factor_table().count()
+
+
+def test_extended_dictionary_keeps_old_ids(spark):
+    from cootensor.sources.build import dense_index, extend_index
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "w string")
+    d0 = dense_index(rows("m", "c", "c"), "w", "id")
+    d1 = extend_index(d0, rows("z", "a", "m", None), "w", "id")
+    d2 = extend_index(d1, rows(None, "b", "a"), "w", "id")
+    assert sorted((r.id, r.w, r.version) for r in d2.collect()) == [(0, "c", 0), (1, "m", 0), (2, "a", 1), (3, "z", 1), (4, None, 1), (5, "b", 2)]
+    assert extend_index(d2, rows("a"), "w", "id").count() == 6
+    empty = dense_index(rows("x").limit(0), "w", "id")
+    assert [tuple(r) for r in extend_index(empty, rows("q"), "w", "id").collect()] == [("q", 0, 1 if empty.count() else 0)]
