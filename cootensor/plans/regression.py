@@ -26,11 +26,12 @@ from ..operators.affine import affine_chain, affine_ttm, predict
 from ..operators.algebra import cross_moment, gram, matrix_add, mode_marginal
 from ..operators.metrics import r2
 from ..operators.reshape import unfold
-from ..session import MAX_LOCAL_DIM, VALUE
+from ..session import VALUE
 from ..tensor import modes_of
 from ..sources.runstore import RunStore
 from .blockcg import NormalOperator, block_cg
-from .solve import eigvecs_of_gram, ridge_solve
+from .rangefinder import RANGE_TOL, range_vectors
+from .solve import ridge_solve
 
 
 def _m(df, c1, c2, v):
@@ -183,19 +184,21 @@ def random_reg_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECI
     return out
 
 
-def svd_init_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECISION, value: str = VALUE) -> list[DataFrame]:
-    """SVD initial regression factors (J2, S14): |u| of the Gram of X's
-    unfolding (all components), rows up to the target's max index, entries
-    above ``precision``, plus a zero bias for every target index.  All d
-    components are asked for, a dense d x d result, so a mode above
-    ``MAX_LOCAL_DIM`` is refused (start from ``random_reg_factors`` there)."""
+def svd_init_factors(x: DataFrame, y: DataFrame, precision: float = INIT_PRECISION, range_tol: float = RANGE_TOL,
+                     value: str = VALUE) -> list[DataFrame]:
+    """SVD initial regression factors (J2, S14): |u| of the left singular vectors
+    of X's unfolding, rows up to the target's max index, entries above
+    ``precision``, plus a zero bias for every target index.
+
+    The rank is found by ``range_vectors``: components are taken until the rest
+    of the unfolding is at most ``range_tol`` of its norm.  At the default those
+    left out belong to eigenvalues of the Gram below 1e-12 of the largest, whose
+    vectors are arbitrary.  Work and result follow the rank; the dimension has no limit.
+    """
     modes = modes_of(y, value)[:-1]
     out = []
     for m in modes:
-        d = (x.agg(F.max(m)).first()[0] or 0) + 1
-        if d > MAX_LOCAL_DIM:
-            raise ValueError(f"mode {m!r} has {d} indices: a full SVD basis is dense, limit {MAX_LOCAL_DIM}")
-        vec = eigvecs_of_gram(gram(unfold(x, m, value)), d)  # (_1 comp, _2 index)
+        vec, _ = range_vectors(unfold(x, m, value), range_tol)      # (_1 comp, _2 index)
         tmax = y.select(F.max(m)).scalar()
         w = vec.select(F.col("_2").alias("_1"), (F.col("_1") + 1).alias("_2"),
                        F.abs(F.col(VALUE)).alias(VALUE))

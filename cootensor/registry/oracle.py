@@ -462,6 +462,93 @@ Q["random_reg_factors"] = with_(REG_XY) + "," + reg_grid("r0", "e", 13).lstrip()
     reg_grid("r1", "lag", 14).lstrip() + """
 SELECT CAST(0 AS INTEGER) AS mode, * FROM r0 UNION ALL SELECT CAST(1 AS INTEGER) AS mode, * FROM r1"""
 
+# Eigenvectors of a small symmetric matrix by cyclic Jacobi rotations.  The state is one row:
+# the matrix and the product of the rotations as row-major lists of d * d numbers.
+JACOBI_SWEEPS = 12
+
+
+def jacobi(name: str, gram: str, d: str) -> str:
+    """CTEs of the eigen decomposition of ``gram`` (_1, _2, product), d x d: ``{name}`` holds
+    (k, j, lam, v), component k from the largest eigenvalue down, v its entry at index j."""
+    mixed = lambda m: (f"[CASE WHEN k % d = p THEN c * {m}[k + 1] - s * {m}[k - p + q + 1] "      # noqa: E731
+                       f"WHEN k % d = q THEN s * {m}[k - q + p + 1] + c * {m}[k + 1] ELSE {m}[k + 1] END FOR k IN range(d * d)]")
+    rows = ("[CASE WHEN k // d = p THEN c * b[k + 1] - s * b[k + (q - p) * d + 1] "
+            "WHEN k // d = q THEN s * b[k + (p - q) * d + 1] + c * b[k + 1] ELSE b[k + 1] END FOR k IN range(d * d)]")
+    return f"""
+{name}_d AS (SELECT CAST({d} AS BIGINT) AS d),
+{name}_p AS (SELECT row_number() OVER (ORDER BY p, q) - 1 AS pair, p, q
+  FROM (SELECT unnest(range((SELECT d FROM {name}_d))) AS p), (SELECT unnest(range((SELECT d FROM {name}_d))) AS q) WHERE p < q),
+{name}_0 AS (SELECT list(coalesce(g.product, 0.0) ORDER BY a.i, b.j) AS a, list(CASE WHEN a.i = b.j THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY a.i, b.j) AS v
+  FROM (SELECT unnest(range((SELECT d FROM {name}_d))) AS i) a CROSS JOIN (SELECT unnest(range((SELECT d FROM {name}_d))) AS j) b
+  LEFT JOIN {gram} g ON g._1 = a.i AND g._2 = b.j),
+{name}_r(step, a, v) AS (
+  SELECT CAST(0 AS BIGINT), a, v FROM {name}_0
+  UNION ALL
+  SELECT step + 1, {rows}, {mixed('v')} FROM (
+    SELECT *, {mixed('a')} AS b FROM (
+      SELECT *, t * c AS s FROM (
+        SELECT *, 1 / sqrt(1 + t * t) AS c FROM (
+          SELECT *, CASE WHEN apq = 0 THEN 0.0 ELSE (CASE WHEN tau < 0 THEN -1.0 ELSE 1.0 END) / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (
+            SELECT *, CASE WHEN apq = 0 THEN 0.0 ELSE (a[q * d + q + 1] - a[p * d + p + 1]) / (2 * apq) END AS tau FROM (
+              SELECT r.step, r.a, r.v, x.p, x.q, dd.d, r.a[x.p * dd.d + x.q + 1] AS apq
+              FROM {name}_r r JOIN {name}_d dd ON true
+              JOIN {name}_p x ON x.pair = r.step % (dd.d * (dd.d - 1) // 2)
+              WHERE r.step < {JACOBI_SWEEPS} * (dd.d * (dd.d - 1) // 2)))))))),
+{name}_l AS (SELECT i, a[i * d + i + 1] AS lam, v, d,
+    row_number() OVER (ORDER BY a[i * d + i + 1] DESC, i) - 1 AS k
+  FROM (SELECT r.a, r.v, dd.d, unnest(range(dd.d)) AS i FROM {name}_r r JOIN {name}_d dd ON true
+        WHERE r.step = {JACOBI_SWEEPS} * (dd.d * (dd.d - 1) // 2))),
+{name} AS (SELECT k, j, lam, v[j * d + i + 1] AS v FROM (SELECT *, unnest(range(d)) AS j FROM {name}_l))"""
+
+
+def svd_start(name: str, mode: str, key: list[str]) -> str:
+    """CTEs of the SVD start of one mode: components until the rest is 1e-6 of the norm, |u| > 1e-3, bias rows."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in key)
+    return f"""
+{name}_g AS (SELECT a.{mode} AS _1, b.{mode} AS _2, sum(a.product * b.product) AS product
+             FROM xr a JOIN xr b ON {on} GROUP BY 1, 2),""" + \
+        jacobi(f"{name}_j", f"{name}_g", f"(SELECT max({mode}) + 1 FROM xr)").lstrip() + f""",
+{name}_t AS (SELECT k, sum(lam) OVER (ORDER BY k DESC) AS rest, sum(lam) OVER () AS whole FROM (SELECT DISTINCT k, lam FROM {name}_j)),
+{name} AS (
+  SELECT CAST(j AS INTEGER) AS _1, CAST(k + 1 AS INTEGER) AS _2, abs(v) AS product FROM {name}_j JOIN {name}_t USING (k)
+  WHERE rest > 1e-12 * whole AND abs(v) > 1e-3 AND j <= (SELECT max({mode}) FROM yr)
+  UNION ALL SELECT CAST(unnest(range((SELECT max({mode}) + 1 FROM yr))) AS INTEGER), 0, 0.0)"""
+
+
+Q["svd_init_factors"] = with_rec(REG_XY) + "," + ",".join([
+    svd_start("s0", "e", ["lag", "d"]).lstrip(), svd_start("s1", "lag", ["e", "d"]).lstrip()]) + """
+SELECT CAST(0 AS INTEGER) AS mode, _1, _2, round(product, 6) AS product FROM s0
+UNION ALL SELECT CAST(1 AS INTEGER) AS mode, _1, _2, round(product, 6) AS product FROM s1"""
+
+
+def hooi_update(name: str, mode: str, factors: dict[str, str], rank: int = 2) -> str:
+    """CTEs of one HOOI update: T projected by the other modes' factors has few columns, so its left
+    singular vectors come from the columns' small Gram: u = Y v / sigma, largest entry positive."""
+    a, b = [m for m in ("cn", "sn", "m") if m != mode]
+    return f"""
+{name}_y AS (SELECT t.{mode} AS j, f._1 * {rank} + g._1 AS r, sum(t.product * f.product * g.product) AS y
+  FROM trade t JOIN {factors[a]} f ON t.{a} = f._2 JOIN {factors[b]} g ON t.{b} = g._2 GROUP BY 1, 2),
+{name}_g AS (SELECT a.r AS _1, b.r AS _2, sum(a.y * b.y) AS product FROM {name}_y a JOIN {name}_y b USING (j) GROUP BY 1, 2),""" + \
+        jacobi(f"{name}_j", f"{name}_g", str(rank * rank)).lstrip() + f""",
+{name}_u AS (SELECT e.k, y.j, sum(y.y * e.v) / sqrt(any_value(e.lam)) AS u
+  FROM {name}_y y JOIN {name}_j e ON e.j = y.r WHERE e.k < {rank} GROUP BY 1, 2),
+{name} AS (SELECT CAST(k AS INTEGER) AS _1, CAST(j AS INTEGER) AS _2,
+  u * sign(first_value(u) OVER (PARTITION BY k ORDER BY abs(u) DESC)) AS product FROM {name}_u WHERE u <> 0)"""
+
+
+def hooi_sql(sweeps: int, seed: int) -> str:
+    now = {m: f"h0{m}" for m in ("cn", "sn", "m")}
+    parts = [lcg_grid(now[m], "trade", m, 2, seed + i).lstrip() for i, m in enumerate(now)]
+    for it in range(1, sweeps + 1):
+        for m in now:
+            parts.append(hooi_update(f"h{it}{m}", m, now).lstrip())
+            now[m] = f"h{it}{m}"
+    return with_rec(TRADE) + "," + ",".join(parts) + "\n" + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS mode, _1, _2, round(product, 6) AS product FROM {now[m]}" for i, m in enumerate(now))
+
+
+Q["tucker_hooi"] = hooi_sql(2, 5)
+
 # Rank-1 HOOI = alternating power method: step s renews the vector of mode
 # s % 3 from the other two, normalises it and makes its largest entry positive.
 HOPM_STEPS = 9

@@ -463,7 +463,7 @@ def q_tucker_hooi(spark, sf):
     from ..plans.tucker import hooi, lcg_factors
     t = _trade_cut(spark, sf)
     fs = hooi(t, lcg_factors(t, [2, 2, 2], seed=5), n_iter=2)
-    return op.vstack(*fs, tag="mode")
+    return _r6(op.vstack(*fs, tag="mode"))
 
 
 # ---------------------------------------------------------------- 2.J regression
@@ -565,7 +565,7 @@ def q_random_reg_factors(spark, sf):
 def q_svd_init_factors(spark, sf):
     from ..plans.regression import svd_init_factors
     x, y = _reg_xy(spark, sf)
-    return op.vstack(*svd_init_factors(x, y, 1e-3), tag="mode")
+    return _r6(op.vstack(*svd_init_factors(x, y, 1e-3), tag="mode"))
 
 
 @query("tensor_regression_fit")
