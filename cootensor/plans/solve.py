@@ -185,6 +185,76 @@ def _ritz(u: DataFrame, q: DataFrame, k: int) -> DataFrame:
     return f.select(F.col("_1").cast("int"), F.col("_2").cast("int"), VALUE)
 
 
+def jacobi_eigh(g: np.ndarray, sweeps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (largest first) and eigenvectors (columns) of a positive semidefinite
+    matrix by Jacobi rotations of disjoint pairs.  A Gram whose columns differ by orders
+    of magnitude keeps its small eigenvectors, which ``eigh`` blurs by the largest eigenvalue."""
+    n = len(g)
+    a, v = g.astype(float), np.eye(n)
+    ring = list(range(n)) + [-1] * (n % 2)
+    for _ in range(sweeps):
+        turned = False
+        for _ in range(len(ring) - 1):
+            pairs = [(min(x, y), max(x, y)) for x, y in zip(ring[:len(ring) // 2], ring[::-1]) if x >= 0 and y >= 0]
+            ring = [ring[0], ring[-1], *ring[1:-1]]
+            p, q = np.array(pairs, int).reshape(-1, 2).T
+            app, aqq, apq = a[p, p], a[q, q], a[p, q]
+            act = np.abs(apq) > 1e-16 * np.sqrt(np.abs(app * aqq))
+            if not act.any():
+                continue
+            turned = True
+            p, q, app, aqq, apq = p[act], q[act], app[act], aqq[act], apq[act]
+            tau = (aqq - app) / (2 * apq)
+            t = np.where(tau < 0, -1.0, 1.0) / (np.abs(tau) + np.hypot(1, tau))
+            c = 1 / np.hypot(1, t)
+            s = t * c
+            a[p], a[q] = c[:, None] * a[p] - s[:, None] * a[q], s[:, None] * a[p] + c[:, None] * a[q]
+            a[:, p], a[:, q] = c * a[:, p] - s * a[:, q], s * a[:, p] + c * a[:, q]
+            v[:, p], v[:, q] = c * v[:, p] - s * v[:, q], s * v[:, p] + c * v[:, q]
+        if not turned:
+            break
+    w = a.diagonal()
+    order = np.argsort(-w, kind="stable")
+    return w[order], v[:, order]
+
+
+def _fiber_task(k: int):
+    """Fiber weights v / sigma of the ``k`` leading components, as ``(component, fiber, weight)``;
+    components below 1e-13 of the largest eigenvalue are rounding and left out."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(max(pdf["_1"].max(), pdf["_2"].max())) + 1
+        g = np.zeros((n, n))
+        g[pdf["_1"].to_numpy(), pdf["_2"].to_numpy()] = pdf[VALUE].to_numpy()
+        w, v = jacobi_eigh((g + g.T) / 2)
+        r = min(k, int((w > 1e-13 * w[0]).sum()))
+        comp, f = np.meshgrid(np.arange(r), np.arange(n), indexing="ij")
+        weight = v[:, :r] / np.sqrt(w[:r])
+        return pd.DataFrame({"_1": comp.ravel().astype(np.int32), "_2": f.ravel().astype(np.int32), VALUE: weight.T.ravel()})
+    return run
+
+
+def fiber_eigvecs(u: DataFrame, k: int, sizes: list[int]) -> DataFrame | None:
+    """Leading ``k`` left singular vectors of an unfolding with few fibers, whatever
+    its number of indices: u = U v / sigma from the fibers' own Gram UᵀU.
+
+    ``sizes`` are the index ranges of the modes in the key struct; their product, the
+    number of fibers, is what one task holds squared.  None where the unfolding
+    has fewer than ``k`` components.
+    """
+    key, idx, val = u.columns[:3]
+    fiber = F.lit(0)
+    for name, size in zip(u.schema[key].dataType.names, sizes):
+        fiber = fiber * F.lit(int(size)) + u[key][name]
+    e = u.select(F.col(idx).alias("j"), fiber.cast("int").alias("r"), F.col(val).alias("y"))
+    g = fiber_gram(e, dim=int(np.prod(sizes)))
+    m = _apply_small(g, _fiber_task(k)).checkpoint(eager=True)       # k x fibers
+    if m.agg(F.max("_1")).first()[0] != k - 1:
+        return None
+    j = e.join(F.broadcast(m), e["r"] == m["_2"])
+    f = j.groupBy("_1", F.col("j").alias("_2")).agg(F.sum(F.col("y") * F.col(VALUE)).alias(VALUE))
+    return sign_fix(f.select(F.col("_1").cast("int"), F.col("_2").cast("int"), VALUE))
+
+
 def leading_eigvecs(u: DataFrame, k: int, route: str = "auto", max_local_dim: int = MAX_LOCAL_DIM,
                     dim: int | None = None, **kw) -> DataFrame:
     """Leading ``k`` left singular vectors of the unfolding ``u`` (J1) as a

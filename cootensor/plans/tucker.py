@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from ..operators.reshape import transpose, unfold
 from ..session import VALUE
 from ..sources.io import index_grid
 from ..tensor import modes_of, shape_of
-from .solve import leading_eigvecs
+from .solve import fiber_eigvecs, leading_eigvecs
+
+MAX_FIBERS = 512          # product of the other ranks up to which HOOI solves the fibers' Gram in one task
 
 
 def _factor_grids(t: DataFrame, ranks: list[int], value: str = VALUE) -> list[DataFrame]:
@@ -95,6 +99,11 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = HOOI_SWEEPS, tol:
     the result is the same; with ``top_k`` the truncation points would move,
     so the plain per-mode chain is kept there.
 
+    ``route="auto"``: the projected unfolding has as many fibers as the product of the
+    other ranks.  Up to ``MAX_FIBERS`` of them the vectors come from the fibers' own Gram
+    (``fiber_eigvecs``), whatever the mode's size; beyond, or where the unfolding has fewer
+    components than the rank, from ``leading_eigvecs``.
+
     ``norms``: when a list is given, the core norm after every sweep is
     appended to it (one extra chain and one-row aggregate per sweep).
     """
@@ -120,7 +129,12 @@ def hooi(t: DataFrame, factors: list[DataFrame], n_iter: int = HOOI_SWEEPS, tol:
                 y = ttm_chain(cache, rest, value=value, checkpoint=True)
             else:
                 y = ttm_chain(t, fs, skip=i, value=value, top_k=top_k, checkpoint=True)
-            new = leading_eigvecs(unfold(y, m, value), ranks[i], route=route, **eig_kw)
+            new = None
+            sizes = [r for j, r in enumerate(ranks[:n]) if j != i]
+            if route == "auto" and n == len(modes) and math.prod(sizes) <= MAX_FIBERS:
+                new = fiber_eigvecs(unfold(y, m, value), ranks[i], sizes)
+            if new is None:
+                new = leading_eigvecs(unfold(y, m, value), ranks[i], route=route, **eig_kw)
             new = new.filter(F.abs(F.col(VALUE)) > 0)
             fs[i] = store.save_factor(new, it, i) if store is not None else new.checkpoint(eager=True)
         if tol is not None or norms is not None:
