@@ -12,7 +12,9 @@ as itself, any run of other bytes as one separator.  A text is parsed in lanes o
 more lanes; every byte of every text is read.
 
 The sample bound (the only place where not all rows are used) is
-``sample_rows`` rows and about ``sample_bytes`` bytes per language.
+``sample_rows`` rows and ``sample_bytes`` bytes per language; the row that reaches
+it enters up to it.  An automaton takes some 3 MB, so the number of languages is
+not limited by a table.
 
 Defined results.  Null text, empty text or text without a letter: ``und``,
 score 0.  Null ``lang`` or null ``doc_id``: never trained on, still predicted.
@@ -46,7 +48,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _KEEP = _LETTER.copy()
 _KEEP[128:] = True
-_WEIGHT = 28               # bits of a transition that hold the next state
 
 
 def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,51 +93,97 @@ def suffix_automaton(sym: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
     return a[:, 0], a[:, 1], a[:, 2], len(nxt)
 
 
+def pack(s: np.ndarray, c: np.ndarray, n: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions as a double array: ``(first, slots)``.
+
+    Symbol ``c`` of state ``s`` has slot ``first[s] + c``, which holds the owner in
+    its upper and the next state in its lower 32 bits, so a slot of another
+    state is told apart.  States with several symbols are placed by first fit, widest
+    first; those with one fill the holes.
+    """
+    order = np.lexsort((c, s))
+    s, c, n = s[order], c[order], n[order]
+    count = np.bincount(s, minlength=states)
+    begin = np.cumsum(count) - count
+    wide = np.flatnonzero(count > 1)
+    wide = wide[np.argsort(-count[wide], kind="stable")]
+    size = 2 * len(s) + (1 << 16)
+    used = np.zeros(size, bool)
+    first = np.zeros(states, np.int64)
+    low, window = 0, 2048
+    for state in wide:
+        own = c[begin[state]:begin[state] + count[state]]
+        at = low
+        while True:
+            if at + window + 256 > len(used):
+                used = np.concatenate([used, np.zeros(len(used), bool)])
+            bad = used[at + own[0]:at + own[0] + window].copy()
+            for x in own[1:]:
+                bad |= used[at + x:at + x + window]
+            k = int(bad.argmin())
+            if not bad[k]:
+                break
+            at += window
+        first[state] = at + k
+        used[at + k + own] = True
+        if used[low + 256:low + 256 + window].mean() > 0.9:
+            low += window // 4
+    single = np.flatnonzero(count == 1)
+    sym = c[begin[single]]
+    free = np.flatnonzero(~used[256:])[:len(single)] + 256       # symbols are below 256: no slot starts below 0
+    if len(free) < len(single):
+        free = np.concatenate([free, len(used) + np.arange(len(single) - len(free))])
+    first[single] = free - sym
+    slots = np.full(int(first.max(initial=0)) + 256, -1, np.int64)
+    slots[first[s] + c] = s << 32 | n
+    return first, slots
+
+
 @dataclass
 class Models:
-    """Automata of all languages in one transition table."""
+    """Automata of all languages as double arrays, some 8 bytes a transition and state.
+
+    ``parts``: (first, slots, sample bytes) of each language; (state, symbol, next,
+    states, sample bytes) is packed here.
+    """
 
     langs: list[str]
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]   # state, symbol, next, states, sample bytes
+    parts: list[tuple]
     _table: tuple | None = field(default=None, repr=False)
 
+    def __post_init__(self):
+        self.parts = [p if len(p) == 3 else (*pack(*p[:4]), p[4]) for p in self.parts]
+
     def __getstate__(self):
         return {"langs": self.langs, "parts": self.parts, "_table": None}
 
     def table(self):
-        """(transitions, start of each language, class of each byte, bits per phrase).
+        """(first slot of each state, slots, root state of each language, next state and phrases closed
+        where a phrase restarts, bits per phrase).
 
-        An entry holds where the next state's row begins and, above
-        ``_WEIGHT`` bits, how many phrases the step closes: none on a
-        transition, one when the phrase must restart, two at a symbol the
-        sample never has.
+        A restart closes one phrase, two at a symbol the sample never has.
         """
         if self._table is None:
-            seen = np.unique(np.concatenate([p[1] for p in self.parts]))
-            cls = np.full(256, len(seen), np.int64)
-            cls[seen] = np.arange(len(seen))
-            width = len(seen) + 1
-            size = sum(p[3] for p in self.parts) * width
-            if size >= 1 << _WEIGHT:
-                raise ValueError("language samples too large for one table; lower sample_bytes")
-            t = np.empty(size, np.int32)
-            starts, base = [], 0
-            for s, c, n, states, _ in self.parts:
-                own = t[base:base + states * width].reshape(states, width)
-                root = np.full(width, base + (2 << _WEIGHT), np.int64)
-                at = s == 0
-                root[cls[c[at]]] = base + n[at] * width + (1 << _WEIGHT)
-                own[:] = root
-                own[s, cls[c]] = base + n * width
-                starts.append(base)
-                base += states * width
-            bits = np.array([np.log2(max(2, p[4])) for p in self.parts])
-            self._table = t, np.array(starts, np.int32), cls, bits
+            firsts, slots, roots, again, closed = [], [], [], [], []
+            states = at = 0
+            for first, own, _ in self.parts:
+                root = own[first[0]:first[0] + 256]
+                known = root >> 32 == 0
+                again.append(np.where(known, (root & 0xFFFFFFFF) + states, states))
+                closed.append(np.where(known, 1, 2))
+                firsts.append(first + at)
+                slots.append(np.where(own >= 0, own + (states << 32 | states), -1))
+                roots.append(states)
+                states += len(first)
+                at += len(own)
+            bits = np.array([np.log2(max(2, p[2])) for p in self.parts])
+            self._table = (np.concatenate(firsts).astype(np.int32), np.concatenate(slots), np.array(roots, np.int32),
+                           np.stack(again).astype(np.int32), np.stack(closed).astype(np.int32), bits)
         return self._table
 
     def phrase_bits(self, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows x languages: bits the phrases of each row cost."""
-        t, start, cls, bits = self.table()
+        first, slots, start, again, cost, bits = self.table()
         n = np.diff(off)
         lanes = -(-n // LANE)
         row = np.repeat(np.arange(len(n)), lanes)
@@ -145,17 +192,21 @@ class Models:
         size = np.minimum(LANE, off[1:][row] - at)
         order = np.argsort(-size, kind="stable")   # live lanes stay in front
         row, at, size = row[order], at[order], size[order]
-        code = cls[sym].astype(np.int32)
-        state = np.repeat(start[:, None], len(row), 1)
-        closed = np.ones((len(start), len(row)), np.int32)
-        live = len(row)
+        code = sym.astype(np.int32)
         steps = int(size[0]) if len(size) else 0
         left = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
+        closed = np.ones((len(start), len(row)), np.int32)
+        state = np.repeat(start[:, None], len(row), 1)
         for i in range(steps):
             live = left[i]
-            v = t[state[:, :live] + code[at[:live] + i]]
-            closed[:, :live] += v >> _WEIGHT
-            state[:, :live] = v & ((1 << _WEIGHT) - 1)
+            c = code[at[:live] + i]
+            for lang in range(len(start)):
+                now = state[lang, :live]
+                v = slots[first[now] + c]
+                miss = np.flatnonzero(v >> 32 != now)
+                state[lang, :live] = v                     # the lower half
+                state[lang, miss] = again[lang, c[miss]]
+                closed[lang, miss] += cost[lang, c[miss]]
         out = np.zeros((len(n), len(start)))
         for lang in range(len(start)):
             out[:, lang] = np.bincount(row, closed[lang], len(n)) * bits[lang]
@@ -214,18 +265,17 @@ def train(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lan
             if len(got) < sample_bytes:
                 b = np.frombuffer(t.encode(), np.uint8)
                 sym, _ = _symbols(b, np.array([0, len(b)]))
-                got += sym.tobytes() + b"\0"
-        s, c, n, states = suffix_automaton(got)
-        return pd.DataFrame([(pdf["lang"].iloc[0], *(x.astype("<i4").tobytes() for x in (s, c, n)), states, len(got))],
-                            columns=["lang", "s", "c", "n", "states", "size"])
+                got += sym.tobytes()[:sample_bytes - len(got)] + b"\0"
+        first, slots = pack(*suffix_automaton(got))
+        return pd.DataFrame([(pdf["lang"].iloc[0], first.astype("<i4").tobytes(), slots.astype("<i8").tobytes(), len(got))],
+                            columns=["lang", "first", "slots", "size"])
 
     sample = rows.join(F.broadcast(chosen), ["lang", "k"]).dropDuplicates(["lang", "k"])  # bounded
-    built = sample.groupBy("lang").applyInPandas(build, "lang string, s binary, c binary, n binary, states long, size long")
+    sample = sample.withColumn("text", F.substring("text", 1, sample_bytes))     # no more of a row can enter
+    built = sample.groupBy("lang").applyInPandas(build, "lang string, first binary, slots binary, size long")
     parts = sorted(built.collect(), key=lambda r: r.lang)
-    get = functools.partial(np.frombuffer, dtype="<i4")
     return Models([p.lang for p in parts],
-                  [(get(p.s).astype(np.int64), get(p.c).astype(np.int64), get(p.n).astype(np.int64), p.states, p.size)
-                   for p in parts])
+                  [(np.frombuffer(p.first, "<i4").astype(np.int64), np.frombuffer(p.slots, "<i8"), p.size) for p in parts])
 
 
 def identify(docs: DataFrame, models: Models, keep: list[str], text: str = "text") -> DataFrame:
