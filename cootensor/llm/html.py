@@ -1,12 +1,24 @@
 """Main-text extraction from HTML with site template removal.
 
-Every block element's subtree is hashed (tag, class, id, text and children).  On
-Spark the hashes are counted per host, over pages with different headlines, so
-copies of one article do not make its paragraphs look like a template.  Subtrees
-found on ``MIN_PAGES`` and on ``MIN_SHARE`` of a host's headlines are its
-template and are deleted from its pages; what is boilerplate by its element or
-its class goes as well.  Pages with an ``article`` or ``main`` element keep only
-what is inside it.
+Every block element's subtree is hashed twice: with its text (tag, class, id, text
+and children), and by structure alone (the path of elements to it, class and id
+without digits, the shapes of its children, where equal neighbours count once and
+inline markup does not).  On Spark the hashes are counted per host, over pages told
+apart by their longest block, so copies of one article do not make its paragraphs
+look like a template.  Subtrees that recur are the host's template and are deleted
+from its pages:
+
+* with the same text on ``MIN_PAGES`` and on ``MIN_SHARE`` of the host's pages,
+  anywhere on the page;
+* with the same structure on as many, or on ``MANY_PAGES`` pages of a host of any
+  size, if they stand outside the page's content, or are links for ``LINKED`` of
+  their characters in content that no element declares.
+
+The content is what is inside ``article`` or ``main``; on a page without them, the
+innermost container with ``CONTENT`` of the text that is no link.  Articles share
+the structure of their paragraphs, so inside the content structure alone decides
+nothing but lists of links.  What is boilerplate by its element or its class goes
+as well, and pages with an ``article`` or ``main`` element keep only what is inside.
 
 Text is split into blocks at block elements; inside a block character
 references are decoded and white space becomes one space.
@@ -22,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +42,11 @@ from pyspark.sql import functions as F
 
 from .frames import annotate, cut
 
-MIN_PAGES = 3          # headlines a template subtree is on, at least
-MIN_SHARE = 0.5        # share of the host's headlines it is on, at least
+MIN_PAGES = 3          # different pages a template subtree is on, at least
+MIN_SHARE = 0.5        # share of the host's different pages it is on, at least
+MANY_PAGES = 20        # different pages that make a structure a template whatever its share
+CONTENT = 0.6          # share of the page's text that its content holds
+LINKED = 0.8           # share of link characters of a list of links
 
 # Fixed element lists of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -43,6 +59,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
           "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "menu", "dl", "table", "select", "article", "main", "body"}
+# Elements that can be the content of a page that declares none.
+HOLDS = {"html", "body", "div", "section", "td", "center"}
 # Boilerplate by element; header and footer elements of an article's own are judged apart.
 DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "template", "head", "svg", "math", "object", "canvas",
         "audio", "video", "button", "select", "datalist", *RAW}
@@ -57,29 +75,55 @@ HEADER_WORDS = {"header", "masthead", "topbar"}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I | re.S)
 WORD = re.compile(r"[a-z]+")
-RESULTS = "text string, n_chars long"
+NUMBER = re.compile(rb"[0-9]+")
+RESULTS = "text string, n_chars long, n_template long"
 
 
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
 
 
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+class Element:
+    """An open element: what its subtree's hashes are made of, and the flags its text inherits."""
+
+    __slots__ = ("tag", "key", "path", "children", "shapes", "first", "main", "drop")
+
+    def __init__(self, tag: str, key: bytes, path: bytes, first: int, main: bool, drop: bool):
+        self.tag, self.key, self.path, self.first, self.main, self.drop = tag, key, path, first, main, drop
+        self.children: list[bytes] = []
+        self.shapes: list[bytes] = []
+
+    def shape(self, part: bytes) -> None:
+        if not self.shapes or self.shapes[-1] != part:
+            self.shapes.append(part)
+
+
 class Page:
     """Blocks of a page and the block ranges of its subtrees.
 
-    ``blocks``: (text, is main text, is boilerplate).  ``trees``: (hash, first
-    block, block after the last) of every block element with text.
+    ``blocks``: (text, is main text, is boilerplate).  ``trees``: (hash with text,
+    hash of the structure, first block, block after the last, can be the content)
+    of every block element with text.
     """
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, bool, bool]] = []
-        self.trees: list[tuple[int, int, int]] = []
+        self.trees: list[tuple[int, int, int, int, bool]] = []
+        self._plain: list[int] = []            # characters outside links, per block
         self._buffer: list[str] = []
         self._dropped: list[str] = []
-        self._stack: list[list] = [["", b"", [], 0, False, False]]   # tag, key, children, first block, main, drop
+        self._outside = {False: 0, True: 0}    # characters outside links of the two buffers
+        self._stack = [Element("", b"", b"", 0, False, False)]
         self._open: dict[str, int] = {}
         if source:
             self._parse(source)
+        self._plain_to = [0, *accumulate(self._plain)]
+        self._size_to = [0, *accumulate(len(t) - t.count(" ") for t, _, _ in self.blocks)]
+        self._content = self._find_content()
 
     def _flush(self) -> None:
         top = self._stack[-1]
@@ -87,23 +131,31 @@ class Page:
             if buffer:
                 t = " ".join("".join(buffer).split())
                 if t:
-                    self.blocks.append((t, top[4], drop))
+                    self.blocks.append((t, top.main, drop))
+                    self._plain.append(self._outside[drop])
                 buffer.clear()
+                self._outside[drop] = 0
 
     def _text(self, raw: str) -> None:
         if not raw:
             return
         t = html.unescape(raw) if "&" in raw else raw
-        (self._dropped if self._stack[-1][5] else self._buffer).append(t)
-        if not t.isspace():
-            self._stack[-1][2].append(" ".join(t.split()).encode("utf-8", "replace"))
+        top = self._stack[-1]
+        (self._dropped if top.drop else self._buffer).append(t)
+        words = t.split()
+        if words:
+            if not self._open.get("a"):
+                self._outside[top.drop] += sum(map(len, words))
+            top.children.append(" ".join(words).encode("utf-8", "replace"))
+            top.shape(b"t")
 
     def _push(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._flush()
         else:
             self._buffer.append("")
-        _, _, _, _, main, drop = self._stack[-1]
+        above = self._stack[-1]
+        main, drop = above.main, above.drop
         found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)} if attrs.strip() else {}
         key = " ".join(f"{k}={v}" for k, v in sorted(found.items())).encode("utf-8", "replace")
         words = set(WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
@@ -112,27 +164,37 @@ class Page:
         drop = drop or tag in DROP or bool(words & WORDS) and tag not in ("html", "body") or "hidden" in found \
             or found.get("aria-hidden", "").lower() == "true" \
             or not main and (tag == "header" or bool(words & HEADER_WORDS) and tag not in ("html", "body"))
-        self._stack.append([tag, key, [], len(self.blocks), main, drop])
+        path = _digest(above.path, tag.encode(), NUMBER.sub(b"0", key)) if tag in BLOCK else above.path
+        self._stack.append(Element(tag, key, path, len(self.blocks), main, drop))
         self._open[tag] = self._open.get(tag, 0) + 1
 
     def _pop(self) -> None:
-        tag, key, children, first, _, _ = self._stack[-1]
-        if tag in BLOCK:
+        top = self._stack[-1]
+        if top.tag in BLOCK:
             self._flush()
         self._stack.pop()
-        self._open[tag] -= 1
-        if children:
-            d = _digest(tag.encode(), key, *children)
-            self._stack[-1][2].append(d)
-            if tag in BLOCK and len(self.blocks) > first:
-                self.trees.append((int.from_bytes(d, "little", signed=True), first, len(self.blocks)))
+        self._open[top.tag] -= 1
+        if not top.children:
+            return
+        above = self._stack[-1]
+        d = _digest(top.tag.encode(), top.key, *top.children)
+        above.children.append(d)
+        if top.tag not in BLOCK and top.tag != "a":
+            for part in top.shapes:              # inline markup is transparent
+                above.shape(part)
+            return
+        shape = _digest(top.tag.encode(), NUMBER.sub(b"0", top.key), *top.shapes)
+        above.shape(shape)
+        if top.tag in BLOCK and len(self.blocks) > top.first:
+            self.trees.append((_number(d), _number(_digest(b"structure", top.path, shape)), top.first, len(self.blocks),
+                               top.tag in HOLDS))
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """Close the nearest open element of ``tags`` with all inside it, unless a ``stop`` element is nearer."""
         if not any(self._open.get(t) for t in tags):
             return
         for depth in range(len(self._stack) - 1, 0, -1):
-            t = self._stack[depth][0]
+            t = self._stack[depth].tag
             if t in tags:
                 while len(self._stack) > depth:
                     self._pop()
@@ -179,26 +241,63 @@ class Page:
             self._pop()
         self._flush()
 
-    def headline(self) -> int:
-        """Hash of the first block of the main text, which tells pages apart."""
-        for t, _, _ in self._main():
-            return int.from_bytes(_digest(t.encode("utf-8", "replace")), "little", signed=True)
-        return 0
+    def _find_content(self) -> tuple[int, int] | None:
+        """Blocks of the content of a page that declares none (the innermost container with most of the text)."""
+        if any(main and not drop for _, main, drop in self.blocks):
+            return None
+        plain = [0, *accumulate(n * (not drop) for n, (_, _, drop) in zip(self._plain, self.blocks))]
+        got = (0, len(self.blocks))
+        for _, _, a, b, holds in self.trees:
+            if holds and b - a < got[1] - got[0] and plain[b] - plain[a] >= CONTENT * plain[-1]:
+                got = a, b
+        return got
+
+    def _structural(self, a: int, b: int) -> bool:
+        """Whether the subtree of these blocks may be judged by its structure alone."""
+        if not self._holds_content(a, b):
+            return True
+        return self._content is not None and self._plain_to[b] - self._plain_to[a] <= (1 - LINKED) * (self._size_to[b] - self._size_to[a])
+
+    def _holds_content(self, a: int, b: int) -> bool:
+        """Whether the subtree of these blocks has a part of the content."""
+        if self._content is None:
+            return any(main for _, main, _ in self.blocks[a:b])
+        first, last = self._content
+        return a < last and b > first
+
+    def hashes(self) -> tuple[set[int], set[int]]:
+        """Hashes of the subtrees with their text, and of the structure of those that may be judged by it."""
+        return {t[0] for t in self.trees}, {t[1] for t in self.trees if self._structural(t[2], t[3])}
+
+    def identity(self) -> int:
+        """Hash of the longest block of the content, which tells pages apart."""
+        longest = max(self._main(), key=lambda x: len(x[0]), default=("", False, False))[0]
+        return _number(_digest(longest.encode("utf-8", "replace")))
 
     def _main(self) -> list[tuple[str, bool, bool]]:
-        kept = [b for b in self.blocks if not b[2]]
-        inside = [b for b in kept if b[1]]
-        return inside or kept
-
-    def text(self, template: set[int]) -> str:
-        """The main text without the subtrees of ``template``."""
-        gone = set()
+        if self._content is not None:
+            a, b = self._content
+            return [x for x in self.blocks[a:b] if not x[2]]
+        return [x for x in self.blocks if x[1] and not x[2]]
+
+    def deleted(self, template: frozenset[int]) -> set[int]:
+        """Numbers of the blocks in subtrees of ``template``."""
+        gone: set[int] = set()
         total = len(self._main())
-        for h, a, b in self.trees:
-            if h in template and not (b - a > total / 2 and any(x[1] for x in self.blocks[a:b])):
+        for h, shape, a, b, _ in self.trees:
+            same = h in template and not (b - a > total / 2 and self._holds_content(a, b))
+            if same or shape in template and self._structural(a, b):
                 gone.update(range(a, b))
-        has_main = any(b[1] and not b[2] for b in self.blocks)
-        return "\n".join(t for i, (t, main, drop) in enumerate(self.blocks) if not drop and i not in gone and (main or not has_main))
+        return gone
+
+    def rest(self, gone: set[int]) -> str:
+        """The main text without the blocks ``gone``."""
+        declared = self._content is None
+        return "\n".join(t for i, (t, main, drop) in enumerate(self.blocks) if not drop and i not in gone and (main or not declared))
+
+    def text(self, template: frozenset[int]) -> str:
+        """The main text without the subtrees of ``template``."""
+        return self.rest(self.deleted(template))
 
 
 def host(url: Column) -> Column:
@@ -207,41 +306,51 @@ def host(url: Column) -> Column:
     return F.when(F.length(h) > 0, h)
 
 
-def site_templates(pages: DataFrame, source: str = "html", url: str = "url",
-                   min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, template)``: the subtree hashes on many pages of each host.
+def site_templates(pages: DataFrame, source: str = "html", url: str = "url", min_pages: int = MIN_PAGES,
+                   min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """``(host, template)``: the subtree hashes that recur on each host.
 
-    A host has at most (subtrees of an average page) / ``min_share`` of them.
+    A host has at most (subtrees of an average page) / ``min_share`` of them by
+    share, and (its subtrees) / ``many_pages`` by number.
     """
     src = pages.select(host(F.col(url)).alias("host"), F.col(source).alias("html")).where("host is not null")
 
     def trees(b: pa.RecordBatch) -> list:
         got = [Page(x) for x in b.column("html").to_pylist()]
-        return [pa.array([p.headline() for p in got], pa.int64()),
-                pa.array([list({t[0] for t in p.trees}) for p in got], pa.list_(pa.int64()))]
-
-    seen = annotate(src, ["host"], {"html": F.col("html")}, trees, "headline long, trees array<long>") \
-        .select("row.host", "headline", F.explode_outer("trees").alias("tree")).distinct()
-    seen = cut(seen, "subtrees")
-    hosts = seen.groupBy("host").agg(F.count_distinct("headline").alias("pages"))
-    counts = seen.where("tree is not null").groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
+        both = [p.hashes() for p in got]
+        return [pa.array([p.identity() for p in got], pa.int64()),
+                pa.array([list(x[0]) for x in both], pa.list_(pa.int64())),
+                pa.array([list(x[1]) for x in both], pa.list_(pa.int64()))]
+
+    # one row per page and hash; a hash of null stands for the page itself
+    both = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("tree"), F.lit(False).alias("structure"))),
+                    F.transform("texts", lambda x: F.struct(x.alias("tree"), F.lit(False).alias("structure"))),
+                    F.transform("shapes", lambda x: F.struct(x.alias("tree"), F.lit(True).alias("structure"))))
+    seen = annotate(src, ["host"], {"html": F.col("html")}, trees, "page long, texts array<long>, shapes array<long>") \
+        .select("row.host", "page", F.explode(both).alias("t")).select("host", "page", "t.*").distinct()
+    counts = cut(seen.groupBy("host", "tree", "structure").agg(F.count("*").alias("n")), "subtrees")
+    hosts = counts.where("tree is null").select("host", F.col("n").alias("pages"))
+    often = counts.where("tree is not null").where(F.col("n") >= F.least(F.lit(min_pages), F.lit(many_pages))).join(hosts, "host") \
+        .where((F.col("n") >= min_pages) & (F.col("n") >= F.col("pages") * min_share) | F.col("structure") & (F.col("n") >= many_pages))
     return cut(often.groupBy("host").agg(F.collect_list("tree").alias("template")), "templates")
 
 
 def extract(pages: DataFrame, keep: list[str], source: str = "html", url: str = "url", **limits) -> DataFrame:
-    """``(row, text, n_chars)`` for every page."""
+    """``(row, text, n_chars, n_template)`` for every page; ``n_template`` counts the blocks its host's template deleted."""
     templates = site_templates(pages, source, url, **limits).withColumnRenamed("host", "_host")
     src = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(source).alias("html"),
                        host(F.col(url)).alias("_host")).join(templates, "_host", "left")
 
     def run(b: pa.RecordBatch) -> list:
-        out, last, known = [], None, frozenset()
+        texts, gone, last, known = [], [], None, frozenset()
         for x, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist()):
             if t != last:
                 last, known = t, frozenset(t or ())
-            out.append(Page(x).text(known))
-        return [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
+            page = Page(x)
+            blocks = page.deleted(known)
+            texts.append(page.rest(blocks))
+            gone.append(len(blocks))
+        return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())]
 
     done = annotate(src, ["kept"], {"html": F.col("html"), "template": F.col("template")}, run, RESULTS)
     return done.withColumn("row", F.col("row.kept"))

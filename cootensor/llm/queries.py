@@ -53,9 +53,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page, and the number of blocks its site's template deleted."""
     pages = read_table(spark, sf_dir, "pages")
-    return html.extract(pages, ["page_id", "url"]).select("row.page_id", "row.url", "text", "n_chars")
+    return html.extract(pages, ["page_id", "url"]).select("row.page_id", "row.url", "text", "n_chars", "n_template")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
