@@ -31,12 +31,13 @@ long pages are parsed whole; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,20 +81,33 @@ RESULTS = "text string, n_chars long, n_template long"
 
 
 def _digest(*parts: bytes) -> bytes:
-    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
+    return xxhash.xxh3_64_digest(b"\0".join(parts))
+
+
+_known_digest = lru_cache(1 << 14)(_digest)      # paths and shapes repeat from page to page
 
 
 def _number(digest: bytes) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+@lru_cache(1 << 12)
+def _attributes(attrs: str) -> tuple[bytes, bytes, set[str], bool, bool]:
+    """Key of class, id, role and hiding, the key without digits, its words, whether the element is the main one, hidden."""
+    found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
+    key = " ".join(f"{k}={v}" for k, v in sorted(found.items())).encode("utf-8", "replace")
+    words = set(WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
+    return key, NUMBER.sub(b"0", key), words, found.get("role", "") == "main", \
+        "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+
+
 class Element:
     """An open element: what its subtree's hashes are made of, and the flags its text inherits."""
 
-    __slots__ = ("tag", "key", "path", "children", "shapes", "first", "main", "drop")
+    __slots__ = ("tag", "key", "kind", "path", "children", "shapes", "first", "main", "drop")
 
-    def __init__(self, tag: str, key: bytes, path: bytes, first: int, main: bool, drop: bool):
-        self.tag, self.key, self.path, self.first, self.main, self.drop = tag, key, path, first, main, drop
+    def __init__(self, tag: str, key: bytes, kind: bytes, path: bytes, first: int, main: bool, drop: bool):
+        self.tag, self.key, self.kind, self.path, self.first, self.main, self.drop = tag, key, kind, path, first, main, drop
         self.children: list[bytes] = []
         self.shapes: list[bytes] = []
 
@@ -117,7 +131,7 @@ class Page:
         self._buffer: list[str] = []
         self._dropped: list[str] = []
         self._outside = {False: 0, True: 0}    # characters outside links of the two buffers
-        self._stack = [Element("", b"", b"", 0, False, False)]
+        self._stack = [Element("", b"", b"", b"", 0, False, False)]
         self._open: dict[str, int] = {}
         if source:
             self._parse(source)
@@ -144,9 +158,10 @@ class Page:
         (self._dropped if top.drop else self._buffer).append(t)
         words = t.split()
         if words:
+            t = " ".join(words)
             if not self._open.get("a"):
-                self._outside[top.drop] += sum(map(len, words))
-            top.children.append(" ".join(words).encode("utf-8", "replace"))
+                self._outside[top.drop] += len(t) - len(words) + 1
+            top.children.append(t.encode("utf-8", "replace"))
             top.shape(b"t")
 
     def _push(self, tag: str, attrs: str) -> None:
@@ -156,16 +171,13 @@ class Page:
             self._buffer.append("")
         above = self._stack[-1]
         main, drop = above.main, above.drop
-        found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)} if attrs.strip() else {}
-        key = " ".join(f"{k}={v}" for k, v in sorted(found.items())).encode("utf-8", "replace")
-        words = set(WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-        if tag in ("article", "main") or "main" == found.get("role", ""):
+        key, kind, words, declared, hidden = _attributes(attrs if ATTR.search(attrs) else "")
+        if tag in ("article", "main") or declared:
             main = main or not drop
-        drop = drop or tag in DROP or bool(words & WORDS) and tag not in ("html", "body") or "hidden" in found \
-            or found.get("aria-hidden", "").lower() == "true" \
+        drop = drop or tag in DROP or hidden or bool(words & WORDS) and tag not in ("html", "body") \
             or not main and (tag == "header" or bool(words & HEADER_WORDS) and tag not in ("html", "body"))
-        path = _digest(above.path, tag.encode(), NUMBER.sub(b"0", key)) if tag in BLOCK else above.path
-        self._stack.append(Element(tag, key, path, len(self.blocks), main, drop))
+        path = _known_digest(above.path, tag.encode(), kind) if tag in BLOCK else above.path
+        self._stack.append(Element(tag, key, kind, path, len(self.blocks), main, drop))
         self._open[tag] = self._open.get(tag, 0) + 1
 
     def _pop(self) -> None:
@@ -183,10 +195,10 @@ class Page:
             for part in top.shapes:              # inline markup is transparent
                 above.shape(part)
             return
-        shape = _digest(top.tag.encode(), NUMBER.sub(b"0", top.key), *top.shapes)
+        shape = _known_digest(top.tag.encode(), top.kind, *top.shapes)
         above.shape(shape)
         if top.tag in BLOCK and len(self.blocks) > top.first:
-            self.trees.append((_number(d), _number(_digest(b"structure", top.path, shape)), top.first, len(self.blocks),
+            self.trees.append((_number(d), _number(_known_digest(b"structure", top.path, shape)), top.first, len(self.blocks),
                                top.tag in HOLDS))
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
