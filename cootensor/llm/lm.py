@@ -4,11 +4,12 @@ N-gram counts over all training documents are summed on Spark.  A count ``c``
 is quantised to ``q = 1 + floor(log2 c)`` and the n-gram is entered in a Bloom
 filter once for each level 1..q; reading a count back means probing level after
 level until one is missing.  The filter is cut into segments, one per hash
-bucket of n-grams, so each segment is built by the task that has summed its
-bucket; all segments together never exceed ``MAX_FILTER_BYTES`` and are
-broadcast to the workers.  Should the n-grams outgrow that bound, each bucket
-raises the least count it stores until its entries fit (uniform hashing makes
-that the same count everywhere); rarer n-grams are then scored by back-off.
+bucket of n-grams; each is built by the task that has summed its bucket and has
+``ENTRY_BITS`` bits for every entry, so the filter grows with the n-grams and no
+count is left out.  A filter of up to ``MAX_FILTER_BYTES`` is broadcast to the
+workers.  A larger one stays where it is: the distinct n-grams of each chunk of
+texts are sent to the segments that know them, and their levels come back.  The
+same bits are probed either way, so the scores are the same.
 
 The model smooths towards unigrams:
 ``P(w | u) = (c(u, w) + MU * P1(w)) / (c(u) + MU)``,
@@ -37,9 +38,9 @@ from .frames import cut
 from .text import SPACED, U64, Words, buffers, chunks, mix
 
 MU = 8.0
-MAX_FILTER_BYTES = 64 << 20
-ENTRY_BITS = 8                # filter bits per entry while the bound allows
-MIN_ENTRY_BITS = 5            # below that rate the least count is raised
+MAX_FILTER_BYTES = 64 << 20    # a larger filter is not broadcast
+ENTRY_BITS = 8                # filter bits per entry
+LEAST_BITS = 64               # bits of a segment, at least
 PROBES = 3
 CHUNK_BYTES = 6 << 20         # text encoded into one chunk
 SLICE = 1 << 17               # n-grams probed at once
@@ -203,19 +204,20 @@ def _grams(batches, buckets: int):
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, p)) for p in parts], schema)
 
 
-def _places(key: np.ndarray, bucket, level: int, bits: int):
+def _places(key: np.ndarray, bucket, level: int, bits):
     """Bit places of (n-gram, level) inside its bucket's segment, one array per probe, made when asked for."""
+    bits = np.broadcast_to(np.asarray(bits, U64), key.shape)
     x = mix(mix(key.astype(U64) | (np.asarray(bucket, U64) << U64(32))) + U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     a, b = x >> U64(32), (x & U64(0xFFFFFFFF)) | U64(1)
-    return (lambda k, at=slice(None): ((a[at] + U64(k) * b[at]) % U64(bits)).astype(np.int64))
+    return (lambda k, at=slice(None): ((a[at] + U64(k) * b[at]) % bits[at]).astype(np.int64))
 
 
 def _levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def _segment(t: pa.Table, bits: int) -> pa.Table:
-    """One bucket's counts as a filter segment."""
+def _segment(t: pa.Table, bits: int | None = None, entry_bits: int = ENTRY_BITS) -> pa.Table:
+    """One bucket's counts as a filter segment of ``bits`` bits (``entry_bits`` for every entry)."""
     sizes = t["n"].to_numpy()
     keys = np.concatenate([_unzip_sorted(x.as_py(), "<u4", n) for x, n in zip(t["keys"], sizes)])
     counts = np.concatenate([_unzip(x.as_py(), "<u4", n) for x, n in zip(t["counts"], sizes)])
@@ -223,55 +225,102 @@ def _segment(t: pa.Table, bits: int) -> pa.Table:
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
     keys, counts = keys[at], np.add.reduceat(counts.astype(np.int64), at)
-    least = 1
     q = _levels(counts)
-    while q[counts >= least].sum() * MIN_ENTRY_BITS > bits and least < counts.max():
-        least += 1
-    keys, q = keys[counts >= least], q[counts >= least]
+    bits = bits or max(LEAST_BITS, -(-int(q.sum()) * entry_bits // 8) * 8)
     seg = np.zeros(bits, bool)
     bucket = t["bucket"][0].as_py()
     for level in range(1, int(q.max()) + 1 if len(q) else 1):
         place = _places(keys[q >= level], bucket, level, bits)
         for k in range(PROBES):
             seg[place(k)] = True
-    return pa.table({"bucket": [bucket], "least": pa.array([least], pa.int64()), "entries": pa.array([int(q.sum())], pa.int64()),
-                     "segment": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary())})
+    return pa.table({"bucket": [bucket], "segment": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary())})
 
 
 class CountFilter:
-    """The broadcast filter: quantised counts by repeated membership probes."""
+    """Filter segments side by side: quantised counts by repeated membership probes."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int, bits: int):
-        self.buckets, self.bits = buckets, bits
-        empty = bytes(bits // 8)
-        self.data = b"".join(segments.get(b, empty) for b in range(buckets))
+    def __init__(self, segments: dict[int, bytes], buckets: int, least_bits: int = LEAST_BITS):
+        self.buckets = buckets
+        empty = bytes(least_bits // 8)
+        held = [segments.get(b, empty) for b in range(buckets)]
+        self.bits = np.array([len(x) * 8 for x in held], np.int64)
+        self.base = np.cumsum(self.bits) - self.bits
+        self.data = b"".join(held)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Count of each n-gram as its level tells it (0 where absent)."""
-        q = np.concatenate([self._levels(h[i:i + SLICE]) for i in range(0, len(h), SLICE)] or [np.zeros(0, np.int64)])
-        return np.where(q > 1, 1.5 * 2.0 ** (q - 1), q)   # the middle of a level's counts
+        return told(self.levels(h))
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._levels(h[i:i + SLICE]) for i in range(0, len(h), SLICE)] or [np.zeros(0, np.int64)])
 
     def _levels(self, h: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(self.data, np.uint8)
         bucket = _bucket(h, self.buckets)
-        key = h & U64(0xFFFFFFFF)
-        q = np.zeros(len(h), np.int64)
-        live, level = np.arange(len(h)), 1
-        while len(live) and level < 64:
-            place = _places(key[live], bucket[live], level, self.bits)
-            base = bucket[live] * self.bits
-            in_it = np.arange(len(live))
-            for k in range(PROBES):
-                at = base[in_it] + place(k, in_it)
-                in_it = in_it[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            live = live[in_it]
-            q[live] = level
-            level += 1
-        return q
+        return probe(np.frombuffer(self.data, np.uint8), h & U64(0xFFFFFFFF), bucket, self.bits[bucket], self.base[bucket])
+
+
+def told(q: np.ndarray) -> np.ndarray:
+    """The count a level stands for: the middle of its counts."""
+    return np.where(q > 1, 1.5 * 2.0 ** (q - 1), q)
+
+
+def probe(data: np.ndarray, key: np.ndarray, bucket: np.ndarray, bits: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Highest level up to which each n-gram is a member of its segment (``bits`` from bit ``base`` of ``data`` on)."""
+    q = np.zeros(len(key), np.int64)
+    live, level = np.arange(len(key)), 1
+    while len(live) and level < 64:
+        place = _places(key[live], bucket[live], level, bits[live])
+        in_it = np.arange(len(live))
+        for k in range(PROBES):
+            at = base[live[in_it]] + place(k, in_it)
+            in_it = in_it[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        live = live[in_it]
+        q[live] = level
+        level += 1
+    return q
+
+
+def _asked(c: Chunk) -> np.ndarray:
+    """The distinct n-grams a chunk's scores need, in the order of their hashes."""
+    return np.unique(np.concatenate([c.words, bigrams(c.words[c.ids], c.ends), np.array([END])]))
+
+
+def _questions(batches, buckets: int):
+    """The n-grams of each chunk, by bucket."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+    for b in batches:
+        for i in range(b.num_rows):
+            c = Chunk(b, i)
+            h = _asked(c)
+            parts = [(c.id, k, y - x, _zip_sorted(h[x:y])) for k, x, y in _split(h, buckets)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, p)) for p in parts], schema)
+
+
+def _answers(asked: pa.Table, segment: pa.Table) -> pa.Table:
+    """One bucket: the levels of the n-grams asked for."""
+    out = []
+    data = np.frombuffer(segment["segment"][0].as_py() if segment.num_rows else bytes(LEAST_BITS // 8), np.uint8)
+    for k, n, keys in zip(asked["bucket"].to_pylist(), asked["n"].to_pylist(), asked["keys"]):
+        h = _unzip_sorted(keys.as_py(), "<u8", n)
+        q = probe(data, h & U64(0xFFFFFFFF), np.full(n, k), np.full(n, 8 * len(data)), np.zeros(n, np.int64))
+        out.append(_zip(q.astype(np.uint8)))
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "n": asked["n"], "levels": pa.array(out, pa.binary())})
+
+
+class Answers:
+    """Counts of a chunk's n-grams from the levels that came back."""
+
+    def __init__(self, c: Chunk, answers: list):
+        self.asked = _asked(c)
+        got = sorted(answers, key=lambda x: x["bucket"])
+        self.levels = np.concatenate([_unzip(x["levels"], "u1", x["n"]) for x in got]).astype(np.int64)
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return told(self.levels[np.searchsorted(self.asked, h)])
 
 
 def _score(batches, model, n_train: int, types: int, names: list[str]):
-    flt = model.value
+    flt = model.value if model else None
     total = n_train + types + 1
     for b in batches:
         for i in range(b.num_rows):
@@ -280,6 +329,8 @@ def _score(batches, model, n_train: int, types: int, names: list[str]):
             exact = np.concatenate([_unzip(x["counts"], "<u8", x["n"]) for x in back]).astype(np.int64)
             base = np.log10((exact + 1) / total)[c.ids]
             known = (exact > 0)[c.ids]
+            if model is None:
+                flt = Answers(c, b.column("answers")[i].as_py())
             uni = flt.counts(c.words)
             p1 = np.minimum(1.0, (uni + 1) / total)
             w = c.words[c.ids]
@@ -297,7 +348,7 @@ def _score(batches, model, n_train: int, types: int, names: list[str]):
 
 
 def score(docs: DataFrame, keep: list[str], held_out: Column, text: str = "text",
-          max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+          max_filter_bytes: int = MAX_FILTER_BYTES, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """``(row, n_tokens, n_known, train_tokens, base_score, score)``; ``row`` has the kept columns and ``held_out``."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -309,16 +360,21 @@ def score(docs: DataFrame, keep: list[str], held_out: Column, text: str = "text"
         _exact_counts, "chunk long, bucket long, n long, counts binary, tokens long, types long"), "lm-counts")
     n_train, types = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
-    # an upper bound of the filter entries: tokens and pairs, each with its highest level once
-    bits = int(min(max_filter_bytes * 8, max(1 << 16, 2 * n_train * ENTRY_BITS))) // buckets // 8 * 8
-    segments = enc.drop("rows").mapInArrow(lambda it: _grams(it, buckets), "bucket long, n long, keys binary, counts binary") \
-        .groupBy("bucket").applyInArrow(lambda t: _segment(t, bits),
-                                        "bucket long, least long, entries long, segment binary")
-    model = CountFilter({r.bucket: bytes(r.segment) for r in segments.toLocalIterator()}, buckets, bits)
-    shared = spark.sparkContext.broadcast(model)          # at most max_filter_bytes
-
+    segments = cut(enc.drop("rows").mapInArrow(lambda it: _grams(it, buckets), "bucket long, n long, keys binary, counts binary")
+                   .groupBy("bucket").applyInArrow(lambda t: _segment(t, None, entry_bits), "bucket long, segment binary"), "lm-filter")
     back = counts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "counts")).alias("back"))
     joined = enc.join(back, "chunk")
+    held = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    shared = None
+    if held <= max_filter_bytes:
+        model = CountFilter({r.bucket: bytes(r.segment) for r in segments.toLocalIterator()}, buckets)
+        shared = spark.sparkContext.broadcast(model)          # at most max_filter_bytes
+    else:
+        asked = enc.drop("rows").mapInArrow(lambda it: _questions(it, buckets), "chunk long, bucket long, n long, keys binary")
+        answers = asked.groupBy("bucket").cogroup(segments.groupBy("bucket")) \
+            .applyInArrow(_answers, "chunk long, bucket long, n long, levels binary")
+        joined = joined.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "levels")).alias("answers")), "chunk")
+
     out = T.StructType([T.StructField("row", enc.schema["rows"].dataType.elementType),
                         *T._parse_datatype_string(RESULTS).fields])
     names = out.names
