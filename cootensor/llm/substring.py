@@ -1,10 +1,12 @@
 """Substring dedup by MinHash banding of anchored paragraphs.
 
 Repeated passages need not respect line breaks, so paragraphs are cut by
-content: an anchor is the word pair with the smallest hash among ``SPREAD``
-neighbours, and a paragraph is the ``SPAN`` words from an anchor on.  Two texts
-that share ``SPREAD + SPAN`` words in a row share an anchored paragraph, wherever
-it stands.  (A text of fewer words is one paragraph.)
+content: every word that ``SPAN`` words can start from has the hash of its word
+pair, an anchor is the smallest of ``SPREAD`` neighbours, and a paragraph is the
+``SPAN`` words from an anchor on.  ``SURE`` = ``SPAN + SPREAD - 1`` = 26 shared words
+in a row hold ``SPREAD`` such places, whose smallest is an anchor in both texts: a
+passage of 26 words or more is found wherever it stands, whatever is around it.
+Texts of fewer words are one paragraph, whole.
 
 Paragraphs with the same shingles are one class.  The others meet through bands
 of min-hashes: ``BANDS`` bands of ``ROWS`` rows find a pair of Jaccard similarity
@@ -40,9 +42,10 @@ from .text import SPACED, U64, Words, buffers, chunks, mix, ngram_hash
 
 K = 5                     # words of a shingle
 THRESHOLD = 75            # per cent of shingles in common
-SPREAD = 20               # word pairs an anchor is the smallest of
-SPAN = 26                 # words of a paragraph
-NEAR = 3                  # an anchor gives way to a smaller one so few words away
+SPREAD = 11               # places an anchor is the smallest of
+SPAN = 16                 # words of a paragraph
+SURE = SPAN + SPREAD - 1  # words in a row that hold an anchored paragraph
+WIDTH = SURE - K          # shingles of a paragraph, at most: a text of SURE - 1 words
 BANDS, ROWS = 4, 2
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 16
@@ -54,28 +57,18 @@ _PERM = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(77)) | U64(1)
 
 
 def _anchors(words: Words) -> np.ndarray:
-    """Word numbers of the anchors."""
+    """Word numbers of the anchors: the smallest word pair of every ``SPREAD`` places of one text (the last of equal ones)."""
     h = mix(ngram_hash(words.hash, 2))
-    if len(h) < SPREAD:
-        return np.zeros(0, np.int64)
-    last = np.repeat(words.row[1:], np.diff(words.row))[:len(h)]      # first word after the row
-    start = np.flatnonzero(last - np.arange(len(h)) > SPREAD)         # windows of word pairs inside one row
-    start = start[start + SPREAD <= len(h)]
+    last = np.repeat(words.row[1:], np.diff(words.row))               # first word after the row
+    start = np.flatnonzero(last - np.arange(len(last)) >= SURE)       # words that SURE words of one text start from
+    if not len(start):
+        return start
     back = np.lib.stride_tricks.sliding_window_view(h, SPREAD)[:, ::-1]
     pick = np.empty(len(start), np.int64)
     for i in range(0, len(start), 1 << 15):
         part = start[i:i + (1 << 15)]
         pick[i:i + len(part)] = part + SPREAD - 1 - back[part].argmin(1)
-    pick = np.unique(pick)
-    ok = np.ones(len(pick), bool)
-    for d in range(1, NEAR + 1):                                      # at most NEAR anchors fit that close
-        if len(pick) <= d:
-            break
-        near = (pick[d:] - pick[:-d] <= NEAR) & (last[pick[d:]] == last[pick[:-d]])
-        left, right = h[pick[:-d]], h[pick[d:]]
-        ok[:-d] &= ~(near & (right <= left))
-        ok[d:] &= ~(near & (left < right))
-    return pick[ok]
+    return np.unique(pick)
 
 
 def _overlap(s: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,16 +151,13 @@ class Paragraphs:
         n = np.diff(words.row)
         at = _anchors(words)
         row = np.searchsorted(words.row, at, "right") - 1
-        fits = at + SPAN <= words.row[row + 1]
-        at, row = at[fits], row[fits]
         g = ngram_hash(words.hash, K)
-        width = SPAN - K + 1
-        short = np.flatnonzero((n >= K) & (n < SPAN + SPREAD))       # may hold no anchored paragraph: its first words
+        short = np.flatnonzero((n >= K) & (n < SURE))
         first = words.row[:-1][short]
-        size = np.minimum(n[short], SPAN)
         self.row = np.concatenate([row, short])
         self.first = np.concatenate([at, first])
-        self.last = np.concatenate([at + SPAN - 1, first + size - 1])
+        self.last = np.concatenate([at + SPAN - 1, first + n[short] - 1])
+        width = WIDTH if len(short) else SPAN - K + 1
         idx = self.first[:, None] + np.arange(width)
         inside = idx <= (self.last - K + 1)[:, None]
         self.shingles = g[np.minimum(idx, max(0, len(g) - 1))] if len(g) else np.zeros(idx.shape, U64)
@@ -330,7 +320,7 @@ def _join(batches, threshold: int):
         group, sig = t["group"].to_numpy().view(U64), t["sig"].to_numpy()
         raw = [x.as_py() for x in t["set"]]
         size = np.array([len(x) // 8 for x in raw], np.int64)
-        s = np.zeros((len(raw), SPAN - K + 1), U64)
+        s = np.zeros((len(raw), WIDTH), U64)
         s[np.arange(s.shape[1]) < size[:, None]] = np.frombuffer(b"".join(raw), U64)
         a, b = links(group, s, size, threshold)
         pairs = np.unique(np.stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])], 1), axis=0)
