@@ -49,7 +49,7 @@ WIDTH = SURE - K          # shingles of a paragraph, at most: a text of SURE - 1
 BANDS, ROWS = 4, 2
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 16
-HELD = 1 << 20            # paragraphs a task gathers before it sends them
+HELD = 1 << 18            # paragraphs a task gathers before it sends them
 BLOCK = 1 << 15           # classes of one band joined by one task
 LIST = 16                 # classes of one band, or with a rare shingle in common, that are compared pair by pair
 
