@@ -86,6 +86,14 @@ def test_large_selection_writes_only_cells_near_the_last(spark, monkeypatch):
     assert rows and max(rows) <= 4 * 2_000
 
 
+def test_large_selection_among_ties_writes_only_cells_near_the_last(spark, monkeypatch):
+    rows = _written(monkeypatch)
+    t = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).alias("i"), (F.col("id") % 3).cast("int").alias("j"), F.lit(1.0).alias("product"))
+    got = op.top_k(t, 2_000)
+    assert sorted(r.i for r in got.collect()) == sorted(i * 7919 % 200_003 for i in range(200_000))[:2_000]
+    assert rows and max(rows) <= 4 * 2_000
+
+
 def test_frobenius_error_equals_the_grid(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(0, 4, size=(4, 3, 5)).astype(float)
