@@ -177,5 +177,5 @@ def test_pipeline_drops_contaminated_documents(spark, sf):
 def test_registered_queries():
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert zlib.crc32(b"1") % 3 in (0, 1, 2)
